@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import table
 from quantloom.llm.decontaminate import contamination
+from quantloom.llm.secrets import BASE, secret_spans, spans_text
+from quantloom.llm.simhash import near_duplicates
 
 
 def _sha(c):
@@ -21,6 +23,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), _sha(ids).alias("items_sha256"), "contaminated")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["ord"] <= len(BASE))
+    return found.select("doc_id", *[F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in BASE], _sha(spans_text(base)).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
