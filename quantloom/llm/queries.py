@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import table
 from quantloom.llm.decontaminate import contamination
+from quantloom.llm.fingerprint import comparison
 from quantloom.llm.secrets import BASE, secret_spans, spans_text
 from quantloom.llm.simhash import near_duplicates
 
@@ -29,6 +30,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in BASE], _sha(spans_text(base)).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = comparison(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3).select("doc_id", "fingerprint", "component_id")
 
