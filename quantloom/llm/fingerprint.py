@@ -10,9 +10,6 @@ SHA-256 of the form tells them apart.
 
 from __future__ import annotations
 
-import functools
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,46 +20,11 @@ SPACE = r"[\s\x1C-\x1F\u0085   -     　]+"
 BUCKET = 1024
 
 
-@functools.cache
-def _composition() -> tuple[list[tuple[str, str]], str, str, str]:
-    """Pairs (base + mark, composed) with simpler bases first; characters with a
-    one-character equivalent and these equivalents; all second parts of pairs."""
-    pairs, singles = [], []
-    for c in map(chr, range(0x00C0, 0x1F000)):
-        form, parts = unicodedata.normalize("NFC", c), unicodedata.decomposition(c).split()
-        if form != c and len(form) == 1:
-            singles.append((c, form))
-        elif form == c and len(parts) == 2 and "<" not in parts[0]:
-            pairs.append(("".join(chr(int(x, 16)) for x in parts), c))
-    depth = lambda p: len(unicodedata.normalize("NFD", p[1]))
-    pairs.sort(key=lambda p: (depth(p), p))
-    return pairs, "".join(a for a, _ in singles), "".join(b for _, b in singles), "".join(sorted({p[0][1] for p in pairs}))
-
-
-@functools.cache
-def _marks() -> dict[int, str]:
-    """Combining marks by canonical class, for the classes that precomposed letters use."""
-    by: dict[int, str] = {}
-    for c in _composition()[3]:
-        if k := unicodedata.combining(c):
-            by[k] = by.get(k, "") + c
-    return dict(sorted(by.items()))
-
-
 def composed(text: Column) -> Column:
-    """NFC, for marks of the classes that occur in precomposed letters. Only
-    texts that hold a combining second part or a character with a one-character
-    equivalent are rewritten; Hangul letters given as single jamo stay so."""
-    pairs, alone, alone_to, seconds = _composition()
-    hexed = lambda s: "".join(f"\\x{{{ord(c):X}}}" for c in s)
-    ordered = F.translate(text, alone, alone_to)
-    for low, marks in _marks().items():  # marks of a lower class go before those of higher ones
-        higher = "".join(m for k, m in _marks().items() if k > low)
-        if higher:
-            ordered = F.regexp_replace(ordered, f"([{hexed(higher)}]+)([{hexed(marks)}]+)", "$2$1")
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    merged = F.aggregate(table, ordered, lambda acc, p: F.replace(acc, p["a"], p["b"]))
-    return F.when(text.rlike(f"[{hexed(seconds)}{hexed(alone)}]"), merged).otherwise(text)
+    """NFC, by the ICU library that Spark itself ships for collations. Texts of
+    code points below U+0300 are in that form already and are not handed over."""
+    nfc = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), nfc).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
@@ -75,6 +37,11 @@ def digest(form: Column) -> Column:
     return F.concat(part(form), part(F.lit(1), form))
 
 
+def _digested(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the digest of a column's canonical form, which is made once."""
+    return df.withColumn("_form", canonical(F.col(text))).withColumn(name, digest(F.col("_form"))).drop("_form")
+
+
 def colliding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fp of the buckets whose canonical forms are not all equal.
 
@@ -83,7 +50,7 @@ def colliding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     of all rows is no larger to merge than any other.
     """
     df = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
-    fps = cut(df.select("_id", "_tag", digest(canonical(F.col("_text"))).alias("fp")))
+    fps = cut(_digested(df, "_text", "fp").select("_id", "_tag", "fp"))
     several = fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     at = fps.join(several, "fp", "left_semi").groupBy("_tag").agg(F.min("fp").alias("fp"))
     forms = df.join(at, "_tag").select("fp", canonical(F.col("_text")).alias("form"))
@@ -105,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     or be null; a column of docs named fingerprint is replaced."""
     clash = cut(colliding(docs, id_col, text_col)) if clash is None else clash
     form = canonical(F.col(text_col))
-    return _resolved(docs.withColumn("fingerprint", digest(form)), clash, clash.count(), "fingerprint", form)
+    return _resolved(_digested(docs, text_col, "fingerprint"), clash, clash.count(), "fingerprint", form)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,6 +132,6 @@ def comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     df = edited(docs, id_col, text_col)
     names = {"fingerprint": "text", "next_fingerprint": "next_text", "edited_fingerprint": "edited"}
     for fp, text in names.items():
-        df = _resolved(df.withColumn(fp, digest(canonical(F.col(text)))), clash, n, fp, canonical(F.col(text)))
+        df = _resolved(_digested(df, text, fp), clash, n, fp, canonical(F.col(text)))
     same = lambda fp, text: F.when(F.col("fingerprint") != F.col(fp), 0.0).when(canonical(F.col("text")) == canonical(F.col(text)), 1.0).otherwise(0.0)
     return df.withColumns({"near_edited": same("edited_fingerprint", "edited"), "near_next": same("next_fingerprint", "next_text")})
