@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import table
+from quantloom.llm.common import cut, cut_path, table
 from quantloom.llm.decontaminate import contamination
+from quantloom.llm import language, mixing, quality, urlfilter, warc
 from quantloom.llm.fingerprint import comparison
 from quantloom.llm.secrets import BASE, secret_spans, spans_text
 from quantloom.llm.simhash import near_duplicates
@@ -24,6 +25,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), _sha(ids).alias("items_sha256"), "contaminated")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = cut_path(spark, "warc")
+    warc.write(warc.records(table(spark, sf_dir, "pages")), path)
+    found = warc.resolved(warc.captures(warc.read(spark, path)))
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["ord"] <= len(BASE))
@@ -39,6 +47,35 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3).select("doc_id", "fingerprint", "component_id")
 
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judged(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(language.fold("doc_id", 4) == 2, F.lit(False))
+    model = language.model_of(docs.where(~held))
+    found = language.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stats = cut(stats.withColumn("held_out", F.coalesce(language.fold("doc_id", 5) == 0, F.lit(False))))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fitted(stats.where("not held_out").join(labels, "doc_id"))
+    return quality.scored(stats, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -57,3 +94,21 @@ its as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item
 select d.doc_id, len(d.w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join covered using (doc_id) left join its using (doc_id)
 """
+
+ORACLES["op2_warc"] = r"""
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, octet_length(encode(h))::bigint payload_bytes, sha1(h) payload_digest from p),
+g as (select payload_digest, max(page_id) first, count(*) n from d where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, d.payload_digest,
+       case when n > 1 and page_id <> first and payload_bytes >= 1000 then 'revisit' else 'response' end record_type,
+       case when n > 1 and page_id <> first and payload_bytes >= 1000 then first end refers_to
+from d left join g using (payload_digest)
+"""
+
+ORACLES["op6_url_filters"] = r"""
+with s as (select page_id, case when contains(url, '://') then url[strpos(url, '://') + 3:] else '' end r from pages),
+t as (select page_id, translate(regexp_extract(coalesce(r, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) path from s),
+rules(h, p, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m as (select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) k from t join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select t.page_id, host, path, rule, coalesce(v, 'allow') verdict from t left join (select * from m where k = 1) m using (page_id)
+"""
