@@ -20,15 +20,16 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import ascii_lower, cut, repeated, row_tag
 
-#: A-Z still count as word characters here, since lower-casing comes after.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words. A-Z still count as word characters here, since lower-casing comes after.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK_BYTES = 16 << 20
 #: What a window takes in a broadcast table besides its text.
 ROW_BYTES = 120
 
 
 def _words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    """The words of a text after a first and before a last element that are none."""
+    return F.split(F.concat(F.lit("x "), F.coalesce(c, F.lit("")), F.lit(" x")), BETWEEN, -1)
 
 
 def _token(c: Column) -> Column:
@@ -38,7 +39,8 @@ def _token(c: Column) -> Column:
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = 10) -> DataFrame:
     """One row per item and distinct window: item, n (words), words, seq (the words space-joined)."""
-    split = items.select(F.col(id_col).cast("string").alias("item"), _words(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("all"))
+    split = items.select(F.col(id_col).cast("string").alias("item"), _words(ascii_lower(F.col(text_col))).alias("all"))
+    split = split.withColumn("all", F.slice("all", F.lit(2), F.size("all") - 2))
     n = F.least(F.lit(width), F.size("all"))
     at = split.where(F.size("all") > 0).select("item", n.alias("n"), "all", F.explode(F.sequence(F.lit(1), F.size("all") - n + 1)).alias("i"))
     win = at.select("item", "n", F.expr("slice(all, i, n)").alias("words"))
@@ -49,7 +51,7 @@ def _rarest(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """windows with token, off: their rarest word over all documents and its first place (from 0)."""
     used = windows.select("item", "seq", F.posexplode("words").alias("off", "w")).withColumn("token", _token(F.col("w")))
     vocabulary = used.select("token").distinct()
-    said = docs.select(F.explode(F.col("_words")).alias("w")).select(_token(F.col("w")).alias("token"))
+    said = docs.select(F.explode(F.slice("_words", F.lit(2), F.size("_words") - 2)).alias("w")).select(_token(F.col("w")).alias("token"))
     counts = said.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df"))
     order = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "off")
     best = used.join(counts, "token", "left").groupBy("item", "seq").agg(F.min(order).alias("best"))
@@ -65,8 +67,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     words has no windows; repeated items count once; windows of an item whose
     id is null hit words but the item is not listed. Other columns are ignored.
     """
-    text = F.concat(F.lit("x "), F.coalesce(F.col(text_col), F.lit("")))  # place 0 stands for the row itself
-    docs = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), _words(text).alias("_words"))
+    docs = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), _words(F.col(text_col)).alias("_words"))
     windows = cut(item_windows(items, item_id, item_text, width))
     total = windows.agg(F.sum(F.octet_length("seq") + ROW_BYTES)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
@@ -75,12 +76,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
         mine = windows.where(F.pmod(F.xxhash64("item", "seq"), F.lit(blocks)) == k) if blocks > 1 else windows
         prefixes = cut(_rarest(docs, mine)).withColumnRenamed("token", "_token")
         at = docs.select("_id", "_tag", "_words", F.posexplode("_words").alias("_pos", "_w"))
-        at = at.withColumn("_t", F.when(F.col("_pos") > 0, _token(F.col("_w"))))
+        # place 0 stands for the row itself
+        at = at.where(F.col("_pos") < F.size("_words") - 1).withColumn("_t", F.when(F.col("_pos") > 0, _token(F.col("_w"))))
         start = F.col("_pos") - F.col("off")
-        held = (F.col("_t") == F.col("_token")) & (start >= 1) & (start + F.col("n") <= F.size("_words")) & (ascii_lower(F.array_join(F.slice("_words", start + 1, F.col("n")), " ")) == F.col("seq"))
+        held = (F.col("_t") == F.col("_token")) & (start >= 1) & (start + F.col("n") < F.size("_words")) & (ascii_lower(F.array_join(F.slice("_words", start + 1, F.col("n")), " ")) == F.col("seq"))
         met = at.join(F.broadcast(prefixes), held, "left").where((F.col("_pos") == 0) | F.col("seq").isNotNull())
         span = F.when(F.col("seq").isNotNull(), F.struct((start - 1).alias("start"), (start - 1 + F.col("n")).alias("end")))
-        parts.append(met.select("_id", "_tag", (F.size("_words") - 1).alias("n_words"), ((F.col("_pos") == 0) & F.lit(k == 0)).cast("long").alias("_row"), span.alias("span"), "item"))
+        parts.append(met.select("_id", "_tag", (F.size("_words") - 2).alias("n_words"), ((F.col("_pos") == 0) & F.lit(k == 0)).cast("long").alias("_row"), span.alias("span"), "item"))
     rows = reduce(DataFrame.union, parts).groupBy("_id", "_tag").agg(F.max("n_words").cast("long").alias("n_words"), F.sum("_row").alias("_times"), F.array_sort(F.collect_set("span")).alias("_spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))
     # spans that touch or overlap become one; their lengths add up to the words hit
     cover = F.aggregate(
