@@ -60,11 +60,13 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """fp, seg, masked: both halves of fp, each with one of its bits masked out; seg tells half and bit."""
+    """fp, key: both halves of fp, each with one of its bits masked out; the key
+    holds the half and tells which one and which bit."""
     bit = F.col("seg")
     half = F.when(bit < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     mask = F.expr("~shiftleft(1L, seg % 32)")
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("seg")).select("fp", "seg", half.bitwiseAND(mask).alias("masked"))
+    key = half.bitwiseAND(mask) + bit.cast("long") * (1 << 32)
+    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("seg")).select("fp", key.alias("key"))
 
 
 def links(fps: DataFrame, within: int = 2) -> DataFrame:
@@ -72,14 +74,13 @@ def links(fps: DataFrame, within: int = 2) -> DataFrame:
     values (column fp, no repeats) that differ in at most two bits."""
     if within != 2:
         raise ValueError("two segments and one wildcard are for two bits")
-    v = _variants(fps)
-    held = v.groupBy("seg", "masked").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    held = cut(held)
-    pairs = held.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= within).select("a", "b").distinct()
-    crowds = held.where("n > 2").select("seg", "masked")
-    crowded = v.join(crowds, ["seg", "masked"], "left_semi").select("fp").distinct()
+    v = _variants(fps).repartition("key")  # dealt once, for the groups and for their members
+    held = v.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    held = cut(v.join(held, "key").select("fp", "n", "a", "b"))
+    pairs = held.where("n = 2 and fp = a").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= within).select("a", "b").distinct()
+    crowded = held.where("n > 2").select("fp").distinct()
     near = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit"))
-    near = near.select("fp", F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end").alias("value"))
+    near = near.select("fp", F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end").alias("value")).repartition("value")
     hubs = near.groupBy("value").agg(F.count("*").alias("n"), F.min("fp").alias("a")).where("n > 1").select("value", "a")
     stars = near.join(hubs, "value").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.union(stars)
