@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import cut, cut_path, table
 from quantloom.llm.decontaminate import contamination
-from quantloom.llm import language, mixing, quality, urlfilter, warc
+from quantloom.llm import language, mixing, quality, substring, urlfilter, warc
 from quantloom.llm.fingerprint import comparison
 from quantloom.llm.secrets import BASE, secret_spans, spans_text
 from quantloom.llm.simhash import near_duplicates
@@ -55,6 +55,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -112,3 +117,13 @@ rules(h, p, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'
 m as (select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) k from t join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
 select t.page_id, host, path, rule, coalesce(v, 'allow') verdict from t left join (select * from m where k = 1) m using (page_id)
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') seq from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d)),
+firsts as (select seq, min(doc_id) least from win group by 1 having count(distinct doc_id) > 1),
+covered as (select distinct doc_id, unnest(range(i, i + 13)) p from win join firsts using (seq) where doc_id > least),
+words as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p from d),
+kept as (select words.doc_id, string_agg(word, ' ' order by words.p) kept, count(*) n from words left join covered using (doc_id, p) where covered.p is null group by 1)
+select d.doc_id, len(d.w)::bigint n_words, (len(d.w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join kept using (doc_id)
+"""
