@@ -54,8 +54,9 @@ def _rarest(docs: DataFrame, windows: DataFrame) -> DataFrame:
     said = docs.select(F.explode(F.slice("_words", F.lit(2), F.size("_words") - 2)).alias("w")).select(_token(F.col("w")).alias("token"))
     counts = said.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df"))
     order = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "off")
-    best = used.join(counts, "token", "left").groupBy("item", "seq").agg(F.min(order).alias("best"))
-    return windows.join(best, ["item", "seq"]).select("item", "n", "seq", "best.token", "best.off")
+    best = used.join(counts, "token", "left").groupBy("item", F.col("seq").alias("_seq")).agg(F.min(order).alias("best")).withColumnRenamed("item", "_item")
+    both = windows.join(best, (F.col("seq") == F.col("_seq")) & F.col("item").eqNullSafe(F.col("_item")))
+    return both.select("item", "n", "seq", "best.token", "best.off")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
