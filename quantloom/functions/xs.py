@@ -20,8 +20,9 @@ def rank(x: Column | str, digits: int | None = None) -> Column:
     """Average rank over the number of values, in (0, 1]. With digits, values that
     agree when rounded to so many places are ties."""
     x = col(x) if digits is None else F.round(col(x), digits)
-    place = F.rank().over(by_date().orderBy(x.asc_nulls_last()))
-    ties = F.count(x).over(Window.partitionBy("ts", x))
+    order = by_date().orderBy(x.asc_nulls_last())
+    place = F.rank().over(order)
+    ties = F.count(x).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # the row's equals: one sort serves both
     return F.when(x.isNotNull(), ratio(place + (ties - 1) / 2, F.count(x).over(by_date())))
 
 

@@ -35,6 +35,7 @@ class Config:
     tiers: tuple[tuple[int, float], ...] = ((500, 13.0), (1500, 20.0), (3000, 50.0))
     borrow: float = 0.01
     least_trade: float = 0.0005
+    least_notional: float = 0.0
 
 
 def hold(weights: DataFrame, holding_period: int) -> DataFrame:
@@ -113,16 +114,42 @@ def run(panel: DataFrame, weights: DataFrame, config: Config = Config()) -> Data
 
     weights: ts, stock, weight, prepared here. Commissions have a least charge
     for each trade, so each date's cost depends on the equity before it: dates
-    are folded in order, as a stream of one row a date that keeps one number.
+    are folded in order, as a stream of one row a date. The fold keeps one
+    number; with least_notional, which leaves out trades by their worth in
+    money, it keeps the weight of each stock too.
     """
-    d = daily(trades(panel, prepared(weights, config.holding_period), config.least_trade, config.tiers))
+    w = prepared(weights, config.holding_period)
+    if config.least_notional > 0:
+        t = trades(panel, w, 0.0, config.tiers)
+        cell = F.struct("stock", "w", F.coalesce("ret", F.lit(0.0)).alias("ret"), "price", "bps")
+        d = t.groupBy("ts").agg(F.collect_list(cell).alias("cells"))
+    else:
+        d = daily(trades(panel, w, config.least_trade, config.tiers))
     schema = pa.schema([("ts", pa.date32()), *((n, pa.float64()) for n in ("gross", "net", "turnover", "cost", "equity"))])
 
+    def day(cells: list[dict], held: dict, equity: float) -> dict:
+        """What daily() gives, after the trades that are worth it."""
+        out = {"gross": 0.0, "turnover": 0.0, "slip": 0.0, "short": 0.0, "lots": []}
+        for c in cells:
+            now = held.get(c["stock"], 0.0)
+            change = abs(c["w"] - now)
+            if change >= config.least_trade and change * equity >= config.least_notional:
+                held[c["stock"]] = now = c["w"]
+                out["turnover"] += change
+                out["slip"] += change * c["bps"] / 1e4
+                if change > 0 and (c["price"] or 0) > 0:
+                    out["lots"].append(change / c["price"])
+            out["gross"] += now * c["ret"]
+            out["short"] += max(0.0, -now)
+        return out
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        equity = config.capital
+        equity, held = config.capital, {}
         for b in batches:
             out = []
             for r in b.to_pylist():
+                if "cells" in r:
+                    r |= day(r["cells"], held, equity)
                 fee = sum(max(q * equity * config.commission, config.least_commission) for q in r["lots"])
                 cost = fee + (r["slip"] + r["short"] * config.borrow / DAYS) * equity
                 net = r["gross"] - (cost / equity if equity > 0 else 0.0)

@@ -74,10 +74,15 @@ def unpivoted(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.unpivot(list(KEY), names or values(df), "attribute", "value")
 
 
-def pivoted(df: DataFrame, value: str, stocks: list) -> DataFrame:
-    """ts and a column of `value` for each of the stocks named."""
+def pivoted(long: DataFrame, names: list[str]) -> DataFrame:
+    """unpivoted() undone: ts, stock and a column for each attribute named."""
+    return long.groupBy(*KEY).pivot("attribute", names).agg(F.first("value")).select(*KEY, *names)
+
+
+def by_stock(df: DataFrame, value: str, stocks: list) -> DataFrame:
+    """For export: ts and a column of `value` for each of the stocks named."""
     wide = df.where(F.col("stock").isin(stocks)).groupBy("ts").pivot("stock", stocks).agg(F.first(value))
-    return wide.select("ts", *[F.col(f"`{s}`").alias(f"s{s}") for s in stocks])
+    return wide.select("ts", *[F.col(f"`{s}`") for s in stocks])
 
 
 def filled_dates(df: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def walk_forward_folds(df: DataFrame, train: int, val: int, step: int, kind: str
 
 
 def _errors(df: DataFrame, factors: list[str], y: str, kind: str, alphas: list[float], l1_ratio: float) -> DataFrame:
-    """part, alpha, train_mse, val_mse, val_mae: fits of each part's training rows.
+    """part, alpha, w (intercept, then coefficients), train_mse, val_mse: fits of each part's training rows.
 
     Fits need only sums of products, so each part comes down to a matrix of
     (factors + 2) squared before a task solves it: no part is gathered whole.
@@ -140,11 +140,11 @@ def _errors(df: DataFrame, factors: list[str], y: str, kind: str, alphas: list[f
                 for alpha in alphas:
                     w = fit_moments(m[0], kind, alpha, l1_ratio)
                     c = np.concatenate([-w, [1.0]])
-                    out.append((int(part), alpha, c @ m[0] @ c / m[0][0, 0], c @ m[1] @ c / m[1][0, 0]))
-            yield pd.DataFrame(out, columns=["part", "alpha", "train_mse", "val_mse"])
+                    out.append((int(part), alpha, w.tolist(), c @ m[0] @ c / m[0][0, 0], c @ m[1] @ c / m[1][0, 0]))
+            yield pd.DataFrame(out, columns=["part", "alpha", "w", "train_mse", "val_mse"])
 
     both = sums.where("not val").select("part", F.col("s").alias("seen")).join(sums.where("val").select("part", F.col("s").alias("held")), "part")
-    return both.mapInPandas(solve, "part int, alpha double, train_mse double, val_mse double")
+    return both.mapInPandas(solve, "part int, alpha double, w array<double>, train_mse double, val_mse double")
 
 
 def fit_moments(m: np.ndarray, kind: str, alpha: float, l1_ratio: float = 0.5, rounds: int = 10_000) -> np.ndarray:
@@ -180,10 +180,14 @@ def kfold_tuned(df: DataFrame, factors: list[str], y: str = "fwd", kind: str = "
 
 
 def walk_forward_tuned(df: DataFrame, factors: list[str], train: int, val: int, step: int, y: str = "fwd", kind: str = "ridge", alphas: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0), how: str = "expanding", l1_ratio: float = 0.5) -> DataFrame:
-    """alpha, train_mse, val_mse, val_rmse, val_rmse_sd, best: means over folds that walk forward."""
+    """alpha, train_mse, val_mse, val_mae, val_rmse, val_rmse_sd, best: means over folds that walk forward."""
     spans = walk_forward_folds(df, train, val, step, how)
     parts = df.join(F.broadcast(spans), F.col("ts").between(F.col("train_from"), F.col("val_to"))).where("ts <= train_to or ts >= val_from")
     parts = parts.withColumn("part", F.col("fold")).withColumn("val", F.col("ts") >= F.col("val_from"))
     e = _errors(parts, factors, y, kind, list(alphas), l1_ratio).withColumn("rmse", F.sqrt("val_mse"))
-    mean = e.groupBy("alpha").agg(F.avg("train_mse").alias("train_mse"), F.avg("val_mse").alias("val_mse"), F.avg("rmse").alias("val_rmse"), F.stddev_pop("rmse").alias("val_rmse_sd"))
+    held = parts.where("val").select("part", *factors, y).na.drop("any").join(F.broadcast(e.select("part", "alpha", "w")), "part")
+    guess = sum((F.col(c) * F.get("w", F.lit(i + 1)) for i, c in enumerate(factors)), F.get("w", F.lit(0)))
+    mae = held.groupBy("part", "alpha").agg(F.avg(F.abs(F.col(y) - guess)).alias("mae"))
+    e = e.join(mae, ["part", "alpha"])
+    mean = e.groupBy("alpha").agg(F.avg("train_mse").alias("train_mse"), F.avg("val_mse").alias("val_mse"), F.avg("mae").alias("val_mae"), F.avg("rmse").alias("val_rmse"), F.stddev_pop("rmse").alias("val_rmse_sd"))
     return mean.withColumn("best", F.col("val_rmse") == F.min("val_rmse").over(Window.partitionBy()))

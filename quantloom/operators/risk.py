@@ -101,10 +101,11 @@ def square(fcov: DataFrame) -> np.ndarray:
     return m
 
 
-def covariance_matrix(x: DataFrame, fcov: DataFrame, spec: DataFrame, stocks: list, h: int = 1) -> DataFrame:
-    """stock_i, stock_j, cov for the stocks named (the list bounds the matrix), over h dates."""
+def covariance_matrix(x: DataFrame, fcov: DataFrame, spec: DataFrame, stocks: list | None = None, h: int = 1) -> DataFrame:
+    """stock_i, stock_j, cov over h dates, for all stocks or those named. The matrix is
+    made in one task: its size is that of the universe squared."""
     fm = square(fcov)
-    rows = x.where(F.col("stock").isin(stocks)).join(spec, "stock", "left")
+    rows = (x if stocks is None else x.where(F.col("stock").isin(stocks))).join(spec, "stock", "left")
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("stock")

@@ -182,8 +182,7 @@ def oracle_sql() -> dict[str, str]:
     o["densify"] = f"{p} select ts, stock, {bars6}, {r6('operating_income')}, {r6('total_liabilities')}, sic_code, cik, sec_type from p1"
     o["calendar_reindex"] = f"{p} select c.ts, s.stock, {r6('b.close', 'close')} from (select unnest(generate_series(min(ts), max(ts), interval 1 day))::date ts from bars) c cross join (select distinct stock from bars) s left join bars b on b.ts = c.ts and b.stock = s.stock"
     o["unpivot_long"] = f"{p}, u as (select ts, stock, close, volume, vwap from p1) select ts, stock, 'close' attribute, {r6('close', 'value')} from u union all select ts, stock, 'volume', {r6('volume')} from u union all select ts, stock, 'vwap', {r6('vwap')} from u"
-    wide = ", ".join(f"round(1.00000000001e0 * max(case when stock = {s} then close end), 6) + 0.0 s{s}" for s in range(1, 6))
-    o["pivot_wide"] = f"{p} select ts, {wide} from bars where stock between 1 and 5 group by ts"
+    o["pivot_wide"] = f"{p} select ts, stock, {r6('close')}, {r6('volume')}, {r6('vwap')} from p1"
     o["split_dates"] = f"{p}, {DATES} select ts, stock, case when rn < floor(n * 0.7) then 'train' when rn < floor(n * (0.7 + 0.15)) then 'cv' else 'test' end split from p1 join dts using (ts)"
     o["slice_stock"] = f"{p} select ts, stock, {r6('close')} from p1 where stock = 7"
     o["drop_all_null_dates"] = f"{p}, u as (select ts, stock, {ret('close', 26)} fwd from p1) select ts, stock, {r6('fwd')} from u where ts in (select ts from u where fwd is not null)"
@@ -245,6 +244,8 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     for name, (steps, neutral, n) in factor_steps(days).items():
         o[f"factor_{name}_w{SCALE}"] = layers("pf", steps + settings("x", neutral, n), f"ts, stock, {r6('z')}")
 
+    each = {n: layers("pf", steps + settings("x", neutral, k), f"ts, stock, {r6('z', n)}") for n, (steps, neutral, k) in factor_steps(days).items()}
+    o["all_factors"] = "select * from " + " join ".join(f"({q})" + " using (ts, stock)" * (i > 0) for i, q in enumerate(each.values()))
     x = layers("pf", [{"hl_": "high - low", "fwd": f"{lag('close', -1)} / nullif(close, 0) - 1"}, {"b_": f"(close - {lag('close', 5)}) / nullif({mean('hl_', 5)}, 0)"}, {"x": f"-pow(({xrank('b_')}) - 0.5, 3)"}], "ts, stock, close, x, fwd")
     corr = "case when count(*) >= 2 and stddev_pop({0}) > 1e-12 and stddev_pop({1}) > 1e-12 then covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) end"
     ics = f"base as ({x}), ok as (select * from base where x is not null and fwd is not null), rk as (select *, {xrank('x')} rx, {xrank('fwd')} rf_ from ok), ic as (select ts, {corr.format('x', 'fwd')} ic, {corr.format('rx', 'rf_')} rank_ic, count(*) n from rk group by ts)"
@@ -285,6 +286,7 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     o["metrics_ungated"] = f"{eq} select {r6('product(1 + gross) - 1', 'total_return')}, {r6(ann, 'annual_return')}, {r6(ann, 'annual_gross')}, {r6(vol, 'volatility')}, {r6('min(drawdown)', 'max_drawdown')}, {r6(ul, 'ulcer')}, {r6('avg(turnover)', 'avg_turnover')}, count(*)::bigint n, 0.0::double cost_drag, {r6(div.format(ann, vol), 'sharpe')}, {r6(div.format(ann, down), 'sortino')}, {r6(div.format(ann, ul), 'upi')} from cv"
     bn = f"{eq}, {BENCH}, ab as (select d.ts, coalesce((select arg_max(close, b.ts) from bench b where b.ts <= d.ts), (select arg_min(close, ts) from bench)) c from dy d), br as (select ts, c / nullif(lag(c) over (order by ts), 0) - 1 b from ab), bb as (select gross, b from eq join br using (ts) where b is not null), bm as (select covar_samp(gross, b) / nullif(var_samp(b), 0) beta, stddev_samp(gross - b) * sqrt(252) te, product(1 + b) - 1 bt, count(*) n, avg(gross) * 252 a from bb), bx as (select *, pow(1 + bt, 252.0 / n) - 1 ba from bm)"
     o["benchmark_metrics"] = f"{bn} select {r6('beta')}, {r6('a - beta * ba', 'alpha')}, {r6('te', 'tracking_error')}, {r6('bt', 'benchmark_total')}, {r6('ba', 'benchmark_annual')}, {r6('a - ba', 'active_return')}, {r6(div.format('a - ba', 'te'), 'information_ratio')} from bx"
+    o["plot_series"] = f"{bn.split(', br as')[0]} select cv.ts, {r6('equity')}, {r6('drawdown')}, {r6('turnover')}, {r6('c / first_value(c) over (order by ts)', 'benchmark')} from cv join ab using (ts)"
     rp = f"{eq}, rr as (select *, equity / nullif(lag(equity) over (order by ts), 0) - 1 q from cv), rm as (select pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(*)) - 1 ag, stddev_samp(q) * sqrt(252) rv, min(drawdown) md from rr)"
     o["report_metrics"] = f"{rp} select {r6('ag', 'annual_geometric')}, {r6('rv', 'report_volatility')}, {r6(div.format('ag', 'rv'), 'report_sharpe')}, {r6('md', 'report_max_dd')} from rm"
     o["weight_summary"] = f"{p}, {w} select min(n)::bigint min_held, max(n)::bigint max_held, {r6('avg(m)', 'mean_largest')}, {r6('stddev_samp(m)', 'sd_largest')} from (select ts, count(weight) n, max(weight) m from vw where weight is not null group by ts)"

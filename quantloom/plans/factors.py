@@ -78,6 +78,8 @@ def evaluated(panel: DataFrame, names: list[str] | None = None, scale: int = 1,
     made = {n: FACTORS[n](scale) for n in names}
     df = panel
     for steps in ("over_time", "over_stocks"):
+        if steps == "over_stocks":  # windows by date and group then need no exchange of their own
+            df = df.repartition("ts")
         for i in range(max((len(getattr(f, steps)) for f in made.values()), default=0)):
             new = {}
             for f in made.values():

@@ -83,7 +83,8 @@ def unpivot_long(s, d):
 
 
 def pivot_wide(s, d):
-    return r6(panel.pivoted(bars(s, d), "close", [1, 2, 3, 4, 5]))
+    names = ["close", "volume", "vwap"]
+    return r6(panel.pivoted(panel.unpivoted(raw(s, d), names), names))
 
 
 def split_dates(s, d):
@@ -294,7 +295,7 @@ def specific_variance(s, d):
 
 def covariance_matrix(s, d):
     df, f, e = _risk(s, d)
-    return risk.covariance_matrix(risk.exposures(df, STYLE, SECTORS), risk.factor_covariance(f), risk.specific_variance(e), list(range(1, 51)))
+    return risk.covariance_matrix(risk.exposures(df, STYLE, SECTORS), risk.factor_covariance(f), risk.specific_variance(e))
 
 
 def _weights(s, d, **options):

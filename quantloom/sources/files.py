@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -75,11 +75,9 @@ def cached_factors(spark: SparkSession, folder: str, key: str, make) -> DataFram
 def read_industry_ranges(spark: SparkSession, path: str) -> DataFrame:
     """low, high, industry, place from the public text format of industry
     definitions: a line with number and short name, then lines `0100-0199 ...`."""
-    lines = spark.read.option("wholetext", "true").text(path)
+    lines = spark.read.text(path, wholetext=True)
     rows = lines.select(F.posexplode(F.split("value", "\n"))).select("pos", F.trim("col").alias("line"))
     named = rows.select("pos", F.regexp_extract("line", r"^\d+\s+([A-Za-z]+)\s", 1).alias("name"), F.regexp_extract("line", r"^(\d{4})-(\d{4})", 1).alias("low"), F.regexp_extract("line", r"^(\d{4})-(\d{4})", 2).alias("high"))
-    from pyspark.sql import Window
-
     up = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     known = named.withColumn("industry", F.last(F.when((F.col("name") != "") & (F.col("low") == ""), F.col("name")), ignorenulls=True).over(up))
     return known.where("low <> ''").select(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), "industry", F.col("pos").alias("place"))
