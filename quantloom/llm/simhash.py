@@ -9,10 +9,15 @@ Variants held by more would give all pairs of a group; the fingerprints in them
 are linked through the 65 values at no more than one bit's distance instead:
 two fingerprints differ in at most two bits exactly if such a value is common
 to both, so a star around each value links the same groups.
+
+Two bits reach texts that are nearly equal. For a likeness of 0.8 the sections
+of texts have SimHashes of their own: texts that share one and are of about one
+size are compared by their shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,35 +33,126 @@ SEED = 42
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The signed 64-bit SimHash of the word shingles of a text; 0 without words."""
+#: Mean and least number of shingles in a section.
+SECTION, LEAST_SECTION = 16, 4
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text; of all its words, if they are fewer."""
     words = (text or "").encode().lower().split()
     n = len(words) - width + 1
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if n < 1:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[i : i + n] for i in range(width)), strict=True)))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), CHUNK):
-        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles[at : at + CHUNK]), ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(shingles))
-    return int.from_bytes(bits.tobytes(), "big", signed=True)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    joined = map(b" ".join, zip(*(words[i : i + n] for i in range(width)), strict=True))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, n)
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
 
 
-def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _tag, fp per row of docs."""
+def fingerprint(h: np.ndarray) -> int:
+    """The signed 64-bit SimHash of hashed shingles; 0 without any."""
+    if not len(h):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        ones += _bits(h[at : at + CHUNK]).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
+
+
+def sections(h: np.ndarray) -> np.ndarray:
+    """SimHashes of the sections of a text (of the whole, if none is long enough).
+    Sections part where a shingle's hash says so, so an edit changes one or two."""
+    edges = np.append(np.flatnonzero(h % np.uint64(SECTION) == 0), len(h))
+    edges = edges if edges[0] == 0 else np.insert(edges, 0, 0)
+    sizes = np.diff(edges)
+    at = np.flatnonzero(sizes >= LEAST_SECTION)
+    if not len(at):
+        return np.array([fingerprint(h)], np.int64)
+    total = np.zeros((len(h) + 1, 64), np.int32)
+    np.cumsum(_bits(h), axis=0, dtype=np.int32, out=total[1:])
+    ones = total[edges[at + 1]] - total[edges[at]]
+    return np.unique(np.packbits(ones * 2 > sizes[at][:, None], axis=1).view(">i8").ravel().astype(np.int64))
+
+
+def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", parts: bool = False) -> DataFrame:
+    """_id, _tag, fp per row of docs; with parts, also n (distinct shingles) and parts (SimHashes of sections)."""
     source = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py(), width) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["_id", "_tag", "fp"])
+            fps, ns, secs = [], [], []
+            for t in b.column(2):
+                h = shingles(t.as_py(), width)
+                fps.append(fingerprint(h))
+                if parts:
+                    ns.append(len(np.unique(h)))
+                    secs.append(sections(h) if len(h) else [])
+            more = [pa.array(ns, pa.int32()), pa.array(secs, pa.list_(pa.int64()))] if parts else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), *more], ["_id", "_tag", "fp", *(["n", "parts"] if parts else [])])
 
     kind = dict(source.dtypes)["_id"]
-    return source.mapInArrow(each, f"_id {kind}, _tag long, fp long")
+    return source.mapInArrow(each, f"_id {kind}, _tag long, fp long" + (", n int, parts array<long>" if parts else ""))
+
+
+def _meetings(one: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs x, y of fingerprints of documents that share a section and whose
+    sizes allow a likeness of `least`, in two tables. one: fp, n, parts.
+
+    The holders of a section meet one or two of them, not each other, so a
+    section that many hold gives stars. In the first table the centre is the
+    holder of the least fingerprint, in the second it depends on the section.
+    Sizes are in classes of the ratio `least`, and each document is in two, so
+    that none that may be alike are parted.
+    """
+    size = F.floor(F.ln(F.col("n").cast("double")) / -math.log(least)).cast("int")
+    own = one.where("n > 0").select(F.struct("fp", "n").alias("y"), F.explode("parts").alias("part"), size.alias("c"))
+    keyed = own.select("y", F.explode(F.array(F.xxhash64("part", "c"), F.xxhash64("part", F.col("c") + 1))).alias("key")).repartition("key")
+    turn = F.struct(F.xxhash64("key", "y.fp").alias("h"), "y")
+    stars = keyed.groupBy("key").agg(F.min("y").alias("x"), F.min(turn).alias("a"), F.max(turn).alias("b"), F.count("*").alias("k")).where("k > 1")
+    met = cut(keyed.join(stars.select("key", "x", F.col("a.y").alias("a"), F.col("b.y").alias("b")), "key"))
+    fits = (F.col("x.fp") != F.col("y.fp")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least))
+    pair = [F.col("x.fp").alias("x"), F.col("y.fp").alias("y")]
+    return met.where(fits).select(*pair).distinct(), met.select(F.explode(F.array("a", "b")).alias("x"), "y").where(fits).select(*pair).distinct()
+
+
+def _alike(docs: DataFrame, met: DataFrame, one: DataFrame, width: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs of met (x, y) whose sets of shingles have a Jaccard likeness of
+    `least` or more. one: the row (_i, _t) that stands for each fp."""
+    met = cut(met)
+    # texts of the documents in question only
+    asked = one.join(met.select(F.col("x").alias("fp")).union(met.select("y")).distinct(), "fp")
+    rows = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
+    texts = cut(rows.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t"))).groupBy("fp").agg(F.first("_text").alias("text")))
+    pairs = met.join(texts.select(F.col("fp").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("fp").alias("y"), F.col("text").alias("ty")), "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for s, t in zip(b.column("tx"), b.column("ty"), strict=True):
+                u, v = (np.unique(shingles(c.as_py(), width)) for c in (s, t))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(both >= least * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(good))
+
+    return pairs.select("x", "y", "tx", "ty").mapInArrow(compare, "a long, b long")
+
+
+def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, width: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b: edges, and further ones between fingerprints of documents that share a
+    section and are alike by `least`. fps: fingerprints(parts=True). What earlier
+    edges connect isn't compared again, so a large group costs about one
+    comparison a document."""
+    one = cut(fps.groupBy("fp").agg(F.min(F.struct("_id", "_tag", "n", "parts")).alias("r")).select("fp", F.col("r._id").alias("_i"), F.col("r._tag").alias("_t"), "r.n", "r.parts"))
+    for met in _meetings(one, least):
+        roots = components(edges)
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
+        far = met.join(of("x"), "x", "left").join(of("y"), "y", "left").where("x_root is null or y_root is null or x_root <> y_root").select("x", "y")
+        edges = cut(edges.union(_alike(docs, far, one.select("fp", "_i", "_t"), width, least, id_col, text_col)))
+    return edges
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -86,28 +182,34 @@ def links(fps: DataFrame, within: int = 2) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """Per row of docs: id_col, fingerprint (16 hex digits), component_id (the
     smallest id that a chain of links reaches), _tag.
 
-    A text without words (null too) has fingerprint zero and links like any
-    other. Rows whose id is null are linked, but no component is named by them
-    unless all its ids are null. Repeated rows get a result each.
+    Fingerprints within two bits link. With `least`, so do documents whose
+    shingles are alike by that much and that share a section: two bits of 64
+    hold for nearly equal texts only. A text without words (null too) has
+    fingerprint zero and links like any other. Rows whose id is null are
+    linked, but no component is named by them unless all its ids are null.
+    Repeated rows get a result each.
     """
-    fps = cut(fingerprints(docs, width, id_col, text_col))
-    least = cut(fps.groupBy("fp").agg(F.min("_id").alias("least")))
-    roots = components(links(least.select("fp"))).select(F.col("node").alias("fp"), "root")
-    home = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fps = cut(fingerprints(docs, width, id_col, text_col, parts=least is not None))
+    first = cut(fps.groupBy("fp").agg(F.min("_id").alias("least")))
+    edges = links(first.select("fp"))
+    if least is not None:
+        edges = similar(docs, fps, cut(edges), width, least, id_col, text_col)
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
+    home = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     name = home.groupBy("root").agg(F.min("least").alias("component_id"))
     of = home.join(name, "root").select("fp", "component_id", "root")
-    out = fps.join(of, "fp")
+    out = fps.select("_id", "_tag", "fp").join(of, "fp")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_tag", F.col("root").alias("_root"))
 
 
-def deduplicated(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = 0.8) -> DataFrame:
     """One row of each component, with the columns of docs: one whose id names
     the component. Where no row of a component has an id, one of them stays."""
-    comp = near_duplicates(docs, width, id_col, text_col)
+    comp = near_duplicates(docs, width, id_col, text_col, least)
     named = comp.where(F.col(id_col).eqNullSafe(F.col("component_id")))
     keep = named.groupBy("_root").agg(F.min(F.struct("_tag", F.col(id_col).alias("_keep"))).alias("k")).select("k._keep", "k._tag")
     keep = cut(keep)

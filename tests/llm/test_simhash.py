@@ -15,6 +15,11 @@ def fingerprint(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def shingle_set(text, width):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
 def groups(values, linked):
     """Root of each value; roots are found by searching on from each value."""
     root = {}
@@ -69,6 +74,30 @@ def test_links_of_crowds(spark):
             assert same == (root[a] == root[b])
 
 
+def test_likeness_against_all_pairs(spark):
+    """Edited copies at all distances, copies of copies, and a passage that many texts hold."""
+    rnd = random.Random(11)
+    new = lambda n: [f"w{rnd.randrange(500)}" for _ in range(n)]
+    passage, rows = new(80), []
+    for _ in range(12):
+        base = new(rnd.choice([60, 150, 400]))
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rnd.randrange(len(t) // 12)):
+                t[rnd.randrange(len(t))] = "edit"
+            rows.append(" ".join(t))
+            if rnd.random() < 0.3:
+                base = t
+    rows += [" ".join(new(90) + passage) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, least=0.8).collect()}
+    sets = [shingle_set(t, 5) for t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 20 and sum(got[i] == got[j] for i, j in alike) >= 0.95 * len(alike)
+    touched = {i for p in alike for i in p}
+    assert all(got[i] == i for i in range(len(rows)) if i not in touched)
+
+
 def test_rows_of_all_kinds(spark):
     rows = [(5, "a b c d e f"), (3, "A B C D E F"), (3, "A B C D E F"), (None, "a b c d e f"), (9, None), (8, ""), (None, "z y x w v u t"), (7, "long " * 50000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1))
