@@ -8,6 +8,7 @@ compiled into one Spark column expression over the statistics.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -105,16 +106,12 @@ def fitted(labelled: DataFrame, label: str = "label") -> Model:
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0))).first()
     prior = (ones + 1) / (n + 2)
     if ones in (0, n):
-        import math
-
         return Model((), math.log(prior / (1 - prior)))
     table = cut(VectorAssembler(inputCols=names, outputCol="features").transform(rows.select(*names, F.col(label).cast("double").alias("label"))))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, cacheNodeIds=False, minInstancesPerNode=10).fit(table.select("features", "label"))
     roots = [t._java_obj.rootNode() for t in trees.trees]
     rules = [Rule(t) for t in dict.fromkeys(p for r in roots for p in _paths(r, names))]
     if not rules:
-        import math
-
         return Model((), math.log(prior / (1 - prior)))
     met = cut(table.select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)]))
     met = cut(VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(met).select("features", "label"))
