@@ -7,23 +7,25 @@ the block that owns it, in two steps of falling length:
 1. Content-defined chunks: stretches of words between places picked by the
    words themselves, each long enough to hold every window that begins in it.
    A chunk that an earlier document has is a factor, whatever its length.
-2. Windows that begin in none of those chunks, where their rarest part (the
-   least hash of the short word runs in a window) is shared at all.
+2. Windows of the other chunks whose rarest part (the least hash of the short
+   word runs in a window) is in several such chunks.
 
-A window's first holder has it in neither kind of factor, so windows left out
-in step 2 never hide an earlier holder. Factors that touch or overlap are one;
-at their boundaries single windows decide, so spans are exact. Sequences are
-known by 128 bits over 64-bit hashes of their words.
+A window's first holder has it in no factor of the first kind, so windows left
+out in step 2 never hide an earlier holder. Factors that touch or overlap are
+one; at their boundaries single windows decide, so spans are exact. Sequences
+are known by 128 bits over 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import cut, row_tag
@@ -37,8 +39,8 @@ CHUNK = 32
 MEMORY = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-#: Rows of an Arrow batch.
-BATCH = 1 << 16
+#: Bytes of text that are parsed at a time (a longer text by itself).
+SLICE = 1 << 21
 
 
 class _Words(dict):
@@ -67,203 +69,229 @@ UP = [_Powers(b) for b in BASES]
 DOWN = [_Powers(pow(b, -1, 1 << 64)) for b in BASES]
 
 
-class Parser:
-    """The words of a text as hashes, and hashes of stretches of them."""
+class Slice:
+    """Some texts parsed side by side. Places count over the words of all."""
 
     known = _Words()
 
-    def __init__(self, text: str | None, width: int = WIDTH):
-        words = (text or "").encode().split()
-        self.n, self.width = len(words), width
-        self.h = np.fromiter(map(self.known.__getitem__, words), np.uint64, self.n)
+    def __init__(self, texts: list[str], width: int = WIDTH):
+        self.width, self.words = width, [t.encode().split() for t in texts]
+        self.n = np.array([len(w) for w in self.words], np.int64)
+        self.off = np.cumsum(self.n) - self.n
+        total = int(self.n.sum())
+        self.h = np.fromiter(map(self.known.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        place = np.arange(total) - self.off[self.doc]
+        #: Whether a window begins here, and whether it is a text's first.
+        self.valid = place + width <= self.n[self.doc]
+        self.head = self.valid & (place == 0)
         self.sums: dict[int, np.ndarray] = {}
 
     def hashed(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The k-th hash of each stretch of words [start, end): sums of words times
         powers, by differences of running sums, brought back to the power 0."""
         if k not in self.sums:
-            s = self.sums[k] = np.zeros(self.n + 1, np.uint64)
-            np.cumsum((self.h ^ (self.h >> np.uint64(31 + k))) * UP[k].first(self.n), out=s[1:])
+            s = self.sums[k] = np.zeros(len(self.h) + 1, np.uint64)
+            np.cumsum((self.h ^ (self.h >> np.uint64(31 + k))) * UP[k].first(len(self.h)), out=s[1:])
         s = self.sums[k]
-        v = (s[end] - s[start]) * DOWN[k].first(self.n + 1)[start] + (end - start).astype(np.uint64) * MIX
+        v = (s[end] - s[start]) * DOWN[k].first(len(s))[start] + (end - start).astype(np.uint64) * MIX
         v ^= v >> np.uint64(32)
         v *= MIX
         return (v ^ (v >> np.uint64(29))).view(np.int64)
 
-    def stretches(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        return [self.hashed(k, start, end) for k in (0, 1)]
-
     def runs(self) -> np.ndarray:
         """A hash for each short run of words."""
-        at = np.arange(max(0, self.n - RUN + 1))
+        at = np.arange(max(0, len(self.h) - RUN + 1))
         return self.hashed(0, at, at + RUN).view(np.uint64)
 
+    def rarest(self, runs: np.ndarray) -> np.ndarray:
+        """For each place the least hash of the runs of its window (any number where there is none)."""
+        out = np.full(len(self.h), np.iinfo(np.uint64).max)
+        for j in range(self.width - RUN + 1):
+            part = runs[j:]
+            np.minimum(out[: len(part)], part, out=out[: len(part)])
+        return out.view(np.int64)
+
     def chunks(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, last + 1) window of each chunk: they part where a run's hash
         says so, so equal stretches are parted alike."""
-        windows = self.n - self.width + 1
-        if windows < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        inner = np.flatnonzero(runs[1:windows] % np.uint64(CHUNK) == 0) + 1
-        edges = np.concatenate([[0], inner, [windows]])
-        return edges[:-1], edges[1:]
+        cut_here = self.head.copy()
+        cut_here[: len(runs)] |= runs % np.uint64(CHUNK) == 0
+        start = np.flatnonzero(cut_here & self.valid)
+        end = np.append(start[1:], len(self.h))
+        return start, np.minimum(end, (self.off + self.n - self.width + 1)[self.doc[start]])
 
-    def rarest(self, runs: np.ndarray) -> np.ndarray:
-        """For each window the least hash of its runs."""
-        windows = self.n - self.width + 1
-        if windows < 1:
-            return np.zeros(0, np.int64)
-        per = self.width - RUN + 1
-        return np.lib.stride_tricks.sliding_window_view(runs, per)[:windows].min(1).view(np.int64)
 
-
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _tag, _text; _key names a row by both."""
-    df = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    return df.select(F.xxhash64("_id", "_tag").alias("_key"), "_id", "_tag", "_text")
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, some at a time."""
+    for b in batches:
+        sizes = pc.binary_length(b.column("_text")).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if held and held + n > SLICE:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Places of ids in order; equal ids share one, null comes last."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def _answered(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(h1, known): known where the slice itself has the sequence under a smaller
+    id. Those rows get another h1, so that of a sequence that many documents have
+    few rows of a slice go to one place."""
+    order = np.lexsort((rank, h2, h1))
+    a, b, r = h1[order], h2[order], rank[order]
+    head = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    known = np.zeros(len(order), bool)
+    known[order] = r > r[head][np.cumsum(head) - 1]
+    return np.where(known, key, h1), known
 
 
-def _flush(names: list[str], cols: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], names)
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_key, _id, _text; _key names a row by its id and text."""
+    return docs.select(F.xxhash64(F.col(id_col), row_tag(text_col)).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
 
 
-def _emitting(each, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Record batches of bounded size of what `each` gives (a list of arrays) for a row."""
-    held: list[list] = [[] for _ in names]
-    rows = 0
-    for b in batches:
-        for i in range(b.num_rows):
-            got = each(b, i)
-            if got is None or not len(got[0]):
-                continue
-            for h, g in zip(held, got, strict=True):
-                h.append(g)
-            rows += len(got[0])
-            if rows >= BATCH:
-                yield _flush(names, held)
-                held, rows = [[] for _ in names], 0
-    if rows:
-        yield _flush(names, held)
+#: With _key, tells documents apart.
+ALSO = "xxhash64(_id)"
 
 
 def _chunk_rows(src: DataFrame, width: int) -> DataFrame:
-    """h1, h2, _id, _key, first, last: one row per chunk."""
-    kind = src.schema["_id"].dataType.simpleString()
-
-    def each(b: pa.RecordBatch, i: int):
-        p = Parser(b.column("_text")[i].as_py(), width)
-        a, e = p.chunks(p.runs())
-        if not len(a):
-            return None
-        h1, h2 = p.stretches(a, e + width - 1)
-        n = len(a)
-        same = lambda c: pa.repeat(b.column(c)[i], n)
-        return [pa.array(h1), pa.array(h2), same("_id"), same("_key"), pa.array(a.astype(np.int32)), pa.array(e.astype(np.int32))]
-
-    names = ["h1", "h2", "_id", "_key", "first", "last"]
-    return src.select("_id", "_key", "_text").mapInArrow(lambda bs: _emitting(each, names, bs), f"h1 long, h2 long, _id {kind}, _key long, first int, last int")
+    """h1, h2, known, _id, _key, first, last, rare: one row per chunk; rare has the least run hashes of its windows."""
+    names = ["h1", "h2", "known", "_id", "_key", "first", "last", "rare"]
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            p = Slice(b.column("_text").to_pylist(), width)
+            runs = p.runs()
+            start, end = p.chunks(runs)
+            if not len(start):
+                continue
+            m = p.rarest(runs)
+            new = p.valid.copy()
+            new[1:] &= m[1:] != m[:-1]
+            new[start] = True
+            at = np.flatnonzero(new)
+            lists = np.append(np.searchsorted(at, start), len(at)).astype(np.int32)
+            of = p.doc[start]
+            place = lambda x: pa.array((x - p.off[of]).astype(np.int32))
+            h1, h2 = (p.hashed(k, start, end + width - 1) for k in (0, 1))
+            keys = b.column("_key").take(pa.array(of))
+            h1, known = _answered(h1, h2, _ranks(b.column("_id"))[of], keys.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(known), b.column("_id").take(pa.array(of)), keys, place(start), place(end), pa.ListArray.from_arrays(pa.array(lists), pa.array(m[at]))], names)
 
-def _rare_rows(src: DataFrame, width: int) -> DataFrame:
-    """m, _key: the least run hashes of a row's windows, each once."""
+    kind = src.schema["_id"].dataType.simpleString()
+    return src.mapInArrow(each, f"h1 long, h2 long, known boolean, _id {kind}, _key long, first int, last int, rare array<long>")
 
-    def each(b: pa.RecordBatch, i: int):
-        p = Parser(b.column("_text")[i].as_py(), width)
-        m = np.unique(p.rarest(p.runs()))
-        return [pa.array(m), pa.repeat(b.column("_key")[i], len(m))] if len(m) else None
 
-    return src.select("_key", "_text").mapInArrow(lambda bs: _emitting(each, ["m", "_key"], bs), "m long, _key long")
+def _flat(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    c = b.column(name)
+    return pc.list_flatten(c).to_numpy(zero_copy_only=False), pc.list_parent_indices(c).to_numpy()
 
 
 def _window_rows(rows: DataFrame, width: int) -> DataFrame:
-    """h1, h2, _id, _key, first: windows that begin outside of the row's spans
-    (sorted) and whose rarest run is among the shared ones."""
-    kind = rows.schema["_id"].dataType.simpleString()
+    """h1, h2, known, _id, _key, first: windows that begin outside of the row's
+    ranges and whose rarest run is among the shared ones."""
+    names = ["h1", "h2", "known", "_id", "_key", "first"]
 
-    def each(b: pa.RecordBatch, i: int):
-        p = Parser(b.column("_text")[i].as_py(), width)
-        m = p.rarest(p.runs())
-        if not len(m):
-            return None
-        free = np.isin(m, np.asarray(b.column("shared")[i].as_py(), np.int64))
-        for a, e in zip(b.column("firsts")[i].as_py() or (), b.column("lasts")[i].as_py() or (), strict=True):
-            free[a:e] = False
-        at = np.flatnonzero(free)
-        if not len(at):
-            return None
-        h1, h2 = p.stretches(at, at + width)
-        same = lambda c: pa.repeat(b.column(c)[i], len(at))
-        return [pa.array(h1), pa.array(h2), same("_id"), same("_key"), pa.array(at.astype(np.int32))]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            p = Slice(b.column("_text").to_pylist(), width)
+            # a run shared by another row of the slice does no harm here
+            free = p.valid & np.isin(p.rarest(p.runs()), _flat(b, "shared")[0])
+            depth = np.zeros(len(p.h) + 1, np.int64)
+            for name, step in (("firsts", 1), ("lasts", -1)):
+                at, of = _flat(b, name)
+                np.add.at(depth, at.astype(np.int64) + p.off[of], step)
+            at = np.flatnonzero(free & (np.cumsum(depth)[:-1] == 0))
+            if not len(at):
+                continue
+            of = p.doc[at]
+            h1, h2 = (p.hashed(k, at, at + width) for k in (0, 1))
+            keys = b.column("_key").take(pa.array(of))
+            h1, known = _answered(h1, h2, _ranks(b.column("_id"))[of], keys.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(known), b.column("_id").take(pa.array(of)), keys, pa.array((at - p.off[of]).astype(np.int32))], names)
 
-    names = ["h1", "h2", "_id", "_key", "first"]
-    return rows.select("_id", "_key", "_text", "shared", "firsts", "lasts").mapInArrow(lambda bs: _emitting(each, names, bs), f"h1 long, h2 long, _id {kind}, _key long, first int")
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.select("_id", "_key", "_text", "shared", "firsts", "lasts").mapInArrow(each, f"h1 long, h2 long, known boolean, _id {kind}, _key long, first int")
 
 
-def _seen_before(rows: DataFrame) -> DataFrame:
-    """The rows whose sequence a row with a smaller id has; a null id is larger than any."""
-    first = rows.groupBy("h1", "h2").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1 and _least is not null")
-    return rows.join(first, ["h1", "h2"]).where(F.col("_id").isNull() | (F.col("_id") > F.col("_least")))
+def _with_first(rows: DataFrame) -> DataFrame:
+    """rows with seen: whether a row with a smaller id has the sequence (h1, h2);
+    a null id is larger than any. One shuffle, and a group is read in order: what
+    many documents have has been thinned out by _answered before."""
+    least = F.first("_id").over(Window.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("_id")))
+    later = least.isNotNull() & (F.col("_id").isNull() | (F.col("_id") > least))
+    return rows.withColumn("seen", F.col("known") | later)
 
 
 def _ranges(rows: DataFrame) -> DataFrame:
-    """_k, _i, firsts, lasts: the ranges of each document, sorted."""
-    every = rows.groupBy(F.col("_key").alias("_k"), F.col("_id").alias("_i")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"))
-    return every.select("_k", "_i", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"))
-
-
-def _with(src: DataFrame, ranges: DataFrame) -> DataFrame:
-    return src.join(ranges, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left")
-
-
-def factors(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_k, _i, firsts, lasts: for each row of docs that has any (by key and id),
-    the ranges of windows that begin in a document with a smaller id too (sorted; ends exclusive)."""
-    src = _source(docs, id_col, text_col)
-    row = ["_key", "_id"]
-    seen = cut(_seen_before(_chunk_rows(src, width)).select(*row, "first", "last"))
-    rare = _rare_rows(src, width)
-    several = rare.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
-    shared = cut(rare.join(several, "m").groupBy("_key").agg(F.collect_set("m").alias("shared")))
-    asked = _with(src.join(shared, "_key"), _ranges(seen))
-    windows = cut(_window_rows(asked, width))
-    single = _seen_before(windows).select(*row, "first", (F.col("first") + 1).alias("last"))
-    return _ranges(seen.union(single))
+    """_key, _k2, firsts, lasts: the ranges of windows of each document, sorted."""
+    every = rows.groupBy("_key", F.expr(ALSO).alias("_k2")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"))
+    return every.select("_key", "_k2", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"))
+
+
+def factored(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _text of each row of docs, with firsts and lasts: the ranges of windows
+    that begin in a document with a smaller id too (sorted, ends exclusive; may be null)."""
+    chunks = _with_first(_chunk_rows(_source(docs, id_col, text_col), width))
+    chunks = cut(chunks.select("_key", "_id", "first", "last", "seen", F.when(~F.col("seen"), F.col("rare")).alias("rare")))
+    seen = chunks.where("seen").select("_key", "_id", "first", "last")
+    rare = chunks.where("not seen").select("_key", "_id", F.explode("rare").alias("m")).select("m", "_key", F.expr(ALSO).alias("_k2")).repartition("m")
+    # chunks that touch tell of the same run, so documents are counted and not rows
+    several = rare.groupBy("m").agg(F.min(F.struct("_key", "_k2")).alias("a"), F.max(F.struct("_key", "_k2")).alias("b")).where("a <> b").select("m")
+    shared = cut(rare.join(several, "m").groupBy("_key", "_k2").agg(F.collect_set("m").alias("shared")))
+    # texts are dealt once, for the windows and for the result
+    src = _source(docs, id_col, text_col).withColumn("_k2", F.expr(ALSO)).repartition("_key", "_k2")
+    asked = src.join(shared, ["_key", "_k2"]).join(_ranges(seen), ["_key", "_k2"], "left")
+    windows = _with_first(_window_rows(asked, width))
+    single = windows.where("seen").select("_key", "_id", "first", (F.col("first") + 1).alias("last"))
+    return src.join(_ranges(seen.union(single)), ["_key", "_k2"], "left").select("_id", "_text", "firsts", "lasts")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, n_words, n_removed, kept (the words left, joined by
-    one space), spans (array of start, end of removed words, ends exclusive).
+    one space), starts, ends (of the stretches of words removed; ends exclusive).
 
     A word goes if it is in a window of `width` words that begins in a row with
     a smaller id too. Windows are those of the input. Rows with equal ids take
     nothing from each other; a null id is larger than any. A null text has no
     words. Repeated rows get a result each; other columns are ignored.
     """
-    src = _source(docs, id_col, text_col)
-    found = cut(factors(docs, width, id_col, text_col))
-    kind = src.schema["_id"].dataType.simpleString()
-    schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    if width < RUN:
+        raise ValueError(f"windows have {RUN} words at least")
+    rows = factored(docs, width, id_col, text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
+        for b in _slices(batches):
+            sizes, gone, kept, starts, ends = [], [], [], [], []
             for text, firsts, lasts in zip(*(b.column(c).to_pylist() for c in ("_text", "firsts", "lasts")), strict=True):
                 words = text.encode().split()
-                spans: list[list[int]] = []
-                for a, e in zip(firsts or (), lasts or (), strict=True):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e + width - 1)
+                left, s, e, at = [], [], [], 0
+                for first, last in zip(firsts or (), lasts or (), strict=True):
+                    if e and first <= e[-1]:
+                        e[-1] = max(e[-1], last + width - 1)
                     else:
-                        spans.append([a, e + width - 1])
-                kept, at = [], 0
-                for a, e in spans:
-                    kept += words[at:a]
-                    at = e
-                kept += words[at:]
-                out.append({"n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode(), "spans": [{"start": a, "end": e} for a, e in spans]})
-            new = pa.RecordBatch.from_pylist(out, schema)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), *new.columns], [id_col, *schema.names])
-
-    rows = _with(src, found).select("_id", "_text", "firsts", "lasts")
-    return rows.mapInArrow(each, f"`{id_col}` {kind}, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
+                        s.append(first)
+                        e.append(last + width - 1)
+                for x, y in zip(s, e, strict=True):
+                    left += words[at:x]
+                    at = y
+                left += words[at:]
+                sizes.append(len(words))
+                gone.append(len(words) - len(left))
+                kept.append(b" ".join(left))
+                starts.append(s)
+                ends.append(e)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (starts, ends)]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *lists], [id_col, "n_words", "n_removed", "kept", "starts", "ends"])
 
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(each, f"`{id_col}` {kind}, n_words long, n_removed long, kept string, starts array<long>, ends array<long>")
