@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import cut
+
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are never revisits.
@@ -79,12 +81,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     """
     p = pages.select(F.col(id_col).alias("_id"), F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("_url"), F.coalesce(F.col(body_col), F.lit("")).alias("_body"))
     p = p.withColumn("_sha", F.sha1(F.to_binary(F.col("_body"), F.lit("utf-8"))))
+    # never null, so the join and the window below share one shuffle of payloads
+    p = p.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col("_id").cast("string")), F.lit("")))
     # payloads stay where they are while groups are found; only ids and digests move
-    narrow = p.where(F.octet_length("_body") >= least).select("_id", "_sha")
+    narrow = p.where(F.octet_length("_body") >= least).select("_id", "_name", "_sha")
     several = narrow.groupBy("_sha").agg(F.count("*").alias("n"), F.max("_id").alias("_first")).where("n > 1 and _first is not null").select("_sha", "_first")
-    revisits = narrow.join(several, "_sha").where(~F.col("_id").eqNullSafe(F.col("_first"))).select(F.col("_id").alias("_i"), F.col("_sha").alias("_s"), "_first").distinct()
-    both = p.join(revisits, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left")
-    same = Window.partitionBy("_id", "_sha", "_url").orderBy(F.lit(0))
+    revisits = narrow.join(several, "_sha").where(~F.col("_id").eqNullSafe(F.col("_first"))).select("_name", "_sha", "_first").distinct()
+    both = p.join(revisits, ["_name", "_sha"], "left")
+    same = Window.partitionBy("_name", "_sha").orderBy("_url")
     both = both.withColumn("_n", F.row_number().over(same))
     rid = lambda what, i, n: _urn(F.lit(what), i, F.col("_sha"), n)
     # the copy of a response that revisits name is the first one
@@ -164,8 +168,8 @@ def parse(data: bytes) -> Iterator[dict]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record (SCHEMA). Archives are decompressed as they are parsed,
-    and rows leave in batches of bounded bytes."""
+    """One row per record: SCHEMA, then payload_bytes and payload_sha1. Archives are
+    decompressed as they are parsed, and rows leave in batches of bounded bytes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +185,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where("length > 0").select("content").mapInArrow(each, SCHEMA)
+    recs = files.where("length > 0").select("content").mapInArrow(each, SCHEMA)
+    return recs.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.sha1("payload")})
 
 
 def captures(recs: DataFrame) -> DataFrame:
@@ -191,7 +196,8 @@ def captures(recs: DataFrame) -> DataFrame:
     Requests and metadata join the response through WARC-Concurrent-To, which
     may stand in either of the two records. Where several match, the one of the
     smallest id stands; where none does, the struct is null. Requests and
-    metadata that belong to no response are left out.
+    metadata that belong to no response are left out. Payloads need not be among
+    the columns of recs; without them the joins move headers only.
     """
     cols = recs.columns
     main = recs.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), F.struct(*cols).alias("response"))
@@ -214,12 +220,14 @@ def resolved(caps: DataFrame, id_field: str = "page_id") -> DataFrame:
         "capture_id",
         F.col("metadata.fields")[id_field].alias("id"),
         F.col("response.type").alias("type"),
-        F.octet_length("response.payload").cast("long").alias("bytes"),
-        F.sha1("response.payload").alias("sha"),
+        F.col("response.payload_bytes").alias("bytes"),
+        F.col("response.payload_sha1").alias("sha"),
         F.col("response.refers_to").alias("to"),
     )
+    narrow = cut(narrow)
     said = narrow.where("type = 'response'").groupBy(F.col("capture_id").alias("_to")).agg(F.min("id").alias("_id"), F.min("bytes").alias("_bytes"), F.min("sha").alias("_sha"))
-    both = narrow.join(said, F.when(F.col("type") == "revisit", F.col("to")) == F.col("_to"), "left")
+    # a response that a third of all captures refer to: with both sides written, Spark splits its partition
+    both = narrow.join(cut(said), F.when(F.col("type") == "revisit", F.col("to")) == F.col("_to"), "left")
     again = F.col("type") == "revisit"
     pick = lambda a, b: F.when(again, F.col(a)).otherwise(F.col(b))
     return both.select("capture_id", "id", "type", pick("_bytes", "bytes").alias("payload_bytes"), pick("_sha", "sha").alias("payload_digest"), F.when(again, F.col("_id")).alias("refers_to"))

@@ -16,6 +16,8 @@ PAGES = [
     (None, "http://d.example/", BIG),
     (7, "http://e.example/", ""),
     (2, "https://b.example", BIG),
+    (2, "https://other.example", BIG),
+    (4, None, SMALL),
 ]
 
 
