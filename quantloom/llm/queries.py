@@ -28,7 +28,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = cut_path(spark, "warc")
     warc.write(warc.records(table(spark, sf_dir, "pages")), path)
-    found = warc.resolved(warc.captures(warc.read(spark, path).drop("payload")))
+    headers = cut(warc.read(spark, path).drop("payload"))  # archives are parsed once
+    found = warc.resolved(warc.captures(headers))
     return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
 
 
