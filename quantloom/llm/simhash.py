@@ -10,9 +10,10 @@ are linked through the 65 values at no more than one bit's distance instead:
 two fingerprints differ in at most two bits exactly if such a value is common
 to both, so a star around each value links the same groups.
 
-Two bits reach texts that are nearly equal. For a likeness of 0.8 the sections
-of texts have SimHashes of their own: texts that share one and are of about one
-size are compared by their shingles.
+Two bits reach texts that are nearly equal. For a likeness of 0.8 the sets of
+shingles are joined: two sets that are so alike share one of the rarest
+n - ceil(0.8 n) + 1 shingles of either (in any order common to all), so these
+are the keys under which texts meet.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import cut, row_tag
@@ -33,8 +35,12 @@ SEED = 42
 CHUNK = 1 << 16
 
 
-#: Mean and least number of shingles in a section.
-SECTION, LEAST_SECTION = 16, 4
+#: One text in so many is counted for the order of shingles; the most frequent ones found are sent to all executors.
+SAMPLE, MOST_FREQUENT = 32, 1 << 19
+#: Longs in which a set is outlined, and holders of a key that one task pairs with as many others.
+OUTLINE, BLOCK = 4, 1024
+#: Room for rounding in bounds; what they let through is compared exactly.
+SLACK = 1e-6
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -63,71 +69,133 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
 
 
-def sections(h: np.ndarray) -> np.ndarray:
-    """SimHashes of the sections of a text (of the whole, if none is long enough).
-    Sections part where a shingle's hash says so, so an edit changes one or two."""
-    edges = np.append(np.flatnonzero(h % np.uint64(SECTION) == 0), len(h))
-    edges = edges if edges[0] == 0 else np.insert(edges, 0, 0)
-    sizes = np.diff(edges)
-    at = np.flatnonzero(sizes >= LEAST_SECTION)
-    if not len(at):
-        return np.array([fingerprint(h)], np.int64)
-    total = np.zeros((len(h) + 1, 64), np.int32)
-    np.cumsum(_bits(h), axis=0, dtype=np.int32, out=total[1:])
-    ones = total[edges[at + 1]] - total[edges[at]]
-    return np.unique(np.packbits(ones * 2 > sizes[at][:, None], axis=1).view(">i8").ravel().astype(np.int64))
+def frequent(docs: DataFrame, width: int, text_col: str = "text") -> Broadcast:
+    """Shingles that a sample of texts holds most often (sorted), and how often.
+    They only order shingles: which ones are in it changes no result."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(t.as_py(), width)) for t in b.column(0)]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = some.mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return docs.sparkSession.sparkContext.broadcast((h[order], n[order]))
+
+
+def rarest(h: np.ndarray, known: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """Of a set (sorted), the rarest shingles, one of which is in each set that is alike by `least`."""
+    n = np.zeros(len(h), np.int64)
+    if len(known[0]):
+        at = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+        n = np.where(known[0][at] == h, known[1][at], 0)
+    return h[np.lexsort((h, n))][: len(h) - math.ceil(least * len(h) - SLACK) + 1]
 
 
-def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", parts: bool = False) -> DataFrame:
-    """_id, _tag, fp per row of docs; with parts, also n (distinct shingles) and parts (SimHashes of sections)."""
+def outline(h: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of a set's members hash to them. Sets
+    differ in at least as many members as their outlines in bits."""
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % (64 * OUTLINE), minlength=64 * OUTLINE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
+def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
+    """_id, _tag, fp per row of docs; with least, also of the set of shingles: s (its hash), n (size), keys (rarest), o0, ... (outline)."""
     source = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
+    known = frequent(docs, width, text_col) if least is not None else None
+    more = {} if least is None else {"s": "long", "n": "int", "keys": "array<long>"} | {f"o{i}": "long" for i in range(OUTLINE)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, ns, secs = [], [], []
+            fps, sets, keys, lines = [], [], [], []
             for t in b.column(2):
                 h = shingles(t.as_py(), width)
                 fps.append(fingerprint(h))
-                if parts:
-                    ns.append(len(np.unique(h)))
-                    secs.append(sections(h) if len(h) else [])
-            more = [pa.array(ns, pa.int32()), pa.array(secs, pa.list_(pa.int64()))] if parts else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), *more], ["_id", "_tag", "fp", *(["n", "parts"] if parts else [])])
+                if least is not None:
+                    h = np.unique(h)
+                    sets.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), len(h)))
+                    keys.append(rarest(h, known.value, least).view(np.int64) if len(h) else [])
+                    lines.append(outline(h))
+            extra = []
+            if least is not None:
+                extra = [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                extra += [pa.array([x[i] for x in lines], pa.int64()) for i in range(OUTLINE)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), *extra], ["_id", "_tag", "fp", *more])
 
     kind = dict(source.dtypes)["_id"]
-    return source.mapInArrow(each, f"_id {kind}, _tag long, fp long" + (", n int, parts array<long>" if parts else ""))
+    return source.mapInArrow(each, ", ".join([f"_id {kind}, _tag long, fp long", *(f"{k} {v}" for k, v in more.items())]))
 
 
-def _meetings(one: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs x, y of fingerprints of documents that share a section and whose
-    sizes allow a likeness of `least`, in two tables. one: fp, n, parts.
+PAIR = ["xs", "xf", "ys", "yf"]
 
-    The holders of a section meet one or two of them, not each other, so a
-    section that many hold gives stars. In the first table the centre is the
-    holder of the least fingerprint, in the second it depends on the section.
-    Sizes are in classes of the ratio `least`, and each document is in two, so
-    that none that may be alike are parted.
-    """
-    size = F.floor(F.ln(F.col("n").cast("double")) / -math.log(least)).cast("int")
-    own = one.where("n > 0").select(F.struct("fp", "n").alias("y"), F.explode("parts").alias("part"), size.alias("c"))
-    keyed = own.select("y", F.explode(F.array(F.xxhash64("part", "c"), F.xxhash64("part", F.col("c") + 1))).alias("key")).repartition("key")
-    turn = F.struct(F.xxhash64("key", "y.fp").alias("h"), "y")
-    stars = keyed.groupBy("key").agg(F.min("y").alias("x"), F.min(turn).alias("a"), F.max(turn).alias("b"), F.count("*").alias("k")).where("k > 1")
-    met = cut(keyed.join(stars.select("key", "x", F.col("a.y").alias("a"), F.col("b.y").alias("b")), "key"))
-    fits = (F.col("x.fp") != F.col("y.fp")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least))
-    pair = [F.col("x.fp").alias("x"), F.col("y.fp").alias("y")]
-    return met.where(fits).select(*pair).distinct(), met.select(F.explode(F.array("a", "b")).alias("x"), "y").where(fits).select(*pair).distinct()
+
+def _apart() -> Column:
+    """Members in which the sets x and y differ, at least."""
+    return sum((F.bit_count(F.col(f"x.o{i}").bitwiseXOR(F.col(f"y.o{i}"))) for i in range(OUTLINE)), F.lit(0))
+
+
+def _may(least: float) -> Column:
+    """Whether x and y, of which this is the first key in common, may be alike."""
+    both = (F.col("x.n") + F.col("y.n")).cast("double")
+    need = both * (least / (1 + least)) - SLACK
+    return (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need) & (_apart() <= both - need * 2)
+
+
+def _paired(df: DataFrame, *more: Column | str) -> DataFrame:
+    return df.select(F.col("x.s").alias("xs"), F.col("x.fp").alias("xf"), F.col("y.s").alias("ys"), F.col("y.fp").alias("yf"), *more).distinct()
+
+
+def _holders(fps: DataFrame, one: DataFrame) -> DataFrame:
+    """key, y (set, fp, n, pos: place of the key in the set's order, outline) for the keys that several sets hold."""
+    sets = fps.where("n > 0").groupBy("s").agg(F.first("keys").alias("keys"))
+    keyed = sets.select("s", F.posexplode("keys").alias("pos", "key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    lines = [f"o{i}" for i in range(OUTLINE)]
+    return cut(keyed.join(shared, "key").join(one.select("s", "fp", "n", *lines), "s").select("key", F.struct("s", "fp", "n", "pos", *lines).alias("y")))
+
+
+def _stars(held: DataFrame, least: float) -> DataFrame:
+    """Pairs of the sets of a key with one of them: one that has few shingles rarer
+    than the key, as the original of a family of copies."""
+    centre = F.min(F.struct("y.pos", F.xxhash64("y.s").alias("h"), "y"))
+    return _paired(held.join(held.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.y").alias("x")), "key").where("x.fp != y.fp").where(_may(least)))
+
+
+def _rooted(df: DataFrame, edges: DataFrame, **cols: str) -> DataFrame:
+    """df with the roots, by name, of the fingerprints in the columns given."""
+    roots = cut(components(edges))
+    for name, c in cols.items():
+        df = df.withColumn("_node", F.col(c)).join(roots.select(F.col("node").alias("_node"), F.col("root").alias(name)), "_node", "left")
+        df = df.withColumn(name, F.coalesce(name, "_node")).drop("_node")
+    return df
+
+
+def _across(held: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """All pairs of sets that have a key in common, may be alike and aren't connected
+    by edges, with the roots xr and yr and apart. Keys that many hold are paired in
+    blocks, so no task gets all pairs of a key."""
+    held = cut(_rooted(held, edges, r="y.fp"))
+    open_ = held.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("a < b").select("key", "blocks")
+    live = cut(held.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("y.s"), F.col("blocks")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = live.select("key", F.col("y").alias("x"), F.col("r").alias("xr"), F.col("own").alias("i"), other.alias("j"))
+    right = live.select("key", "y", F.col("r").alias("yr"), F.col("own").alias("j"), other.alias("i"))
+    return _paired(left.join(right, ["key", "i", "j"]).where("xr < yr").where(_may(least)), "xr", "yr", _apart().alias("apart"))
 
 
 def _alike(docs: DataFrame, met: DataFrame, one: DataFrame, width: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of met (x, y) whose sets of shingles have a Jaccard likeness of
-    `least` or more. one: the row (_i, _t) that stands for each fp."""
+    """The pairs of met (PAIR) whose sets of shingles have a Jaccard likeness of
+    `least` or more. one: the row (_i, _t) that stands for each s."""
     met = cut(met)
     # texts of the documents in question only
-    asked = one.join(met.select(F.col("x").alias("fp")).union(met.select("y")).distinct(), "fp")
+    asked = one.join(met.select(F.col("xs").alias("s")).union(met.select("ys")).distinct(), "s").select("s", "_i", "_t")
     rows = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
-    texts = cut(rows.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t"))).groupBy("fp").agg(F.first("_text").alias("text")))
-    pairs = met.join(texts.select(F.col("fp").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("fp").alias("y"), F.col("text").alias("ty")), "y")
+    texts = cut(rows.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t"))).groupBy("s").agg(F.first("_text").alias("text")))
+    pairs = met.join(texts.select(F.col("s").alias("xs"), F.col("text").alias("tx")), "xs").join(texts.select(F.col("s").alias("ys"), F.col("text").alias("ty")), "ys")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,23 +204,30 @@ def _alike(docs: DataFrame, met: DataFrame, one: DataFrame, width: int, least: f
                 u, v = (np.unique(shingles(c.as_py(), width)) for c in (s, t))
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 good.append(both >= least * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([b.column("xf"), b.column("yf")], ["a", "b"]).filter(pa.array(good))
 
-    return pairs.select("x", "y", "tx", "ty").mapInArrow(compare, "a long, b long")
+    return pairs.select("xf", "yf", "tx", "ty").mapInArrow(compare, "a long, b long")
 
 
 def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, width: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: edges, and further ones between fingerprints of documents that share a
-    section and are alike by `least`. fps: fingerprints(parts=True). What earlier
-    edges connect isn't compared again, so a large group costs about one
-    comparison a document."""
-    one = cut(fps.groupBy("fp").agg(F.min(F.struct("_id", "_tag", "n", "parts")).alias("r")).select("fp", F.col("r._id").alias("_i"), F.col("r._tag").alias("_t"), "r.n", "r.parts"))
-    for met in _meetings(one, least):
-        roots = components(edges)
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
-        far = met.join(of("x"), "x", "left").join(of("y"), "y", "left").where("x_root is null or y_root is null or x_root <> y_root").select("x", "y")
-        edges = cut(edges.union(_alike(docs, far, one.select("fp", "_i", "_t"), width, least, id_col, text_col)))
-    return edges
+    """a, b: edges, and further ones that connect all fingerprints of documents
+    that are alike by `least`. fps: fingerprints(least=least). What earlier edges
+    connect isn't compared again: stars come first, then the nearest pair of each
+    two components, then every pair that is left."""
+    one = cut(fps.where("n > 0").groupBy("s").agg(F.min(F.struct("fp", "_id", "_tag", "n", *[f"o{i}" for i in range(OUTLINE)])).alias("r")).select("s", "r.*").withColumnsRenamed({"_id": "_i", "_tag": "_t"}))
+    # words that repeat count in a fingerprint and not in a set
+    same = fps.select("s", F.col("fp").alias("b")).join(one.select("s", F.col("fp").alias("a")), "s").where("a != b").select("a", "b").distinct()
+    edges = cut(edges.union(same))
+    alike = lambda met: cut(edges.union(_alike(docs, met, one, width, least, id_col, text_col)))
+    held = _holders(fps, one)
+    edges = alike(_rooted(_stars(held, least), edges, xr="xf", yr="yf").where("xr <> yr").select(*PAIR))
+    left = cut(_across(held, edges, least))
+    if left.isEmpty():
+        return edges
+    nearest = cut(left.groupBy("xr", "yr").agg(F.min(F.struct("apart", *PAIR)).alias("p")).select("p.*").select(*PAIR))
+    edges = alike(nearest)
+    left = left.select(*PAIR).join(nearest.select("xs", "ys"), ["xs", "ys"], "left_anti")
+    return alike(_rooted(left, edges, xr="xf", yr="yf").where("xr <> yr").select(*PAIR))
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -186,14 +261,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     """Per row of docs: id_col, fingerprint (16 hex digits), component_id (the
     smallest id that a chain of links reaches), _tag.
 
-    Fingerprints within two bits link. With `least`, so do documents whose
-    shingles are alike by that much and that share a section: two bits of 64
-    hold for nearly equal texts only. A text without words (null too) has
+    Fingerprints within two bits link. With `least`, so do all documents whose
+    sets of shingles are alike by that much: two bits of 64 hold for nearly
+    equal texts only. A text without words (null too) has
     fingerprint zero and links like any other. Rows whose id is null are
     linked, but no component is named by them unless all its ids are null.
     Repeated rows get a result each.
     """
-    fps = cut(fingerprints(docs, width, id_col, text_col, parts=least is not None))
+    fps = cut(fingerprints(docs, width, id_col, text_col, least))
     first = cut(fps.groupBy("fp").agg(F.min("_id").alias("least")))
     edges = links(first.select("fp"))
     if least is not None:

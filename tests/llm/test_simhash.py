@@ -98,6 +98,29 @@ def test_likeness_against_all_pairs(spark):
     assert all(got[i] == i for i in range(len(rows)) if i not in touched)
 
 
+def test_likeness_in_a_large_family(spark):
+    """Copies that are each like the original, and not like each other."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(64)]
+    rows = set()
+    while len(rows) < 1000:
+        t = list(words)
+        t[rnd.randrange(4, 60)] = f"edit{rnd.randrange(10**9)}"
+        rows.add(" ".join(t))
+    rows = sorted(rows)
+    rows.insert(500, " ".join(words))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in simhash.near_duplicates(df, 5, least=0.8).collect()} == {0}
+
+
+def test_likeness_of_pairs_that_no_star_has(spark):
+    """Texts of a chain, and a key that all of them hold: the rest is paired in full."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join(words[3 * i : 3 * i + 40]) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicates(df, 5, least=0.8).collect()} == {0}
+
+
 def test_rows_of_all_kinds(spark):
     rows = [(5, "a b c d e f"), (3, "A B C D E F"), (3, "A B C D E F"), (None, "a b c d e f"), (9, None), (8, ""), (None, "z y x w v u t"), (7, "long " * 50000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1))
