@@ -121,6 +121,28 @@ def test_likeness_of_pairs_that_no_star_has(spark):
     assert {r.component_id for r in simhash.near_duplicates(df, 5, least=0.8).collect()} == {0}
 
 
+def test_likeness_of_short_texts_against_all_pairs(spark):
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(150):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(5, 60))]
+        rows.append(" ".join(base))
+        rows.append(" ".join([*base, "more"]))
+        rows.append(" ".join([*base[:-1], "last"]))
+        t = list(base)
+        t[rnd.randrange(len(t))] = "inside"
+        rows.append(" ".join(t))
+    rows.append(" ".join(["same"] * 30))
+    rows.append(" ".join(["same"] * 9))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, least=0.8).collect()}
+    sets, fp = [shingle_set(t, 5) for t in rows], [fingerprint(t, 5) for t in rows]
+    linked = lambda i, j: near(fp[i], fp[j]) or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    root = groups(range(len(rows)), linked)
+    assert len(set(root.values())) < len(rows) - 200
+    assert got == root
+
+
 def test_rows_of_all_kinds(spark):
     rows = [(5, "a b c d e f"), (3, "A B C D E F"), (3, "A B C D E F"), (None, "a b c d e f"), (9, None), (8, ""), (None, "z y x w v u t"), (7, "long " * 50000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1))
