@@ -22,8 +22,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 WEAK = (
-    r"""(?i)\b(?:user(?:_?name)?|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
-    r"""|\b(?:pass(?:word|wd)?|pwd|secret|token|api_?key|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,11}(?![A-Za-z0-9+/_.=-])"""
+    r"""(?i)(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
+    r"""|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,11}(?![A-Za-z0-9+/_.=-])"""
+    # names that ASSIGN does not cover, so values of any length
+    r"""|(?<![A-Za-z0-9])(?:pass|pwd|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
     r"""|(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"""
     r"""|\b(?:https?|ftp|jdbc:[a-z]+|mongodb(?:\+srv)?|postgres(?:ql)?|mysql|redis|amqps?)://[^\s"'<>]+"""
 )

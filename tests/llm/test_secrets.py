@@ -48,6 +48,17 @@ def test_weak_parts_need_each_other(spark):
     assert got == {0: {"account", "endpoint", "secret"}, 1: set(), 2: set()}
 
 
+def test_weak_names_and_lengths(spark):
+    texts = ["login: bob pwd=CorrectHorse99", "login: bob pwd=short1", "DB_USER=bob DB_PASSWORD=hunter2", "login: bob private_key: 'abcdefghijklmnopqrst'", "superuser=bob xpwd=CorrectHorse99", "pwd=CorrectHorse99"]
+    got = spans(spark, texts)
+    of = lambda i: [(s.kind, texts[i][s.start : s.end]) for s in got[i].spans]
+    assert of(0) == [("account", "login: bob"), ("secret", "pwd=CorrectHorse99")]
+    assert of(1) == [("account", "login: bob"), ("secret", "pwd=short1")]
+    assert of(2) == [("account", "USER=bob"), ("secret", "PASSWORD=hunter2")]
+    assert of(3) == [("account", "login: bob"), ("secret", "private_key: 'abcdefghijklmnopqrst")]
+    assert of(4) == of(5) == []
+
+
 def test_repeated_rows_nulls_and_redaction(spark):
     df = spark.createDataFrame([(1, TEXTS[0], 1, "a")] * 2 + [(None, TEXTS[1], 1, "b"), (2, None, None, None), (3, "clean é text", 12, "c")], "doc_id long, text string, n_chars int, _id string")
     assert secrets.secret_spans(df.drop("_id")).count() == 5
