@@ -146,6 +146,9 @@ def accepted(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_c
     at least the share `least`. The model is of docs whose fold of 4 isn't 2
     (all rows, if no such row has a language)."""
     seen = F.coalesce(fold(id_col, 4), F.lit(0)) != 2
-    found = identified(docs.withColumn("_text", F.col(text_col)), model_of(docs.where(seen), text_col, lang_col), "_text")
+    model = model_of(docs.where(seen), text_col, lang_col)
+    if not model.value[0]:
+        model = model_of(docs, text_col, lang_col)
+    found = identified(docs.withColumn("_text", F.col(text_col)), model, "_text")
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*docs.columns)

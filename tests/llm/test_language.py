@@ -1,3 +1,5 @@
+import zlib
+
 from quantloom.llm import language, queries
 
 
@@ -31,6 +33,12 @@ def test_without_labels_or_rows(spark):
     assert language.accepted(docs).count() == 0
 
 
+def test_labels_in_the_unseen_fold_only(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2][:4]
+    docs = spark.createDataFrame([(i, "the cat and the dog went there then", "en") for i in ids], "doc_id long, text string, lang string")
+    assert language.accepted(docs).count() == 4
+
+
 def test_long_text_in_pieces(monkeypatch):
     whole = language.trigrams("one two three " * 50)
     monkeypatch.setattr(language, "PIECE", 70)
