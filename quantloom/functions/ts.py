@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.scalar import col, ratio
 
+
 def by_stock():
     return Window.partitionBy("stock").orderBy("ts")
 
@@ -20,9 +21,22 @@ def rows(w: int):
     return by_stock().rowsBetween(-(w - 1), 0)
 
 
+#: From this many rows on a sum is the difference of two running ones: linear in
+#: the rows, whatever the window. Sums then carry the rounding of all rows before.
+LONG = 60
+
+
+def _running(agg: Column, w: int) -> Column:
+    """agg (a sum or count) over the last w rows."""
+    if w < LONG:
+        return agg.over(rows(w))
+    upto = lambda n: agg.over(by_stock().rowsBetween(Window.unboundedPreceding, -n))
+    return upto(0) - F.coalesce(upto(w), F.lit(0))
+
+
 def full(x: Column | str, w: int, agg: Column) -> Column:
     """agg where all w values of the window are there, else null."""
-    return F.when(F.count(col(x)).over(rows(w)) == w, agg)
+    return F.when(_running(F.count(col(x)), w) == w, agg)
 
 
 def ts_delay(x: Column | str, w: int) -> Column:
@@ -48,12 +62,12 @@ def log_return(price: Column | str = "close") -> Column:
 
 
 def ts_mean(x: Column | str, w: int) -> Column:
-    return full(x, w, F.avg(col(x)).over(rows(w)))
+    return full(x, w, _running(F.sum(col(x)), w) / w)
 
 
 def ts_sum(x: Column | str, w: int, missing: float | None = 0.0) -> Column:
     """A window that is not full gives `missing`."""
-    total = full(x, w, F.sum(col(x)).over(rows(w)))
+    total = full(x, w, _running(F.sum(col(x)), w))
     return total if missing is None else F.coalesce(total, F.lit(missing))
 
 
@@ -98,7 +112,9 @@ def decay(x: Column | str, n: int, newest_first: bool = False) -> Column:
 
 def rsi(gain: Column | str, loss: Column | str, w: int = 14) -> Column:
     """Relative strength from w gains and losses (zeros where there is none);
-    100 in a window without a loss, null in one without any change."""
+    100 in a window without a loss, null in one without any change. The strict
+    form takes gains and losses that are null where there is none: a full window
+    of both can't be, so it is null everywhere."""
     g, s = ts_mean(gain, w), ts_mean(loss, w)
     return F.when(g + s > 0, 100 * g / (g + s))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.ts import ffill, forward_return, ts_delay
-from quantloom.operators.panel import KEY
+from quantloom.operators.panel import KEY, numbered, require
 
 DAYS = 252
 
@@ -39,10 +39,12 @@ class Config:
 
 
 def hold(weights: DataFrame, holding_period: int) -> DataFrame:
-    """Dates on which no stock has a weight take those of up to holding_period - 1 dates before."""
+    """On dates on which no stock has a weight, each stock takes its own last one of
+    up to holding_period - 1 dates before (also one that the last date with weights
+    left out). Other dates stay as they are."""
     some = F.max(F.col("weight").isNotNull()).over(by_date())
-    marked = weights.withColumn("_some", some).withColumn("_w", F.when(F.col("_some"), F.coalesce("weight", F.lit(0.0))))
-    return marked.withColumn("_held", ffill("_w", holding_period - 1)).select(*KEY, F.when(F.col("_some"), F.col("weight")).otherwise(F.col("_held")).alias("weight"))
+    marked = weights.withColumn("_held", ffill("weight", holding_period - 1)).withColumn("_some", some)
+    return marked.select(*KEY, F.when(F.col("_some"), F.col("weight")).otherwise(F.col("_held")).alias("weight"))
 
 
 def prepared(weights: DataFrame, holding_period: int = 1) -> DataFrame:
@@ -60,7 +62,7 @@ def prepared(weights: DataFrame, holding_period: int = 1) -> DataFrame:
 
 def slippage(stocks: DataFrame, tiers: tuple[tuple[int, float], ...] = Config.tiers) -> DataFrame:
     """stock, place (from 1, by name), bps."""
-    place = stocks.select("stock").distinct().withColumn("place", F.row_number().over(Window.orderBy("stock")))
+    place = numbered(stocks.select("stock").distinct(), "stock")
     bps = F.lit(tiers[-1][1])
     for most, b in reversed(tiers):
         bps = F.when(F.col("place") <= most, b).otherwise(bps)
@@ -90,7 +92,7 @@ def trades(panel: DataFrame, weights: DataFrame, least: float = 0.0, tiers: tupl
     w = gated(prepared_on(weights, ahead), least)
     both = ahead.join(w, list(KEY), "left").withColumn("w", F.coalesce("traded", F.lit(0.0)))
     both = both.withColumn("dw", F.col("w") - F.coalesce(ts_delay("w", 1), F.lit(0.0)))
-    return both.join(F.broadcast(slippage(panel, tiers)), "stock").select(*KEY, "w", "dw", "ret", "price", "bps")
+    return both.join(slippage(panel, tiers), "stock").select(*KEY, "w", "dw", "ret", "price", "bps")
 
 
 def prepared_on(weights: DataFrame, days: DataFrame) -> DataFrame:
@@ -116,8 +118,10 @@ def run(panel: DataFrame, weights: DataFrame, config: Config = Config()) -> Data
     for each trade, so each date's cost depends on the equity before it: dates
     are folded in order, as a stream of one row a date. The fold keeps one
     number; with least_notional, which leaves out trades by their worth in
-    money, it keeps the weight of each stock too.
+    money, it keeps the weight of each stock too, and each date's row holds its
+    stocks, for no date can be traded before the one before it.
     """
+    require(panel, *KEY, "close")
     w = prepared(weights, config.holding_period)
     if config.least_notional > 0:
         t = trades(panel, w, 0.0, config.tiers)
@@ -157,7 +161,8 @@ def run(panel: DataFrame, weights: DataFrame, config: Config = Config()) -> Data
                 equity *= 1 + net
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    ordered = d.coalesce(1).sortWithinPartitions("ts")
+    # an exchange, so that dates are put together in many tasks and only their rows pass through the fold
+    ordered = d.repartition(1).sortWithinPartitions("ts")
     return ordered.mapInArrow(fold, "ts date, gross double, net double, turnover double, cost double, equity double")
 
 

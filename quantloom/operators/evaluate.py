@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import xs
 from quantloom.functions.ts import forward_return
-from quantloom.operators.panel import every
 
 NOISE = 1e-12
 
@@ -28,34 +27,46 @@ def with_forward(df: DataFrame, h: int = 1, name: str = "fwd") -> DataFrame:
     return df.withColumn(name, forward_return("close", h))
 
 
+def _correlated(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ic, rank_ic, n of pairs (keys, value, fwd): both ranks are taken within a key."""
+    keyed = pairs.where("value is not null and fwd is not null").select(F.struct(*keys).alias("ts"), "value", "fwd")
+    ranked = keyed.withColumns({"_r": xs.rank("value", 9), "_f": xs.rank("fwd", 9)})
+    out = ranked.groupBy("ts").agg(correlation("value", "fwd").alias("ic"), correlation("_r", "_f").alias("rank_ic"), F.count("*").alias("n"))
+    return out.select("ts.*", "ic", "rank_ic", "n")
+
+
 def coefficients(df: DataFrame, factors: list[str], fwd: str = "fwd") -> DataFrame:
     """ts, factor, ic, rank_ic, n: correlation of each factor with the return ahead, per date."""
-    long = df.select("ts", "stock", fwd, *factors).unpivot(["ts", "stock", fwd], factors, "factor", "value")
-    pairs = long.where(F.col("value").isNotNull() & F.col(fwd).isNotNull())
-    # ranks within date and factor: the date's key is made of both
-    keyed = pairs.select(F.struct("ts", "factor").alias("ts"), "stock", "value", fwd)
-    ranked = keyed.withColumns({"_r": xs.rank("value", 9), "_f": xs.rank(fwd, 9)})
-    out = ranked.groupBy("ts").agg(correlation("value", fwd).alias("ic"), correlation("_r", "_f").alias("rank_ic"), F.count("*").alias("n"))
-    return out.select("ts.ts", "ts.factor", "ic", "rank_ic", "n")
+    long = df.select("ts", F.col(fwd).alias("fwd"), *factors).unpivot(["ts", "fwd"], factors, "factor", "value")
+    return _correlated(long, ["ts", "factor"])
 
 
-def summary(ic: DataFrame) -> DataFrame:
-    """factor, ic_mean, ic_sd, icir, rank_ic_mean, rank_icir, n_dates."""
+def summary(ic: DataFrame, *by: str) -> DataFrame:
+    """factor, ic_mean, ic_sd, icir, rank_ic_mean, rank_icir, n_dates (for each value of the columns `by`)."""
     of = lambda c, name: [F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_sd")]
-    s = ic.groupBy("factor").agg(*of("ic", "ic"), *of("rank_ic", "rank_ic"), F.count("ic").alias("n_dates"))
+    s = ic.groupBy("factor", *by).agg(*of("ic", "ic"), *of("rank_ic", "rank_ic"), F.count("ic").alias("n_dates"))
     ir = lambda name: F.try_divide(F.col(f"{name}_mean"), F.when(F.col(f"{name}_sd") > NOISE, F.col(f"{name}_sd")))
-    return s.select("factor", "ic_mean", "ic_sd", ir("ic").alias("icir"), "rank_ic_mean", ir("rank_ic").alias("rank_icir"), "n_dates").orderBy(F.abs("icir").desc_nulls_last())
+    return s.select("factor", *by, "ic_mean", "ic_sd", ir("ic").alias("icir"), "rank_ic_mean", ir("rank_ic").alias("rank_icir"), "n_dates").orderBy(F.abs("icir").desc_nulls_last())
 
 
 def across_intervals(df: DataFrame, factors: list[str], intervals: tuple[int, ...] = (1, 5, 10, 30)) -> DataFrame:
-    """summary() with interval: returns of n rows ahead on every n-th date that has a factor or return."""
-    parts = []
-    for n in intervals:
-        fwd = with_forward(df, n)
-        some = reduce(Column.__or__, [F.col(c).isNotNull() for c in (*factors, "fwd")])
-        kept = every(fwd.join(fwd.where(some).select("ts").distinct(), "ts", "left_semi"), n)
-        parts.append(summary(coefficients(kept, factors)).withColumn("interval", F.lit(n)))
-    return reduce(DataFrame.unionByName, parts)
+    """summary() with interval: returns of n rows ahead on every n-th date that has a factor or return.
+
+    All returns come from one window; which dates count is told by one row a date.
+    """
+    if min(intervals, default=1) < 1:
+        raise ValueError("intervals must be positive")
+    ahead = {n: f"_fwd{n}" for n in intervals}
+    df = df.withColumns({c: forward_return("close", n) for n, c in ahead.items()}).select("ts", *factors, *ahead.values())
+    some = reduce(Column.__or__, [F.col(c).isNotNull() for c in factors])
+    dates = df.groupBy("ts").agg(*[F.max(some | F.col(c).isNotNull()).alias(c) for c in ahead.values()])
+    so_far = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    turn = lambda n, c: F.when(F.col(c) & (F.pmod(F.count_if(F.col(c)).over(so_far) - 1, F.lit(n)) == 0), F.lit(n))
+    kept = dates.select("ts", F.array_compact(F.array(*[turn(n, c) for n, c in ahead.items()])).alias("_kept"))
+    cells = [F.struct(F.lit(n).alias("interval"), F.col(c).alias("fwd")) for n, c in ahead.items()]
+    own = F.filter(F.array(*cells), lambda x: F.array_contains("_kept", x["interval"]))
+    long = df.join(F.broadcast(kept.where(F.size("_kept") > 0)), "ts").select("ts", *factors, F.inline(own)).unpivot(["ts", "interval", "fwd"], factors, "factor", "value")
+    return summary(_correlated(long, ["ts", "interval", "factor"]), "interval")
 
 
 def coverage(df: DataFrame, factors: list[str]) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.session import shared_folder
+
 KEY = ("ts", "stock")
+#: Attributes of bars in their usual order; other attributes follow by name.
+BAR = ("open", "high", "low", "close", "volume", "vwap")
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
@@ -21,20 +26,62 @@ def values(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in KEY]
 
 
+def ordered(df: DataFrame) -> DataFrame:
+    """df with its columns in the usual order: the keys, then bars' attributes (or,
+    if there are others, all by name). Rows of a table have no order of their own."""
+    names = values(df)
+    inside = [c for c in BAR if c in names] if set(names) <= set(BAR) else sorted(names)
+    return df.select(*[k for k in KEY if k in df.columns], *inside)
+
+
+def known_attributes(frames: list[DataFrame], known: tuple[str, ...], keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Rows of all frames, matched by name, with the keys and those of the known
+    attributes that any of them has."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return both.select(*keys, *[c for c in known if c in both.columns and c not in keys])
+
+
+def common_stocks(df: DataFrame, names: list[str], splits: tuple[str, ...] = ("train", "cv", "test")) -> DataFrame:
+    """stock: those that have a value of some of these columns in every split. df: with split."""
+    some = reduce(Column.__or__, [F.col(c).isNotNull() for c in names])
+    return reduce(DataFrame.intersect, [df.where(some & (F.col("split") == s)).select("stock") for s in splits])
+
+
+def numbered(df: DataFrame, by: str, name: str = "place") -> DataFrame:
+    """df (one row a value of `by`) with its place in order, from 1. Rows are dealt
+    out by ranges and numbered within; one count a range comes to the driver."""
+    path = f"{shared_folder(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    before, total = [F.lit(-1), F.lit(0)], 0
+    for part, n in sorted(ranged.groupBy("_part").count().collect()):
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by)) + F.element_at(F.create_map(*before), F.col("_part"))
+    return ranged.withColumn(name, place).drop("_part")
+
+
 def densify(df: DataFrame) -> DataFrame:
     """A row for each date and stock of df; cells that weren't there are null.
 
     Dates are few (a century of days is 37 thousand), so they are broadcast to
     the stocks; the result is as large as a dense panel is.
     """
-    dates, stocks = df.select("ts").distinct(), df.select("stock").distinct()
-    return stocks.join(F.broadcast(dates)).select(*KEY).join(df, list(KEY), "left").select(df.columns)
+    return _by_dates(df, df)
+
+
+def _by_dates(df: DataFrame, calendar: DataFrame) -> DataFrame:
+    """df on each date of calendar. The names of stocks are few rows before they meet
+    the dates and very many after, so their number of partitions is given: it would
+    be chosen by the few rows, and all that follows by stock would be in one task."""
+    parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as usual would be taken for the exchange of distinct()
+    stocks = df.select("stock").distinct().repartition(parts, "stock")
+    return stocks.join(F.broadcast(calendar.select("ts").distinct())).join(df, list(KEY), "left").select(df.columns)
 
 
 def reindexed(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """df on the dates of calendar (ts), for each of its stocks."""
-    stocks = df.select("stock").distinct()
-    return stocks.join(F.broadcast(calendar.select("ts").distinct())).join(df, list(KEY), "left").select(df.columns)
+    return _by_dates(df, calendar)
 
 
 def calendar_days(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.ts import ffill
 from quantloom.operators.panel import densify, every
-from quantloom.operators.risk import shrunk, square
+from quantloom.operators.risk import Model, shrunk, square
 
 
 def projected(v: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -47,21 +47,24 @@ def solve(mu: np.ndarray, cov: np.ndarray, aversion: float = 2.5, cap: float | N
     return w
 
 
-def optimized(pred: DataFrame, x: DataFrame, fcov: DataFrame, spec: DataFrame, rf: DataFrame | None = None, interval: int = 5, h: int = 1, aversion: float = 2.5, cap: float | None = None, short: bool = False, keep_short: bool = False) -> DataFrame:
+def optimized(pred: DataFrame, model: Model, k: int, rf: DataFrame | None = None, interval: int = 5, h: int = 1, aversion: float = 2.5, cap: float | None = None, short: bool = False, keep_short: bool = False) -> DataFrame:
     """ts, stock, weight on every interval-th date of pred (ts, stock, prediction).
 
-    One covariance serves all dates. Without any return over the risk-free rate
+    One covariance (of a model of k factors) serves all dates. Without any return over the risk-free rate
     (rf: ts, rf), or if no weights fit the cap, weights are equal. Weights are
     cut at 0 and scaled to 1 unless keep_short. A date's stocks fit in a task.
     """
-    fm = square(fcov)
-    rows = every(pred, interval).join(x, "stock").join(spec, "stock", "left")
+    fm = square(model.fcov, k)
+    rows = every(pred, interval).join(model.x, "stock").join(model.spec, "stock", "left")
     rows = rows.join(F.broadcast(rf.select("ts", "rf")), "ts", "left") if rf is not None else rows.withColumn("rf", F.lit(0.0))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("stock")
-        xm = np.vstack(pdf["x"].to_numpy())
-        v = shrunk(xm @ fm @ xm.T + np.diag(pdf["var"].fillna(1e-6).to_numpy(float))) * h
+        if fm is None:
+            v = np.eye(len(pdf))
+        else:
+            xm = np.vstack(pdf["x"].to_numpy())
+            v = shrunk(xm @ fm @ xm.T + np.diag(pdf["var"].fillna(1e-6).to_numpy(float))) * h
         v = (v + v.T) / 2 + 1e-8 * np.eye(len(v))
         mu = pdf["prediction"].fillna(0.0).to_numpy(float) - float(pdf["rf"].fillna(0.0).iloc[0])
         w = None if np.abs(mu).max() < 1e-12 else solve(mu, v, aversion, cap, short)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,15 @@ from quantloom.functions.ts import daily_return, ffill
 from quantloom.operators.panel import numbered_dates
 
 OTHER = "Other"
+#: The 49 industries of the public classification, in its order; stocks of none are in the last.
+INDUSTRIES = tuple(
+    """Agric Food Soda Beer Smoke Toys Fun Books Hshld Clths Hlth MedEq Drugs Chems Rubbr Txtls BldMt Cnstr Steel FabPr Mach ElcEq Autos Aero Ships
+Guns Gold Mines Coal Oil Util Telcm PerSv BusSv Hardw Softw Chips LabEq Paper Boxes Trans Whlsl Rtail Meals Banks Insur RlEst Fin Other""".split()
+)
+#: Singular values up to this share of the largest are rounding noise.
+NOISE = 1e-10
+#: Stocks on a side of a block of the covariance matrix.
+BLOCK = 512
 
 
 def ewma_weights(dates: DataFrame, halflife: float) -> DataFrame:
@@ -31,42 +42,92 @@ def industries(df: DataFrame, ranges: DataFrame, sic: str = "sic_code") -> DataF
     return df.join(F.broadcast(first), F.col(sic).cast("int") == F.col("_code"), "left").select(*[c for c in df.columns if c != "industry"], F.coalesce("industry", F.lit(OTHER)).alias("industry"))
 
 
-def factor_returns(df: DataFrame, style: list[str], groups: list[str]) -> tuple[DataFrame, DataFrame]:
+def recent(df: DataFrame, date, window: int = 63) -> DataFrame:
+    """The rows of the last window + 1 dates up to `date`: those of window returns."""
+    d = numbered_dates(df.where(F.col("ts") <= F.lit(date))).where(F.col("n") - F.col("rn") <= window + 1)
+    return df.join(F.broadcast(d.select("ts")), "ts", "left_semi")
+
+
+def _returns(df: DataFrame, style: list[str], groups: tuple[str, ...]) -> DataFrame:
+    """ts, stock, r, g (place of the industry, carried forward, in groups), style
+    (nulls as 0), on dates with any return."""
+    order = F.array(*[F.lit(g) for g in groups])
+    panel = df.withColumn("_r", daily_return("close")).withColumn("_g", ffill("industry"))
+    panel = panel.withColumn("_some", F.max(F.col("_r").isNotNull()).over(Window.partitionBy("ts"))).where("_some")
+    place = F.nullif(F.array_position(order, F.col("_g")), F.lit(0)) - 1
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return panel.select("ts", "stock", F.coalesce("_r", F.lit(0.0)).alias("r"), place.cast("int").alias("g"), *[zero(c) for c in style])
+
+
+def factor_returns(df: DataFrame, style: list[str], groups: tuple[str, ...] = INDUSTRIES) -> tuple[DataFrame, DataFrame]:
     """(ts, f: array over style factors, then groups), (ts, stock, e, r): minimum-norm
     regressions of each date's returns on exposures. Null exposures and returns
     count as 0; dates without any return are left out. df: dense panel with
-    close, the style columns and industry."""
-    panel = df.withColumn("_ret", daily_return("close")).withColumn("_ind", ffill("industry"))
-    some = panel.where("_ret is not null").select("ts").distinct()
-    panel = panel.join(some, "ts", "left_semi").select("ts", "stock", "_ret", "_ind", *style)
-    place = {g: i for i, g in enumerate(groups)}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((len(pdf), len(style) + len(groups)))
-        x[:, : len(style)] = pdf[style].fillna(0.0).to_numpy(float)
-        for i, g in enumerate(pdf["_ind"]):
-            if g in place:
-                x[i, len(style) + place[g]] = 1.0
-        r = pdf["_ret"].fillna(0.0).to_numpy(float)
-        f = np.linalg.pinv(x) @ r
-        return pd.DataFrame({"ts": pdf["ts"], "stock": pdf["stock"], "e": r - x @ f, "r": r, "f": [f.tolist()] + [None] * (len(pdf) - 1)})
-
-    kind = dict(df.dtypes)["stock"]
-    out = panel.groupBy("ts").applyInPandas(one, f"ts date, stock {kind}, e double, r double, f array<double>")
-    return out.where("f is not null").select("ts", "f"), out.select("ts", "stock", "e", "r")
+    close, the style columns and industry.
+
+    Spark adds up products by date and industry; a task then solves the normal
+    equations of a date, and residuals are made by a join with its solution.
+    """
+    rows = _returns(df, style, groups)
+    k, n = len(style), len(style) + len(groups)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    by_group = rows.groupBy("ts", "g").agg(
+        F.count("*").alias("n"),
+        F.sum("r").alias("r"),
+        F.array(*[F.sum(c) for c in style]).cast("array<double>").alias("s"),
+        F.array(*[F.sum(F.col(style[i]) * F.col(style[j])) for i, j in pairs]).cast("array<double>").alias("ss"),
+        F.array(*[F.sum(F.col(c) * F.col("r")) for c in style]).cast("array<double>").alias("sr"),
+    )
+    by_date = by_group.groupBy("ts").agg(F.collect_list(F.struct("g", "n", "r", "s", "ss", "sr")).alias("parts"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for parts in b["parts"]:
+                gram, xr = np.zeros((n, n)), np.zeros(n)
+                for q in parts:
+                    for (i, j), v in zip(pairs, q["ss"], strict=True):
+                        gram[i, j] += v
+                        gram[j, i] = gram[i, j]
+                    xr[:k] += q["sr"]
+                    if q["g"] is not None and not pd.isna(q["g"]):
+                        at = k + int(q["g"])
+                        gram[at, at], xr[at] = q["n"], q["r"]
+                        gram[at, :k] = gram[:k, at] = q["s"]
+                out.append((np.linalg.pinv(gram, rcond=NOISE, hermitian=True) @ xr).tolist())
+            yield pd.DataFrame({"ts": b["ts"], "f": out})
+
+    f = by_date.mapInPandas(solve, "ts date, f array<double>")
+    part = lambda i: F.get("f", F.lit(i) if isinstance(i, int) else i)
+    told = sum((F.col(c) * part(i) for i, c in enumerate(style)), F.coalesce(part(F.col("g") + k), F.lit(0.0)))
+    # one row a date
+    return f, rows.join(F.broadcast(f), "ts").select("ts", "stock", (F.col("r") - told).alias("e"), "r")
 
 
 def factor_covariance(f: DataFrame, halflife: float = 63.0) -> DataFrame:
     """i, j, cov: weighted covariance of the factors' returns over all dates.
 
-    One date gives the identity. Sums of products move, K squared a date and task.
+    One date gives the identity, none no rows. Each task adds up its dates'
+    products, so what moves is K squared numbers a task.
     """
-    w = f.join(F.broadcast(ewma_weights(f, halflife)), "ts")
-    k = w.select("weight", F.posexplode("f").alias("i", "x"), "f")
-    pairs = k.select("weight", "i", "x", F.posexplode("f").alias("j", "y"))
-    g = pairs.groupBy("i", "j").agg(F.sum(F.col("weight") * F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("weight") * F.col("x")).alias("mx"), F.sum(F.col("weight") * F.col("y")).alias("my"), F.sum(F.col("weight") * F.col("weight")).alias("ww"), F.count("*").alias("n"))
+    w = f.join(F.broadcast(ewma_weights(f, halflife)), "ts").select("weight", "f")
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n, ww = None, 0, 0.0
+        for b in batches:
+            x = np.column_stack([np.ones(len(b)), np.vstack(b["f"].to_numpy())])
+            weight = b["weight"].to_numpy(float)
+            add = (x * weight[:, None]).T @ x
+            total, n, ww = add if total is None else total + add, n + len(b), ww + float(weight @ weight)
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel() - 1, "j": j.ravel() - 1, "s": total.ravel(), "n": n, "ww": ww})
+
+    sums = w.mapInPandas(products, "i int, j int, s double, n long, ww double").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("ww").alias("ww"))
+    mean = sums.where("j = -1").select(F.col("i").alias("_k"), F.col("s").alias("_m"))
+    both = sums.where("i >= 0 and j >= 0").join(mean.toDF("i", "_mi"), "i").join(mean.toDF("j", "_mj"), "j")
     same = (F.col("i") == F.col("j")).cast("double")
-    return g.select("i", "j", F.when(F.col("n") == 1, same).otherwise((F.col("xy") - F.col("mx") * F.col("my")) / (1 - F.col("ww"))).alias("cov"))
+    return both.select("i", "j", F.when(F.col("n") == 1, same).otherwise((F.col("s") - F.col("_mi") * F.col("_mj")) / (1 - F.col("ww"))).alias("cov"))
 
 
 def specific_variance(e: DataFrame, window: int = 21, halflife: float = 21.0) -> DataFrame:
@@ -77,11 +138,31 @@ def specific_variance(e: DataFrame, window: int = 21, halflife: float = 21.0) ->
     return g.select("stock", F.when(F.col("n") == 1, F.lit(1e-6)).otherwise(F.greatest(F.lit(0.0), (F.col("ee") - F.col("m") * F.col("m")) / (1 - F.col("ww")))).alias("var"))
 
 
-def exposures(df: DataFrame, style: list[str], groups: list[str]) -> DataFrame:
-    """stock, x: exposures (nulls as 0) on the last date."""
-    last = df.withColumn("_ind", ffill("industry")).join(F.broadcast(df.agg(F.max("ts").alias("_end"))), F.col("ts") == F.col("_end"))
-    dummies = [(F.col("_ind") == F.lit(g)).cast("double") for g in groups]
-    return last.select("stock", F.array(*[F.coalesce(c, F.lit(0.0)) for c in [*map(F.col, style), *dummies]]).alias("x"))
+def exposures(df: DataFrame, style: list[str], groups: tuple[str, ...] = INDUSTRIES) -> DataFrame:
+    """stock, x: exposures (nulls as 0) on the last date with any return. Stocks
+    have none if there is no such date."""
+    rows = _returns(df, style, groups)
+    last = rows.join(F.broadcast(rows.agg(F.max("ts").alias("ts"))), "ts").select("stock", F.struct("g", *style).alias("_x"))
+    dummies = [F.coalesce(F.col("_x.g") == i, F.lit(False)).cast("double") for i in range(len(groups))]
+    x = F.array(*[F.col("_x")[c] for c in style], *dummies)
+    return df.select("stock").distinct().join(last, "stock", "left").select("stock", F.when(F.col("_x").isNotNull(), x).alias("x"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """x: stock, x. fcov: i, j, cov. spec: stock, var."""
+
+    x: DataFrame
+    fcov: DataFrame
+    spec: DataFrame
+
+
+def risk_model(df: DataFrame, style: list[str], groups: tuple[str, ...] = INDUSTRIES, date=None, window: int = 63, specific_window: int = 21) -> Model:
+    """The model of all dates of df, or of the returns of the last `window` dates up to
+    `date`. The specific variance is of the last `specific_window` of them."""
+    df = df if date is None else recent(df, date, window)
+    f, e = factor_returns(df, style, groups)
+    return Model(exposures(df, style, groups), factor_covariance(f), specific_variance(e, specific_window))
 
 
 def shrunk(v: np.ndarray, worst: float = 1e4, share: float = 0.15) -> np.ndarray:
@@ -92,27 +173,75 @@ def shrunk(v: np.ndarray, worst: float = 1e4, share: float = 0.15) -> np.ndarray
     return v
 
 
-def square(fcov: DataFrame) -> np.ndarray:
-    """The matrix of (i, j, cov); as many numbers as the square of the number of factors."""
+def square(fcov: DataFrame, k: int) -> np.ndarray | None:
+    """The matrix of (i, j, cov), K squared numbers; None for no rows."""
     rows = fcov.collect()
-    m = np.zeros((max(r["i"] for r in rows) + 1,) * 2)
+    m = np.zeros((k, k))
     for i, j, c in rows:
         m[i, j] = c
-    return m
-
-
-def covariance_matrix(x: DataFrame, fcov: DataFrame, spec: DataFrame, stocks: list | None = None, h: int = 1) -> DataFrame:
-    """stock_i, stock_j, cov over h dates, for all stocks or those named. The matrix is
-    made in one task: its size is that of the universe squared."""
-    fm = square(fcov)
-    rows = (x if stocks is None else x.where(F.col("stock").isin(stocks))).join(spec, "stock", "left")
-
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("stock")
-        xm, names = np.vstack(pdf["x"].to_numpy()), pdf["stock"].tolist()
-        v = shrunk(xm @ fm @ xm.T + np.diag(pdf["var"].fillna(1e-6).to_numpy(float))) * h
-        n = len(names)
-        return pd.DataFrame({"stock_i": [a for a in names for _ in range(n)], "stock_j": names * n, "cov": v.ravel()})
-
-    kind = dict(x.dtypes)["stock"]
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(assemble, f"stock_i {kind}, stock_j {kind}, cov double")
+    return m if rows else None
+
+
+def ends(x: np.ndarray, fm: np.ndarray, d: np.ndarray, rounds: int = 200, width: int = 8) -> tuple[float, float]:
+    """The least and largest eigenvalue of x fm x' + diag(d), d > 0, by subspace
+    iteration forwards and (by Woodbury's formula) backwards. Only products of
+    x's size are made, no matrix of stocks by stocks."""
+    rng = np.random.default_rng(0)
+    start = np.linalg.qr(rng.normal(size=(len(d), min(width, len(d)))))[0]
+    forward = lambda v: x @ (fm @ (x.T @ v)) + d[:, None] * v
+    xd = x / d[:, None]
+    inner = np.linalg.solve(np.eye(len(fm)) + fm @ (x.T @ xd), fm)
+    backward = lambda v: v / d[:, None] - xd @ (inner @ (xd.T @ v))
+    found = []
+    for step, worst in ((backward, np.min), (forward, np.max)):
+        v, last = start, None
+        for _ in range(rounds):
+            v = np.linalg.qr(step(v))[0]
+            now = float(worst(np.linalg.eigvalsh(v.T @ forward(v))))
+            if last is not None and abs(now - last) <= 1e-9 * abs(now):
+                break
+            last = now
+        found.append(now)
+    return found[0], found[1]
+
+
+def covariance_matrix(model: Model, k: int, stocks: list | None = None, h: int = 1, worst: float = 1e4, share: float = 0.15) -> DataFrame:
+    """stock_i, stock_j, cov over h dates, for all stocks or those named. k: number of
+    factors. Without any return it is the identity.
+
+    Stocks are dealt into blocks, and pairs of blocks are multiplied out each by
+    itself. Whether the matrix is badly conditioned (and is drawn to its
+    diagonal) is told from x alone, K numbers a stock, in one task.
+    """
+    fm = square(model.fcov, k)
+    rows = (model.x if stocks is None else model.x.where(F.col("stock").isin(stocks))).join(model.spec, "stock", "left")
+    kind = dict(rows.dtypes)["stock"]
+    one = rows.join(F.broadcast(rows.agg(F.count("*").alias("_n")))).select("stock", "x", F.coalesce("var", F.lit(1e-6)).alias("var"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    if fm is None:
+        one = one.withColumns({"x": F.array_repeat(F.lit(0.0), k), "var": F.lit(1.0)})
+        fm, h = np.zeros((k, k)), 1
+
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = ends(np.vstack(pdf["x"].to_numpy()), fm, np.maximum(pdf["var"].to_numpy(float), 1e-13))
+        return pd.DataFrame({"_bad": [bool(low <= 1e-12 or high / low > worst)]})
+
+    bad = one.groupBy(F.lit(0).alias("_all")).applyInPandas(judged, "_bad boolean")
+    held = one.withColumn("_own", F.pmod(F.xxhash64("stock"), F.col("_blocks")).cast("int")).groupBy("_own").agg(F.collect_list(F.struct("stock", "x", "var")).alias("c"), F.max("_blocks").alias("_blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = held.select(F.col("_own").alias("i"), other.alias("j"), F.col("c").alias("a"))
+    right = held.select(F.col("_own").alias("j"), other.alias("i"), F.col("c").alias("b"))
+    pairs = left.join(right, ["i", "j"]).join(F.broadcast(bad)).select("a", "b", "_bad")
+
+    def multiplied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b, drawn in zip(batch["a"], batch["b"], batch["_bad"], strict=True):
+                xa, xb = (np.vstack([q["x"] for q in c]) for c in (a, b))
+                na, nb = ([q["stock"] for q in c] for c in (a, b))
+                v = xa @ fm @ xb.T
+                same = np.array([[p == q for q in nb] for p in na])
+                v = (v + same * np.array([q["var"] for q in a])[:, None]) * h
+                if drawn:
+                    v = np.where(same, v, (1 - share) * v)
+                yield pd.DataFrame({"stock_i": np.repeat(np.array(na, object), len(nb)), "stock_j": np.tile(np.array(nb, object), len(na)), "cov": v.ravel()})
+
+    return pairs.mapInPandas(multiplied, f"stock_i {kind}, stock_j {kind}, cov double")

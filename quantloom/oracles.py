@@ -158,7 +158,7 @@ def factor_steps(d) -> dict[str, tuple[list[dict[str, str]], str | None, int]]:
         "liquidity_2": ([R, STILL, {"x": f"-coalesce({total('s_', w)}, 0)"}], sub, 4),
         "liquidity_test": ([R, STILL, {"x": f"-coalesce({total('s_', d(60))}, 0)"}], sub, 4),
         "liquidity_3": ([R, STILL, {"a_": f"coalesce({total('s_', d(60))}, 0)", "b_": f"({mean('vwap', d(10))}) - close", "c_": f"coalesce({ratio('close', mean('close', d(60)))}, 0)"}, {"x": f"({xrank('a_')}) * (({xrank('b_')}) - 0.5) * ({xrank('c_')})"}], sub, 4),
-        "momentum_barra": ([{"g_": f"ln(close) - ln({lag('close')})"}, {"g__l": listed("g_", d(504))}, {"m_": ewm("g_", d(504), 126 / SCALE)}, {"x": lag("m_", d(21))}], sub, 4),
+        "momentum_barra": ([{"g_": f"ln(close) - ln({lag('close')})"}, {"g__l": listed("g_", d(504))}, {"m_": ewm("g_", d(504), d(126 * 5) / 5)}, {"x": lag("m_", d(21))}], sub, 4),
         "short_term_reversal_barra": ([{"g_": f"ln(close) - ln({lag('close')})"}, {"g__l": listed("g_", d(21))}, {"m_": ewm("g_", d(21), 5.0)}, {"x": "-m_"}], sub, 1),
         "liquidity_barra": ([*turn, {"x": f"0.35 * ({xz('a_')}) + 0.35 * ({xz('b_')}) + 0.30 * ({xz('c_')})"}], sub, 4),
         "value_barra": ([{"a_": ratio("close", mean("close", d(1260)))}, {"x": "-ln(a_)"}], sub, 4),
@@ -166,12 +166,66 @@ def factor_steps(d) -> dict[str, tuple[list[dict[str, str]], str | None, int]]:
     }
 
 
-SCALE = 5
-KEYS = "ts, stock, "
+#: Factors whose windows are counted in rows of five days.
+SCALED = ("momentum_barra", "value_barra")
+INDUSTRIES = """Agric Food Soda Beer Smoke Toys Fun Books Hshld Clths Hlth MedEq Drugs Chems Rubbr Txtls BldMt Cnstr Steel FabPr Mach ElcEq Autos Aero Ships
+Guns Gold Mines Coal Oil Util Telcm PerSv BusSv Hardw Softw Chips LabEq Paper Boxes Trans Whlsl Rtail Meals Banks Insur RlEst Fin Other""".split()
+INDUSTRY = "case when sic_code between 100 and 999 then 'Agric' when sic_code between 2833 and 2836 then 'Drugs' when sic_code between 1520 and 1529 then 'Cnstr' when sic_code between 1040 and 1049 then 'Gold' when sic_code between 1310 and 1319 then 'Oil' when sic_code between 4910 and 4911 then 'Util' when sic_code between 7370 and 7372 then 'BusSv' when sic_code between 3670 and 3679 then 'Chips' when sic_code between 5310 and 5311 then 'Rtail' when sic_code = 6020 then 'Banks' else 'Other' end"
 
 
-def days(n: int) -> int:
-    return max(3, n // SCALE)
+def fits(kind: str, alpha: float, l1: float = 1.0) -> str:
+    """CTEs from cv (ts, n, m1, m2, my, a, b, c, p, q, v: means and covariances over n) to ft (ts, w1, w2, ...)."""
+    if kind in ("ols", "ridge"):
+        k = 0.0 if kind == "ols" else alpha
+        return f"ft as (select *, ((c + {k} / n) * p - b * q) / ((a + {k} / n) * (c + {k} / n) - b * b) w1, ((a + {k} / n) * q - b * p) / ((a + {k} / n) * (c + {k} / n) - b * b) w2 from cv)"
+    soft = f"sign({{0}}) * greatest(abs({{0}}) - {alpha * l1!r}::double, 0) / nullif({{1}} + {alpha * (1 - l1)!r}::double, 0)"
+    first = soft.format("(p - b * w2)", "a")
+    return f"""step as (
+  select ts, 0 k, 0.0::double w1, 0.0::double w2 from cv
+  union all
+  select ts, k + 1, w1n, {soft.format("(q - b * w1n)", "c")} from (select step.ts, k, w2, a, b, c, p, q, {first} w1n from step join cv using (ts) where k < 300)),
+ft as (select cv.*, w1, w2 from cv join step using (ts) where k = 300)"""
+
+
+def moments(x: str) -> str:
+    """Sums of products of (1, s1, s2, fwd) of rows x, as columns."""
+    return f"count(*) n, sum(s1) t1, sum(s2) t2, sum(fwd) ty, sum(s1 * s1) t11, sum(s1 * s2) t12, sum(s2 * s2) t22, sum(s1 * fwd) t1y, sum(s2 * fwd) t2y, sum(fwd * fwd) tyy from {x}"
+
+
+SUMS = ("n", "t1", "t2", "ty", "t11", "t12", "t22", "t1y", "t2y", "tyy")
+
+
+def ridged(a: str) -> tuple[str, str, str]:
+    """(w1, w2, c) of a ridge fit to the sums of alias a; alpha is a column."""
+    g11, g12, g22 = f"({a}.t11 - {a}.t1 * {a}.t1 / {a}.n + alpha)", f"({a}.t12 - {a}.t1 * {a}.t2 / {a}.n)", f"({a}.t22 - {a}.t2 * {a}.t2 / {a}.n + alpha)"
+    b1, b2 = f"({a}.t1y - {a}.t1 * {a}.ty / {a}.n)", f"({a}.t2y - {a}.t2 * {a}.ty / {a}.n)"
+    det = f"({g11} * {g22} - {g12} * {g12})"
+    w1, w2 = f"(({g22} * {b1} - {g12} * {b2}) / {det})", f"(({g11} * {b2} - {g12} * {b1}) / {det})"
+    return w1, w2, f"({a}.ty / {a}.n - {w1} * {a}.t1 / {a}.n - {w2} * {a}.t2 / {a}.n)"
+
+
+def missed(a: str) -> str:
+    """Mean squared error of w1, w2, c on the rows whose sums alias a has."""
+    return f"({a}.tyy - 2 * c * {a}.ty - 2 * w1 * {a}.t1y - 2 * w2 * {a}.t2y + {a}.n * c * c + 2 * c * w1 * {a}.t1 + 2 * c * w2 * {a}.t2 + w1 * w1 * {a}.t11 + 2 * w1 * w2 * {a}.t12 + w2 * w2 * {a}.t22) / {a}.n"
+
+
+STYLES = f"""{P1F},
+y1 as (select *, {lag('close', -1)} / nullif(close, 0) - 1 fwd, {mean('close', 20)} m20, {ret()} r_ from pf),
+y2 as (select *, close / nullif(m20, 0) - 1 dev, {std('r_', 20)} vol from y1),
+st as (select ts, stock, close, fwd, r_ r, {INDUSTRY} industry, {xz('dev')} s1, {xz('vol')} s2 from y2)"""
+#: Regressions on styles and an industry each: industries are taken out by their means, then two styles are left.
+RISK = f"""{STYLES},
+rs as (select ts, stock, industry g, coalesce(r, 0) r, coalesce(s1, 0) s1, coalesce(s2, 0) s2 from st where ts in (select ts from st where r is not null)),
+gm as (select *, avg(s1) over (partition by ts, g) g1, avg(s2) over (partition by ts, g) g2, avg(r) over (partition by ts, g) gr from rs),
+sm as (select ts, sum((s1 - g1) * (s1 - g1)) a, sum((s1 - g1) * (s2 - g2)) b, sum((s2 - g2) * (s2 - g2)) c, sum((s1 - g1) * (r - gr)) p, sum((s2 - g2) * (r - gr)) q from gm group by ts),
+sw as (select ts, case when a > 1e-9 and c > 1e-9 then (c * p - b * q) / (a * c - b * b) when a > 1e-9 then p / a else 0 end w1, case when a > 1e-9 and c > 1e-9 then (a * q - b * p) / (a * c - b * b) when c > 1e-9 then q / c else 0 end w2 from sm),
+fr as (select ts, 0 k, w1 f from sw union all select ts, 1, w2 from sw union all select distinct ts, list_position({INDUSTRIES!r}, g)::int + 1, gr - w1 * g1 - w2 * g2 from gm join sw using (ts)),
+er as (select ts, stock, r - gr - w1 * (s1 - g1) - w2 * (s2 - g2) e, r from gm join sw using (ts))"""
+
+
+def aged(dates: str, hl: float) -> str:
+    """ts, w of the dates of a relation: weights that halve every hl dates."""
+    return f"(select ts, exp(-ln(2) / {hl} * (count(*) over () - row_number() over (order by ts))) / sum(exp(-ln(2) / {hl} * rk)) over () w from (select ts, count(*) over () - row_number() over (order by ts) rk from (select distinct ts from {dates})))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -203,7 +257,9 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
         src = "rfs" if v == "rf" else "bench"
         o[name] = f"{p}, {cte} select d.ts, round(1.00000000001e0 * coalesce((select arg_max({v}, b.ts) from {src} b where b.ts <= d.ts), (select arg_min({v}, ts) from {src})), 6) + 0.0 as {v} from (select distinct ts from bars) d"
     o["sic_division"] = f"{p} select distinct stock, sic_code, {DIVISION} division from p1"
-    o["industry_ranges"] = f"{p} select distinct stock, sic_code, case when sic_code between 100 and 999 then 'Farms' when sic_code between 800 and 1499 then 'Mines' when sic_code between 2000 and 3999 then 'Makers' when sic_code between 6000 and 6999 then 'Money' else 'Other' end industry from p1"
+    o["industry_ranges"] = f"{p} select distinct stock, sic_code, {INDUSTRY} industry from p1"
+    o["common_stocks"] = f"{p}, {DATES}, u as (select ts, stock, {ret('close', 58)} r from p1), v as (select distinct stock, case when rn < floor(n * 0.17) then 1 when rn < floor(n * (0.17 + 0.03)) then 2 else 3 end k from u join dts using (ts) where r is not null) select stock from v group by stock having count(*) = 3"
+    o["attribute_set"] = f"{p} select ts, stock, null::double total_liabilities, {r6('operating_income')} from p1 union all select ts, stock, {r6('total_liabilities')}, null from p1"
     o["ffill_limit"] = f"{p} select ts, stock, round(1.00000000001e0 * last_value(close ignore nulls) over (partition by stock order by ts rows between 2 preceding and current row), 6) + 0.0 filled from p1"
     o["first_usable_date"] = f"{p} select min(ts) ts from (select ts from p1 group by ts having avg((close is not null)::int) >= 0.8)"
 
@@ -222,6 +278,8 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     ts("decay", linear("close", 4))
     gl = [{"d_": f"close - {lag('close')}"}, {"g_": "case when d_ is not null then greatest(d_, 0) end", "l_": "case when d_ is not null then greatest(-d_, 0) end"}, {"a_": mean("g_", 14), "b_": mean("l_", 14)}]
     ts("rsi", "case when a_ + b_ > 0 then 100 * a_ / (a_ + b_) end", gl, "pf")
+    strict = [{"d_": f"close - {lag('close')}"}, {"g_": "case when d_ > 0 then d_ end", "l_": "case when d_ < 0 then -d_ end"}, {"a_": mean("g_", 14), "b_": mean("l_", 14)}]
+    ts("rsi_strict", "100 * a_ / (a_ + b_)", strict, "pf")
     ts("forward_return", f"{lag('close', -5)} / nullif(close, 0) - 1", base="pf")
     ts("backward_label", ret("close", -1), base="pf")
     ts("log_return", f"ln(close) - ln({lag('close')})")
@@ -241,11 +299,14 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     ts("cap", "close * diluted_shares_outstanding / 1e6")
     ts("enterprise_value", "(close * diluted_shares_outstanding + total_liabilities - cash_and_equivalents) / 1e6")
     o["estimated_market_cap"] = f"{f}, e as (select stock, diluted_shares_outstanding * 2 / nullif(close, 0) k from pf where ts = (select max(ts) from pf)) select pf.ts, pf.stock, round(1.00000000001e0 * close * k / 1e6, 6) + 0.0 est_cap from pf left join e on e.stock = pf.stock"
-    for name, (steps, neutral, n) in factor_steps(days).items():
-        o[f"factor_{name}_w{SCALE}"] = layers("pf", steps + settings("x", neutral, n), f"ts, stock, {r6('z')}")
+    whole, fifth = factor_steps(lambda n: n), factor_steps(lambda n: n // 5)
+    steps_of = {n: fifth[n] if n in SCALED else whole[n] for n in whole}
+    for name, (steps, neutral, n) in steps_of.items():
+        o[f"factor_{name}" + "_w5" * (name in SCALED)] = layers("pf", steps + settings("x", neutral, n), f"ts, stock, {r6('z')}")
 
-    each = {n: layers("pf", steps + settings("x", neutral, k), f"ts, stock, {r6('z', n)}") for n, (steps, neutral, k) in factor_steps(days).items()}
+    each = {n: layers("pf", steps + settings("x", neutral, k), f"ts, stock, {r6('z', n)}") for n, (steps, neutral, k) in steps_of.items()}
     o["all_factors"] = "select * from " + " join ".join(f"({q})" + " using (ts, stock)" * (i > 0) for i, q in enumerate(each.values()))
+    o["factor_engine"] = f"with zz as ({each['mean_reversion_5']}), dd as (select ts, row_number() over (order by ts) - 1 rn, count(*) over () n from (select distinct ts from zz)) select ts, stock, mean_reversion_5, case when rn < floor(n * 0.7) then 'train' when rn < floor(n * (0.7 + 0.15)) then 'cv' else 'test' end split from zz join dd using (ts)"
     x = layers("pf", [{"hl_": "high - low", "fwd": f"{lag('close', -1)} / nullif(close, 0) - 1"}, {"b_": f"(close - {lag('close', 5)}) / nullif({mean('hl_', 5)}, 0)"}, {"x": f"-pow(({xrank('b_')}) - 0.5, 3)"}], "ts, stock, close, x, fwd")
     corr = "case when count(*) >= 2 and stddev_pop({0}) > 1e-12 and stddev_pop({1}) > 1e-12 then covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) end"
     ics = f"base as ({x}), ok as (select * from base where x is not null and fwd is not null), rk as (select *, {xrank('x')} rx, {xrank('fwd')} rf_ from ok), ic as (select ts, {corr.format('x', 'fwd')} ic, {corr.format('rx', 'rf_')} rank_ic, count(*) n from rk group by ts)"
@@ -265,15 +326,38 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     okb = f"base as ({x}), ok as (select * from base where x is not null and fwd is not null), fit as (select * from ({ols}))"
     guard = "case when isfinite({0}) then {0} end"
     o["ols_1factor"] = f"with {okb} select ts, {r6(guard.format('c'), 'const_term')}, {r6(guard.format('b'), 'beta')}, {r6(guard.format('r2'), 'rsquared')}, n::bigint n_obs from fit"
+    five = f"base5 as (select * exclude (fwd), lead(close, 5) over (partition by stock order by ts) / nullif(close, 0) - 1 fwd from ({x})), ok as (select * from base5 where x is not null and fwd is not null), fit as (select * from ({ols}))"
+    o["results_by_horizon"] = f"with {five} select ts, {r6(guard.format('c'), 'const_term')}, {r6(guard.format('b'), 'beta')}, {r6(guard.format('r2'), 'rsquared')}, n::bigint n_obs from fit"
+    two = f"with recursive {STYLES}, ok as (select * from st where s1 is not null and s2 is not null and fwd is not null), cv as (select ts, count(*) n, avg(s1) m1, avg(s2) m2, avg(fwd) my, var_pop(s1) a, covar_pop(s1, s2) b, var_pop(s2) c, covar_pop(s1, fwd) p, covar_pop(s2, fwd) q, var_pop(fwd) v from ok group by ts having count(*) >= 3)"
+    mse = "(v - 2 * (w1 * p + w2 * q) + w1 * w1 * a + 2 * w1 * w2 * b + w2 * w2 * c)"
+    for kind, alpha, l1 in (("ols", 0.0, 0.0), ("ridge", 1.0, 0.0), ("lasso", 1e-4, 1.0), ("elastic_net", 1e-4, 0.5)):
+        adj = f"case when n > 3 then 1 - {mse} / v * (n - 1) / (n - 3) end" if kind == "ols" else "null::double"
+        o[f"{kind}_per_date"] = f"{two}, {fits(kind, alpha, l1)} select ts, {r6('my - w1 * m1 - w2 * m2', 'const_term')}, {r6('w1', 'beta_s1')}, {r6('w2', 'beta_s2')}, {r6(f'1 - {mse} / v', 'rsquared')}, {r6(adj, 'adj_rsquared')}, {r6(f'sqrt(greatest({mse}, 0))', 'rmse')}, n::bigint n_obs from ft"
+    alphas = "al as (select unnest([0.001, 0.01, 0.1, 1.0, 10.0]::double[]) alpha)"
+    days_ = "dz as (select ts, row_number() over (order by ts) - 1 rn, count(*) over () n from (select distinct ts from st))"
+    rows_ = f"with {STYLES}, {days_}, {alphas}, ok as (select * from st join dz using (ts) where s1 is not null and s2 is not null and fwd is not null)"
+    w1, w2, c0 = ridged("a")
+    o["kfold_tune"] = f"{rows_}, hd as (select part, {moments('(select *, floor(rn * 5 / n)::int part from (select * exclude (n), n n_ from ok) x join (select max(n) n from dz) y on true)')} group by part), sn as (select h.part, {', '.join(f't.{c} - h.{c} {c}' for c in SUMS)} from hd h, (select {', '.join(f'sum({c}) {c}' for c in SUMS)} from hd) t), fw as (select part, alpha, {w1} w1, {w2} w2, {c0} c from sn a, al), ev as (select fw.part, alpha, {missed('h')} e from fw join hd h using (part)), mn as (select alpha, avg(e) m from ev group by alpha) select alpha, {r6('m', 'val_mse')}, m = min(m) over () best from mn"
+    spans = "kk as (select unnest(range(200, (select max(n) from dz) - 50 + 1, 50)) e), okf as (select ok.*, e part from ok, kk where rn < e + 50)"
+    o["walk_forward_tune"] = f"{rows_}, {spans}, sn as (select part, {moments('okf')} where rn < part group by part), hd as (select part, {moments('okf')} where rn >= part group by part), fw as (select part, alpha, {w1} w1, {w2} w2, {c0} c from sn a, al), ev as (select fw.part, alpha, {missed('s')} te, {missed('h')} ve from fw join sn s using (part) join hd h using (part)), ma as (select fw.part, alpha, avg(abs(fwd - c - w1 * s1 - w2 * s2)) mae from okf join fw using (part) where rn >= okf.part group by 1, 2), mn as (select alpha, avg(te) te, avg(ve) ve, avg(mae) mae, avg(sqrt(ve)) rm, stddev_pop(sqrt(ve)) sd from ev join ma using (part, alpha) group by alpha) select alpha, {r6('te', 'train_mse')}, {r6('ve', 'val_mse')}, {r6('mae', 'val_mae')}, {r6('rm', 'val_rmse')}, {r6('sd', 'val_rmse_sd')}, rm = min(rm) over () best from mn"
+    o["factor_returns_pinv"] = f"with {RISK} select ts, k, {r6('f')} from fr where abs(f) > 1e-9"
+    o["factor_residuals"] = f"with {RISK} select ts, stock, {r6('e')}, {r6('r')} from er"
+    o["factor_covariance"] = f"with {RISK}, wf as {aged('fr', 63)}, mf as (select k, sum(w * f) m from fr join wf using (ts) group by k), cf as (select a.k i, b.k j, sum(w * a.f * b.f) s from fr a join fr b using (ts) join wf using (ts) group by 1, 2), cc as (select i, j, (s - x.m * y.m) / (1 - (select sum(w * w) from wf)) cov from cf join mf x on x.k = i join mf y on y.k = j) select i, j, {r6('cov')} from cc where abs(cov) > 1e-9"
+    o["specific_variance"] = f"with {RISK}, le as (select * from er where ts in (select ts from (select distinct ts from er) order by ts desc limit 21)), wf as {aged('le', 21)}, sv as (select stock, greatest(0, (sum(w * e * e) - sum(w * e) * sum(w * e)) / (1 - sum(w * w))) v from le join wf using (ts) group by stock) select stock, {r6('v', 'var')} from sv"
+    o["industry_exposures"] = f"with {RISK} select stock, {r6('s1')}, {r6('s2')}, " + ", ".join(f"(g = '{n}')::int::double {n}" for n in INDUSTRIES) + " from rs where ts = (select max(ts) from rs)"
     o["predict_returns"] = f"with {okb}, m as (select avg({guard.format('c')}) c, avg({guard.format('b')}) b from fit) select ts, stock, round(1.00000000001e0 * (c + b * coalesce(x, quantile_cont(x, 0.5) over (partition by ts), (select quantile_cont(x, 0.5) from base), 0)), 6) + 0.0 prediction from base, m"
     o["walk_forward_splits"] = f"{p}, {DATES}, k as (select unnest(range(200, (select max(n) from dts) - 50 + 1, 50)) e), q as (select e, row_number() over (order by e) - 1 fold from k) select fold::int fold, a.ts train_from, b.ts train_to, c.ts val_from, d.ts val_to from q join dts a on a.rn = 0 join dts b on b.rn = e - 1 join dts c on c.rn = e join dts d on d.rn = e + 49"
     o["ewma_weights"] = f"{p}, {DATES} select ts, {r6('exp(-ln(2) / 63 * (n - 1 - rn)) / sum(exp(-ln(2) / 63 * (n - 1 - rn))) over ()', 'weight')} from dts"
 
     w = f"{DATES}, vw as (select p1.ts, stock, case when rn % 5 = 0 then volume / sum(volume) over (partition by p1.ts) end weight from p1 join dts using (ts))"
-    held = "hd as (select *, max(weight is not null) over (partition by ts) any_ from vw), hh as (select *, case when any_ then coalesce(weight, 0) end w0 from hd), hw as (select ts, stock, case when any_ then weight else last_value(w0 ignore nulls) over (partition by stock order by ts rows between 2 preceding and current row) end weight from hh)"
-    o["hold_weights"] = f"{p}, {w}, {held} select ts, stock, {r6('weight')} from hw"
+    sw = f"{DATES}, vw as (select p1.ts, stock, case when rn % 2 = 0 and (stock + rn // 2) % 3 <> 0 then volume / sum(volume) over (partition by p1.ts) end weight from p1 join dts using (ts))"
+    kept = lambda n: f"hd as (select *, max(weight is not null) over (partition by ts) any_ from vw), hw as (select ts, stock, case when any_ then weight else last_value(weight ignore nulls) over (partition by stock order by ts rows between {n} preceding and current row) end weight from hd)"
+    held = kept(2)
+    o["hold_weights"] = f"{p}, {sw}, {kept(3)} select ts, stock, {r6('weight')} from hw"
+    o["weights_by_horizon"] = f"{p}, {sw} select ts, stock, {r6('weight')} from vw"
+    o["held_weights"] = f"{p}, {w}, fw as (select ts, stock, last_value(weight ignore nulls) over (partition by stock order by ts rows between 4 preceding and current row) weight from vw where stock in (select stock from vw where weight is not null)) select ts, stock, {r6('weight')} from fw"
     prep = f"{held}, pw as (select ts, stock, coalesce(weight / nullif(sum(weight) over (partition by ts), 0), 0) w from hw)"
-    o["prepare_weights"] = f"{p}, {w}, {prep} select ts, stock, {r6('w', 'weight')} from pw"
+    o["prepare_weights"] = f"{p}, {sw}, {kept(3)}, pw as (select ts, stock, coalesce(weight / nullif(sum(weight) over (partition by ts), 0), 0) w from hw) select ts, stock, {r6('w', 'weight')} from pw"
     o["slippage_tiers"] = f"{p} select stock, row_number() over (order by stock)::int place, case when row_number() over (order by stock) <= 4 then 13.0 when row_number() over (order by stock) <= 40 then 20.0 else 50.0 end::double bps from (select distinct stock from bars)"
     trades = f"{prep}, rt as (select ts, stock, close, lead(close) over (partition by stock order by ts) / nullif(close, 0) - 1 r from pf), td as (select rt.ts, rt.stock, coalesce(w, 0) w, r, close from rt left join pw on pw.ts = rt.ts and pw.stock = rt.stock where rt.ts in (select ts from rt where r is not null)), dd as (select *, w - coalesce(lag(w) over (partition by stock order by ts), 0) dw from td), dy as (select ts, sum(w * coalesce(r, 0)) gross, sum(abs(dw)) turnover from dd group by ts)"
     g = f"{f}, {w}, {trades}"
@@ -290,6 +374,12 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     rp = f"{eq}, rr as (select *, equity / nullif(lag(equity) over (order by ts), 0) - 1 q from cv), rm as (select pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(*)) - 1 ag, stddev_samp(q) * sqrt(252) rv, min(drawdown) md from rr)"
     o["report_metrics"] = f"{rp} select {r6('ag', 'annual_geometric')}, {r6('rv', 'report_volatility')}, {r6(div.format('ag', 'rv'), 'report_sharpe')}, {r6('md', 'report_max_dd')} from rm"
     o["weight_summary"] = f"{p}, {w} select min(n)::bigint min_held, max(n)::bigint max_held, {r6('avg(m)', 'mean_largest')}, {r6('stddev_samp(m)', 'sd_largest')} from (select ts, count(weight) n, max(weight) m from vw where weight is not null group by ts)"
+    calm = f"with recursive {P1F}, {w}, {prep}, rt as (select ts, stock, 900 + close * 0.001::double p, lead(900 + close * 0.001::double) over (partition by stock order by ts) / (900 + close * 0.001::double) - 1 r from pf), td as (select rt.*, coalesce(w, 0) w, dense_rank() over (order by rt.ts) di, 13.0::double bps from rt left join pw on pw.ts = rt.ts and pw.stock = rt.stock where rt.ts in (select ts from rt where r is not null)), gt as (select stock, 0::bigint di, 0.0::double t, 0.0::double dw from (select distinct stock from td) union all select td.stock, td.di, case when abs(w - t) < 0.0005 then t else w end, case when abs(w - t) < 0.0005 then 0 else w - t end from gt join td on td.stock = gt.stock and td.di = gt.di + 1)"
+    bps = "case when row_number() over (order by stock) <= 500 then 13.0 when row_number() over (order by stock) <= 1500 then 20.0 else 50.0 end"
+    tiers = f"bp as (select stock, {bps}::double b from (select distinct stock from td)), dy as (select td.di, td.ts, sum(t * coalesce(r, 0)) gross, sum(abs(dw)) turnover, sum(abs(dw) * b / 1e4) slip, sum(abs(least(t, 0))) short, coalesce(list(abs(dw) / p) filter (abs(dw) > 0 and p > 0), []::double[]) lots from td join gt on gt.stock = td.stock and gt.di = td.di join bp on bp.stock = td.stock group by td.di, td.ts)"
+    charge = "coalesce(list_sum(list_transform(lots, lambda q: greatest(q * e * 0.005::double, 1.0::double))), 0) + (slip + short * 0.01::double / 252) * e"
+    fold = f"eq as (select 0::bigint di, 1e6::double nxt, 0.0::double e, 0.0::double cost, 0.0::double net union all select di, e * (1 + gross - cost / e), e, cost, gross - cost / e from (select dy.di, gross, nxt e, {charge.replace(' e ', ' nxt ').replace('* e', '* nxt')} cost from eq join dy on dy.di = eq.di + 1))"
+    o["backtest_gated_costs"] = f"{calm}, {tiers}, {fold} select dy.ts, {r6('gross')}, {r6('net')}, {r6('turnover')}, {r6('eq.cost / 1e6', 'cost')}, {r6('e / 1e6', 'equity')} from eq join dy using (di)"
     o["event_bars"] = "select date_trunc('hour', ts) start, event_type, " + r6("arg_min(value, (ts, value))", '"open"') + ", " + r6("max(value)", "high") + ", " + r6("min(value)", "low") + ", " + r6("arg_max(value, (ts, value))", '"close"') + ", count(*)::bigint n from events group by 1, 2"
     o["stream_upsert"] = f"{p} select ts, stock, {r6('close')} from bars"
     return o

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import scalar as sc
 from quantloom.functions import ts, xs
+from quantloom.operators.evaluate import covered
+from quantloom.operators.panel import require, split_dates
 
 #: Places at which rank inputs are ties: sums in another order differ in later ones.
 TIES = 9
@@ -57,8 +59,8 @@ def factor(make: Callable[[int], Factor]) -> Callable[[int], Factor]:
 
 
 def days(n: int, scale: int) -> int:
-    """A window of n days in rows of `scale` days, three rows at least."""
-    return max(3, n // scale)
+    """A window of n days in rows of `scale` days each."""
+    return max(1, n // scale)
 
 
 def finished(df: DataFrame, of: dict[str, Settings]) -> DataFrame:
@@ -70,13 +72,16 @@ def finished(df: DataFrame, of: dict[str, Settings]) -> DataFrame:
     return df.withColumns({k: xs.zscore(k) for k in of})
 
 
-def evaluated(panel: DataFrame, names: list[str] | None = None, scale: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """ts, stock, the columns `keep`, and a column for each factor. panel: dense."""
+def evaluated(panel: DataFrame, names: list[str] | None = None, scale: int | dict[str, int] = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ts, stock, the columns `keep`, and a column for each factor. panel: dense.
+
+    scale: panel days a row, for all factors or by name (1 for others)."""
+    by_name = scale if isinstance(scale, dict) else dict.fromkeys(FACTORS, scale)
     names = list(FACTORS) if names is None else names
     if unknown := [n for n in names if n not in FACTORS]:
         raise ValueError(f"no such factor: {', '.join(unknown)}")
-    made = {n: FACTORS[n](scale) for n in names}
-    df = panel
+    made = {n: FACTORS[n](by_name.get(n, 1)) for n in names}
+    df = require(panel, "ts", "stock", "close", *keep)
     for steps in ("over_time", "over_stocks"):
         if steps == "over_stocks":  # windows by date and group then need no exchange of their own
             df = df.repartition("ts")
@@ -90,6 +95,12 @@ def evaluated(panel: DataFrame, names: list[str] | None = None, scale: int = 1,
     return df.select("ts", "stock", *keep, *names)
 
 
+def modelled(panel: DataFrame, names: list[str], scale: int | dict[str, int] = 1, least: float = 0.5) -> DataFrame:
+    """ts, stock, split, and the factors that have values in at least that share of the training cells."""
+    df = split_dates(evaluated(panel, names, scale))
+    return df.select("ts", "stock", "split", *covered(df.where("split = 'train'"), names, least))
+
+
 c = F.col
 
 
@@ -197,7 +208,7 @@ def momentum_barra(scale: int) -> Factor:
 
 @factor
 def short_term_reversal_barra(scale: int) -> Factor:
-    steps = [{"_log": ts.log_return("close")}, {"_strev": ts.ts_ewm_sum("_log", days(21, scale), 5.0)}]
+    steps = [{"_log": ts.log_return("close")}, {"_strev": ts.ts_ewm_sum("_log", days(21, scale), 5 / scale)}]
     return Factor(steps, -c("_strev"), settings=replace(LIBRARY, decay=1))
 
 

@@ -12,14 +12,15 @@ from quantloom.functions import scalar as sc
 from quantloom.functions import ts, xs
 from quantloom.operators import backtest as bt
 from quantloom.operators import clean, evaluate, panel, portfolio, regress, risk
-from quantloom.plans.factors import FACTORS, Settings, evaluated, finished
+from quantloom.plans.factors import FACTORS, Settings, evaluated, finished, modelled
 from quantloom.session import shared_folder
-from quantloom.sources import fixture
+from quantloom.sources import files, fixture
 from quantloom.streaming import ingest
 
-SCALE = 5
+#: The panel has 357 weeks: the windows of 504 and 1260 days are counted in rows of five days. All others are kept in rows.
+SCALES = {"momentum_barra": 5, "value_barra": 5}
 STYLE = ["s1", "s2"]
-SECTORS = ["A", "B", "C", "D", "E", "G", "H", "I"]
+FACTOR_NAMES = [*STYLE, *risk.INDUSTRIES]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -54,10 +55,10 @@ def _signal(s: SparkSession, d: str) -> DataFrame:
 
 
 def _styles(s: SparkSession, d: str) -> DataFrame:
-    """Filled panel with fwd, two style exposures and industry (the SIC division)."""
+    """Filled panel with fwd, two style exposures and industry (of 49)."""
     df = filled(s, d).withColumns({"fwd": ts.forward_return("close"), "m": ts.ts_mean("close", 20), "ret": ts.daily_return("close")})
     df = df.withColumns({"dev": sc.ratio(F.col("close"), F.col("m")) - 1, "vol": ts.ts_std("ret", 20)})
-    return df.withColumns({"s1": xs.zscore("dev"), "s2": xs.zscore("vol"), "industry": F.coalesce(sc.sic_division("sic_code"), F.lit(risk.OTHER))})
+    return risk.industries(df.withColumns({"s1": xs.zscore("dev"), "s2": xs.zscore("vol")}), fixture.industry_ranges(s))
 
 
 def _settings(df: DataFrame, s: Settings) -> DataFrame:
@@ -173,8 +174,25 @@ def sic_division(s, d):
 
 
 def industry_ranges(s, d):
-    ranges = s.createDataFrame([(100, 999, "Farms", 1), (800, 1499, "Mines", 2), (2000, 3999, "Makers", 3), (6000, 6999, "Money", 4)], "low int, high int, industry string, place int")
-    return risk.industries(raw(s, d).select("stock", "sic_code").distinct(), ranges)
+    return risk.industries(raw(s, d).select("stock", "sic_code").distinct(), fixture.industry_ranges(s))
+
+
+def common_stocks(s, d):
+    """Returns over 58 rows leave two rows of the first split: stocks that weren't traded then are out."""
+    df = raw(s, d).withColumn("r", ts.daily_return("close", 58))
+    return panel.common_stocks(panel.split_dates(df, 0.17, 0.03, 0.8), ["r"])
+
+
+def attribute_set(s, d):
+    """Two statements' attributes, those that are known."""
+    a = raw(s, d).select("ts", "stock", "operating_income", "cik")
+    b = raw(s, d).select("ts", "stock", "total_liabilities", "sec_type")
+    return r6(panel.known_attributes([a, b], ("total_liabilities", "net_income", "operating_income")))
+
+
+def factor_engine(s, d):
+    """A reversal, and a value factor whose 1260 rows the panel doesn't have: its coverage drops it."""
+    return r6(modelled(filled(s, d), ["mean_reversion_5", "value_barra"]))
 
 
 def ffill_limit(s, d):
@@ -208,9 +226,15 @@ def rsi(s, d):
     return r6(df.select("ts", "stock", ts.rsi("g", "l").alias("v")))
 
 
+def rsi_strict(s, d):
+    df = filled(s, d).withColumn("c", ts.ts_delta("close", 1))
+    df = df.withColumns({"g": F.when(F.col("c") > 0, F.col("c")), "l": F.when(F.col("c") < 0, -F.col("c"))})
+    return r6(df.select("ts", "stock", ts.rsi("g", "l").alias("v")))
+
+
 def all_factors(s, d):
-    """The whole library in one plan."""
-    return r6(evaluated(filled(s, d), scale=SCALE))
+    """The whole library in one plan; momentum_barra and value_barra as in SCALES."""
+    return r6(evaluated(filled(s, d), scale=SCALES))
 
 
 def _ic(s, d):
@@ -256,11 +280,31 @@ def predict_returns(s, d):
 
 
 def _per_date(kind: str, alpha: float = 1.0) -> Query:
-    return lambda s, d: regress.per_date(_styles(s, d), STYLE, kind=kind, alpha=alpha)
+    def query(s, d):
+        fit = regress.per_date(_styles(s, d), STYLE, kind=kind, alpha=alpha)
+        return r6(fit.select("ts", "const_term", *[F.get("beta", F.lit(i)).alias(f"beta_{c}") for i, c in enumerate(STYLE)], "rsquared", "adj_rsquared", "rmse", "n_obs"))
+
+    return query
+
+
+def results_by_horizon(s, d):
+    """Fits for holding periods of 1 and 5 rows, written; those of 5 read back."""
+    folder = f"{shared_folder(s)}/results-{uuid.uuid4().hex}"
+    df = _signal(s, d)
+    for h in (1, 5):
+        files.write_horizon(regress.one_factor(df.withColumn("fwd", ts.forward_return("close", h)), "x"), folder, h)
+    return r6(files.read_horizon(s, folder, 5).select("ts", "const_term", "beta", "rsquared", "n_obs"))
+
+
+def weights_by_horizon(s, d):
+    folder = f"{shared_folder(s)}/weights-{uuid.uuid4().hex}"
+    files.write_horizon(weighted(s, d), folder, 1)
+    files.write_horizon(staggered(s, d), folder, 30)
+    return r6(files.read_horizon(s, folder, 30).select("ts", "stock", "weight"))
 
 
 def kfold_tune(s, d):
-    return regress.kfold_tuned(_styles(s, d), STYLE)
+    return r6(regress.kfold_tuned(_styles(s, d), STYLE))
 
 
 def walk_forward_splits(s, d):
@@ -268,40 +312,52 @@ def walk_forward_splits(s, d):
 
 
 def walk_forward_tune(s, d):
-    return regress.walk_forward_tuned(_styles(s, d), STYLE, 200, 50, 50)
+    return r6(regress.walk_forward_tuned(_styles(s, d), STYLE, 200, 50, 50))
 
 
 def ewma_weights(s, d):
     return r6(risk.ewma_weights(bars(s, d), 63.0))
 
 
-def _risk(s, d):
-    df = _styles(s, d)
-    f, e = risk.factor_returns(df, STYLE, SECTORS)
-    return df, f, e
+def factor_returns_pinv(s, d):
+    f, _ = risk.factor_returns(_styles(s, d), STYLE)
+    return r6(f.select("ts", F.posexplode("f").alias("k", "f")).where("abs(f) > 1e-9"))
 
 
-def factor_returns_pinv(s, d):
-    return _risk(s, d)[1]
+def factor_residuals(s, d):
+    return r6(risk.factor_returns(_styles(s, d), STYLE)[1])
 
 
 def factor_covariance(s, d):
-    return risk.factor_covariance(_risk(s, d)[1])
+    return r6(risk.factor_covariance(risk.factor_returns(_styles(s, d), STYLE)[0]).where("abs(cov) > 1e-9"))
 
 
 def specific_variance(s, d):
-    return risk.specific_variance(_risk(s, d)[2])
+    return r6(risk.specific_variance(risk.factor_returns(_styles(s, d), STYLE)[1]))
+
+
+def industry_exposures(s, d):
+    """Exposures of the last date: styles, and one of 49 industries."""
+    x = risk.exposures(_styles(s, d), STYLE)
+    return r6(x.select("stock", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(FACTOR_NAMES)]))
+
+
+def _model(s, d, date=None):
+    return risk.risk_model(_styles(s, d), STYLE, date=date)
 
 
 def covariance_matrix(s, d):
-    df, f, e = _risk(s, d)
-    return risk.covariance_matrix(risk.exposures(df, STYLE, SECTORS), risk.factor_covariance(f), risk.specific_variance(e))
+    return risk.covariance_matrix(_model(s, d), len(FACTOR_NAMES))
+
+
+def covariance_matrix_as_of(s, d):
+    """The matrix of the 63 weekly returns up to a date, for a holding of 5 rows."""
+    return risk.covariance_matrix(_model(s, d, "1999-06-28"), len(FACTOR_NAMES), h=5)
 
 
 def _weights(s, d, **options):
-    df, f, e = _risk(s, d)
-    pred = df.select("ts", "stock", (-F.col("s1") * 0.01).alias("prediction")).where("prediction is not null")
-    return portfolio.optimized(pred, risk.exposures(df, STYLE, SECTORS), risk.factor_covariance(f), risk.specific_variance(e), interval=30, **options)
+    pred = _styles(s, d).select("ts", "stock", (-F.col("s1") * 0.01).alias("prediction")).where("prediction is not null")
+    return portfolio.optimized(pred, _model(s, d), len(FACTOR_NAMES), interval=30, **options)
 
 
 def optimize_weights(s, d):
@@ -316,12 +372,23 @@ def weighted(s, d):
     return fixture.volume_weights(raw(s, d))
 
 
+def staggered(s, d):
+    return fixture.staggered_weights(raw(s, d))
+
+
 def hold_weights(s, d):
-    return r6(bt.hold(weighted(s, d), 3))
+    """Dates with weights lie two apart and each leaves stocks out, so holding for four tells stocks from dates."""
+    return r6(bt.hold(staggered(s, d), 4))
 
 
 def prepare_weights(s, d):
-    return r6(bt.prepared(weighted(s, d), 3))
+    return r6(bt.prepared(staggered(s, d), 4))
+
+
+def held_weights(s, d):
+    """Weights of every fifth date, kept until the next one."""
+    w = weighted(s, d).where("weight is not null")
+    return r6(portfolio.held(w, bars(s, d), 5))
 
 
 def slippage_tiers(s, d):
@@ -374,7 +441,10 @@ def weight_summary(s, d):
 
 
 def backtest_gated_costs(s, d):
-    return bt.run(filled(s, d), weighted(s, d), bt.Config(holding_period=3))
+    """On prices drawn together a thousandfold (the derived ones jump); money in millions."""
+    calm = filled(s, d).withColumn("close", 900 + F.col("close") * 0.001)
+    run = bt.run(calm, weighted(s, d), bt.Config(holding_period=3))
+    return r6(run.select("ts", "gross", "net", "turnover", (F.col("cost") / 1e6).alias("cost"), (F.col("equity") / 1e6).alias("equity")))
 
 
 def event_bars(s, d):
@@ -382,15 +452,15 @@ def event_bars(s, d):
 
 
 def stream_upsert(s, d):
-    """Bars that land in two files, read as a stream into a table."""
+    """Bars that land twice, those of January with other prices first, read as a stream into a table."""
     top = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     b = bars(s, d).select("ts", "stock", "close")
     schema = "ts date, stock long, close double"
-    b.withColumn("close", F.col("close") + 1).where("month(ts) = 1").coalesce(1).write.parquet(f"{top}/landing/one")
+    b.withColumn("close", F.col("close") + 1).where("month(ts) = 1").write.parquet(f"{top}/landing/one")
     ingest.upsert_stream(ingest.landed(s, f"{top}/landing/one", schema), f"{top}/table", f"{top}/log").awaitTermination()
-    b.coalesce(1).write.mode("append").parquet(f"{top}/landing/one")
+    b.write.mode("append").parquet(f"{top}/landing/one")
     ingest.upsert_stream(ingest.landed(s, f"{top}/landing/one", schema), f"{top}/table", f"{top}/log").awaitTermination()
-    return r6(ingest.latest(s, f"{top}/table"))
+    return r6(ingest.latest(s, f"{top}/table", schema))
 
 
 _COLUMNS: dict[str, Query] = {
@@ -423,19 +493,23 @@ _COLUMNS: dict[str, Query] = {
 _PLAIN = """scan_panel densify calendar_reindex unpivot_long pivot_wide split_dates slice_stock drop_all_null_dates incomplete_dates
 upsert_latest_date union_by_name anti_join_new_dates stride_dates explode_tickers_last nan_handling semi_join_common_stock top_n_ticker top_n_cik
 clean_data asof_rf asof_benchmark sic_division industry_ranges ffill_limit first_usable_date settings_default settings_decay1 safe_settings_no_sic
-estimated_market_cap rsi all_factors ic_1d rank_ic icir_summary icir_intervals coverage_filter impute_medians ols_1factor predict_returns kfold_tune
-walk_forward_splits walk_forward_tune ewma_weights factor_returns_pinv factor_covariance specific_variance covariance_matrix optimize_weights
-optimize_equal_weight_fallback hold_weights prepare_weights slippage_tiers gross_return turnover equity_drawdown metrics_ungated benchmark_metrics
+estimated_market_cap rsi rsi_strict common_stocks attribute_set factor_engine all_factors ic_1d rank_ic icir_summary icir_intervals coverage_filter impute_medians ols_1factor results_by_horizon predict_returns kfold_tune
+walk_forward_splits walk_forward_tune ewma_weights factor_returns_pinv factor_residuals factor_covariance specific_variance industry_exposures covariance_matrix covariance_matrix_as_of optimize_weights
+optimize_equal_weight_fallback held_weights weights_by_horizon hold_weights prepare_weights slippage_tiers gross_return turnover equity_drawdown metrics_ungated benchmark_metrics
 report_metrics plot_series weight_summary backtest_gated_costs event_bars stream_upsert""".split()
 
 
 def _factor(name: str) -> Query:
-    return lambda s, d: r6(evaluated(filled(s, d), [name], SCALE).withColumnRenamed(name, "z"))
+    return lambda s, d: r6(evaluated(filled(s, d), [name], SCALES).withColumnRenamed(name, "z"))
+
+
+def factor_query(name: str) -> str:
+    """The name tells the scale where there is one."""
+    return f"factor_{name}_w{SCALES[name]}" if name in SCALES else f"factor_{name}"
 
 
 def queries() -> dict[str, Query]:
     found = {n: globals()[n] for n in _PLAIN} | _COLUMNS
-    found |= {f"factor_{n}_w{SCALE}": _factor(n) for n in FACTORS}
+    found |= {factor_query(n): _factor(n) for n in FACTORS}
     found |= {f"{k}_per_date": _per_date(k, a) for k, a in (("ols", 0.0), ("ridge", 1.0), ("lasso", 1e-4), ("elastic_net", 1e-4))}
     return found
-

@@ -39,12 +39,20 @@ def read_panel(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select("ts", "stock", *columns) if columns else df
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The panel at path; an empty one of that schema if there is none."""
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path; None if nothing is there. Other errors are raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The panel at path; an empty one of that schema if there is none."""
+    found = read_if_there(spark, path)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def write_panel(df: DataFrame, path: str) -> None:
@@ -65,11 +73,21 @@ def cache_key(source: str, names: list[str], **params) -> str:
 def cached_factors(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
     """The factors kept under key, else those that make() gives, which are kept."""
     path = f"{folder}/factors-{key}.parquet"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    found = read_if_there(spark, path)
+    if found is None:
         write_panel(make(), path)
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+    return found
+
+
+def write_horizon(df: DataFrame, folder: str, holding_period: int) -> None:
+    """Results of a holding period (regressions, weights), in a folder of their own: those of others stay."""
+    df.withColumn("holding_period", F.lit(holding_period)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("holding_period").parquet(folder)
+
+
+def read_horizon(spark: SparkSession, folder: str, holding_period: int) -> DataFrame | None:
+    """What write_horizon() wrote for a holding period; None if it wrote nothing."""
+    return read_if_there(spark, f"{folder}/holding_period={holding_period}")
 
 
 def read_industry_ranges(spark: SparkSession, path: str) -> DataFrame:

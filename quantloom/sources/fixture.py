@@ -10,6 +10,20 @@ from quantloom.operators.panel import densify
 
 PRICES = ("open", "high", "low", "close", "volume", "vwap")
 SIC = (850, 1040, 1311, 1521, 2834, 3674, 4911, 5311, 6020, 7372, 1800)
+#: The ranges of the public classification into 49 industries that hold these codes (1800 is in none).
+INDUSTRY_RANGES = (
+    ("Agric", 100, 999),
+    ("Drugs", 2833, 2836),
+    ("BldMt", 800, 899),
+    ("Cnstr", 1520, 1529),
+    ("Gold", 1040, 1049),
+    ("Oil", 1310, 1319),
+    ("Util", 4910, 4911),
+    ("BusSv", 7370, 7372),
+    ("Chips", 3670, 3679),
+    ("Rtail", 5310, 5311),
+    ("Banks", 6020, 6020),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +85,19 @@ def risk_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("quarter", "l_shipdate").cast("date").alias("ts")).agg(F.avg("l_tax").alias("rf"))
 
 
+def industry_ranges(spark: SparkSession) -> DataFrame:
+    """low, high, industry, place."""
+    return spark.createDataFrame([(low, high, name, i) for i, (name, low, high) in enumerate(INDUSTRY_RANGES)], "low int, high int, industry string, place int")
+
+
+def staggered_weights(panel: DataFrame) -> DataFrame:
+    """ts, stock, weight: shares of volume on every second date, null on others; a third of the stocks, each time others, has none."""
+    day = panel.select("ts").distinct().withColumn("_n", F.row_number().over(Window.orderBy("ts")) - 1)
+    share = F.try_divide(F.col("volume"), F.sum("volume").over(Window.partitionBy("ts")))
+    on = (F.col("_n") % 2 == 0) & (F.pmod(F.col("stock") + F.floor(F.col("_n") / 2), F.lit(3)) != 0)
+    return panel.join(F.broadcast(day), "ts").select("ts", "stock", F.when(on, share).alias("weight"))
+
+
 def volume_weights(panel: DataFrame, every: int = 5) -> DataFrame:
     """ts, stock, weight: shares of volume on every n-th date, null on others."""
     day = panel.select("ts").distinct().withColumn("_n", F.row_number().over(Window.orderBy("ts")) - 1)

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
-
-from quantloom.operators.panel import upserted
 
 
 def landed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -15,28 +12,22 @@ def landed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
+def upsert(batch: DataFrame, table: str) -> None:
+    """The dates (ts) of batch take the place of those of the table, a folder for each date; others aren't touched."""
+    batch.repartition("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts").parquet(table)
+
+
 def upsert_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Keeps the folder `table` up to date with a stream of bars, then stops.
 
-    Each batch is written beside the table as a version of its own, named by the
-    batch, so a batch that is done again after a failure gives the same version.
+    A batch that is done again after a failure overwrites the same dates with the same rows.
     """
-
-    def step(batch: DataFrame, number: int) -> None:
-        path = lambda n: f"{table}/version={n}"
-        try:
-            old = batch.sparkSession.read.parquet(path(number - 1))
-        except AnalysisException:
-            old = batch.limit(0)
-        upserted(old, batch).write.mode("overwrite").parquet(path(number))
-
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    return query
+    return stream.writeStream.foreachBatch(lambda batch, _: upsert(batch, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, table: str) -> DataFrame:
-    df = spark.read.parquet(table)
-    return df.where(F.col("version") == df.agg(F.max("version")).first()[0]).drop("version")
+def latest(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    df = spark.read.schema(schema).parquet(table)
+    return df.select(*spark.createDataFrame([], schema).columns)
 
 
 def event_bars(events: DataFrame, time: str = "ts", key: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "1 day") -> DataFrame:

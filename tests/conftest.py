@@ -23,16 +23,25 @@ def sf():
     return SF
 
 
-@pytest.fixture(scope="session")
-def duck():
+def views(sf):
     import duckdb
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+        con.sql(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck():
+    return views(SF)
+
+
+@pytest.fixture(scope="session")
+def larger_duck():
+    return views("/root/testdata/sf0.01")
+
+
 def rows(df):
     """Sorted rows of a pandas frame: columns by name, floats to six places."""
     import datetime

@@ -137,16 +137,38 @@ def test_correlation_of_constant_is_null(spark):
         evaluate.with_forward(df, 0)
 
 
-def test_fits_agree():
+def test_fits_meet_their_conditions():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(50, 3))
     y = x @ [1.0, 0.0, -2.0] + 0.5 + rng.normal(size=50) * 0.1
-    a = np.column_stack([np.ones(50), x, y])
-    for kind in ("ols", "ridge", "lasso", "elastic_net"):
-        assert np.allclose(regress.fit(x, y, kind, 0.1), regress.fit_moments(a.T @ a, kind, 0.1), atol=1e-8)
-    w = regress.fit(x, y, "lasso", 0.1)[1:]
-    g = x.T @ (y - y.mean() - (x - x.mean(0)) @ w) / 50  # optimality: |gradient| <= alpha, equal where w isn't 0
-    assert np.all(np.abs(g) <= 0.1 + 1e-6) and np.allclose(g[w != 0], 0.1 * np.sign(w[w != 0]), atol=1e-6)
+    cov = np.cov(np.column_stack([x, y]).T, ddof=0)
+    xc, yc = x - x.mean(0), y - y.mean()
+    assert np.allclose(regress.solved(cov, 50), np.linalg.lstsq(xc, yc, rcond=None)[0])
+    assert np.allclose(regress.solved(cov, 50, "ridge", 3.0), np.linalg.solve(xc.T @ xc + 3 * np.eye(3), xc.T @ yc))
+    twice = np.cov(np.column_stack([x, x[:, 0], y]).T, ddof=0)  # smallest norm: equal columns share
+    assert np.allclose(regress.solved(twice, 50), np.linalg.lstsq(np.column_stack([xc, xc[:, 0]]), yc, rcond=None)[0], atol=1e-6)
+    for kind, l1, l2 in (("lasso", 0.1, 0.0), ("elastic_net", 0.05, 0.05)):
+        w = regress.solved(cov, 50, kind, 0.1)
+        g = xc.T @ (yc - xc @ w) / 50 - l2 * w  # |gradient| <= l1, equal where w isn't 0
+        assert np.all(np.abs(g) <= l1 + 1e-6) and np.allclose(g[w != 0], l1 * np.sign(w[w != 0]), atol=1e-6)
+    with pytest.raises(ValueError):
+        regress.solved(cov, 50, "other")
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=20_000), np.where(rng.random(20_000) < 0.6, 0.0, rng.normal(size=20_000))
+    df = spark.createDataFrame([(float(x), float(y), None, float(i) if i < 4 else None) for i, (x, y) in enumerate(zip(a, b, strict=True))], "a double, b double, c double, d double")
+    r = regress.medians(df, ["a", "b", "c", "d"]).first()
+    assert (r.a, r.b, r.c, r.d) == (np.median(a), np.median(b), None, 1.5)
+    assert regress.medians(df.limit(0), ["a"]).first().a is None
+
+
+def test_prediction_without_a_fit(spark):
+    df = frame(spark, [1.0, 2.0])
+    fit = spark.createDataFrame([], "const_term double, beta array<double>")
+    with pytest.raises(Exception, match="no date was fitted"):
+        regress.predicted(df, fit, ["x"]).collect()
 
 
 def test_per_date_against_one_factor(spark, sf):
@@ -188,7 +210,137 @@ def test_covariance_against_numpy(spark):
     w /= w.sum()
     c = f - w @ f
     want = (c * w[:, None]).T @ c / (1 - w @ w)
-    assert np.allclose(risk.square(risk.factor_covariance(df)), want)
+    assert np.allclose(risk.square(risk.factor_covariance(df), 3), want)
+    assert risk.square(risk.factor_covariance(df.limit(0)), 3) is None
+    assert np.allclose(risk.square(risk.factor_covariance(df.limit(1)), 3), np.eye(3))
+
+
+GROUPS = ("p", "q", "none")
+
+
+def risk_panel(spark, n=12, days=9):
+    rng = np.random.default_rng(5)
+    rows = [(DAY + dt.timedelta(t), i, float(100 + rng.normal() * 3), float(rng.normal()) if i or t % 2 else None, "pqx"[i % 3]) for i in range(n) for t in range(days)]
+    return spark.createDataFrame(rows, "ts date, stock long, close double, s1 double, industry string"), rows
+
+
+def plain_model(rows, stocks):
+    """Pseudo-inverses, date by date."""
+    days = sorted({r[0] for r in rows})
+    at = {(r[0], r[1]): r for r in rows}
+    fs, es, last = [], [], None
+    for before, t in zip(days, days[1:], strict=False):
+        x = np.array([[at[t, i][3] or 0.0, *[float(at[t, i][4] == g) for g in GROUPS]] for i in stocks])
+        r = np.array([at[t, i][2] / at[before, i][2] - 1 for i in stocks])
+        f = np.linalg.pinv(x) @ r
+        fs.append(f)
+        es.append(r - x @ f)
+        last = x
+    fs, es = np.array(fs), np.array(es[-21:])
+
+    def weighted(a, hl):
+        w = 0.5 ** (np.arange(len(a) - 1, -1, -1) / hl)
+        w /= w.sum()
+        c = a - w @ a
+        return (c * w[:, None]).T @ c / (1 - w @ w)
+
+    return fs, es, last @ weighted(fs, 63) @ last.T + np.diag(np.diag(weighted(es, 21)))
+
+
+@pytest.mark.parametrize("date, h", [(None, 1), (DAY + dt.timedelta(6), 5)])
+def test_covariance_matrix_against_pseudo_inverses(spark, monkeypatch, date, h):
+    """Blocks of a few stocks, a group without stocks, stocks without a group."""
+    monkeypatch.setattr(risk, "BLOCK", 5)
+    df, rows = risk_panel(spark)
+    window = 63 if date is None else 4
+    if date is not None:
+        days = sorted({r[0] for r in rows if r[0] <= date})[-5:]
+        rows = [r for r in rows if r[0] in days]
+    model = risk.risk_model(df, ["s1"], GROUPS, date, window)
+    v = {(r.stock_i, r.stock_j): r.cov for r in risk.covariance_matrix(model, 4, h=h).collect()}
+    _, _, want = plain_model(rows, range(12))
+    want = risk.shrunk(want) * h
+    assert len(v) == 144 and np.allclose([[v[i, j] for j in range(12)] for i in range(12)], want, rtol=1e-6, atol=1e-12)
+
+
+def test_residuals_and_exposures_against_pseudo_inverses(spark):
+    df, rows = risk_panel(spark)
+    f, e = risk.factor_returns(df, ["s1"], GROUPS)
+    fs, es, _ = plain_model(rows, range(12))
+    assert np.allclose([r.f for r in f.orderBy("ts").collect()], fs)
+    got_e = [r.e for r in e.orderBy("ts", "stock").collect()]
+    assert np.allclose(np.reshape(got_e, (-1, 12)), es)
+    x = {r.stock: r.x for r in risk.exposures(df, ["s1"], GROUPS).collect()}
+    assert x[1][1:] == [0.0, 1.0, 0.0] and x[2][1:] == [0.0, 0.0, 0.0]
+
+
+def test_covariance_without_returns_is_the_identity(spark):
+    df, _ = risk_panel(spark, days=1)
+    model = risk.risk_model(df, ["s1"], GROUPS)
+    v = {(r.stock_i, r.stock_j): r.cov for r in risk.covariance_matrix(model, 4, h=3).collect()}
+    assert len(v) == 144 and all(c == float(i == j) for (i, j), c in v.items())
+
+
+def test_ends_of_a_spectrum():
+    rng = np.random.default_rng(6)
+    for n, k, least in ((5, 2, 1e-3), (200, 10, 1e-4), (300, 4, 1e-13)):
+        x, b = rng.normal(size=(n, k)), rng.normal(size=(k, k))
+        fm, d = b @ b.T, rng.uniform(least, 1.0, n)
+        want = np.linalg.eigvalsh(x @ fm @ x.T + np.diag(d))
+        low, high = risk.ends(x, fm, d)
+        assert math.isclose(high, want[-1], rel_tol=1e-6) and math.isclose(low, want[0], rel_tol=1e-3)
+
+
+def test_optimized_and_held(spark):
+    df, _ = risk_panel(spark)
+    model = risk.risk_model(df, ["s1"], GROUPS)
+    pred = df.select("ts", "stock", F.coalesce("s1", F.lit(0.0)).alias("prediction"))
+    w = portfolio.optimized(pred, model, 4, interval=3, cap=0.3).toPandas()
+    assert w["ts"].nunique() == 3 and len(w) == 36
+    assert all(math.isclose(g["weight"].sum(), 1) and g["weight"].max() <= 0.3 + 1e-9 for _, g in w.groupby("ts"))
+    equal = portfolio.optimized(pred.withColumn("prediction", F.lit(0.0)), model, 4, interval=3).toPandas()
+    assert np.allclose(equal["weight"], 1 / 12)
+    weights = spark.createDataFrame(w)
+    kept = portfolio.held(weights, df, 3).toPandas()
+    assert len(kept) == 108 and not kept["weight"].isna().any()
+    short = portfolio.held(weights, df, 2).toPandas()
+    assert short["weight"].isna().sum() == 36
+
+
+def test_tuners_against_plain_fits(spark):
+    rng = np.random.default_rng(7)
+    rows = [(DAY + dt.timedelta(t), float(a), float(b), float(a - 0.5 * b + rng.normal()) if (t + i) % 7 else None) for t in range(20) for i, (a, b) in enumerate(rng.normal(size=(8, 2)))]
+    df = spark.createDataFrame(rows, "ts date, a double, b double, fwd double")
+    full = [r for r in rows if r[3] is not None]
+
+    def errors(inside, alpha):
+        out = []
+        for seen, held in inside:
+            x, y = (np.array([r[1:3] for r in seen]), np.array([r[3] for r in seen]))
+            xc = x - x.mean(0)
+            w = np.linalg.solve(xc.T @ xc + alpha * np.eye(2), xc.T @ (y - y.mean()))
+            c = y.mean() - x.mean(0) @ w
+            e = [np.array([r[3] for r in part]) - c - np.array([r[1:3] for r in part]) @ w for part in (seen, held)]
+            out.append(((e[0] ** 2).mean(), (e[1] ** 2).mean(), np.abs(e[1]).mean()))
+        return np.array(out)
+
+    day = lambda r: (r[0] - DAY).days
+    five = [([r for r in full if day(r) * 5 // 20 != k], [r for r in full if day(r) * 5 // 20 == k]) for k in range(5)]
+    for r in regress.kfold_tuned(df, ["a", "b"]).collect():
+        assert math.isclose(r.val_mse, errors(five, r.alpha)[:, 1].mean(), rel_tol=1e-9)
+    for how, first in (("expanding", lambda e: 0), ("rolling", lambda e: e - 8)):
+        walk = [([r for r in full if first(e) <= day(r) < e], [r for r in full if e <= day(r) < e + 4]) for e in range(8, 17, 3)]
+        got_ = regress.walk_forward_tuned(df, ["a", "b"], 8, 4, 3, how=how).collect()
+        assert sum(r.best for r in got_) == 1
+        for r in got_:
+            e = errors(walk, r.alpha)
+            want = (e[:, 0].mean(), e[:, 1].mean(), e[:, 2].mean(), np.sqrt(e[:, 1]).mean(), np.sqrt(e[:, 1]).std())
+            assert np.allclose((r.train_mse, r.val_mse, r.val_mae, r.val_rmse, r.val_rmse_sd), want)
+
+
+def test_covered_and_modelled(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, 3.0), (None, None)], "a double, b double")
+    assert evaluate.covered(df, ["a", "b"], 0.5) == ["a"] and evaluate.covered(df.limit(0), ["a"], 0.5) == []
 
 
 def test_industry_ranges_file(spark, tmp_path):
@@ -206,6 +358,42 @@ def test_wide_csv(spark, tmp_path):
         files.read_panel(spark, "p.json")
 
 
+def test_columns_and_stocks(spark):
+    df = frame(spark, [1.0, 2.0, 3.0, 4.0]).select("x", "stock", "ts", F.col("x").alias("close"), F.col("x").alias("open"))
+    assert panel.ordered(df).columns == ["ts", "stock", "close", "open", "x"]
+    assert panel.ordered(df.drop("x")).columns == ["ts", "stock", "open", "close"]
+    with pytest.raises(ValueError, match="volume"):
+        panel.require(df, "close", "volume")
+    two = df.unionByName(df.limit(2).withColumn("stock", F.lit("b")))
+    assert [r.stock for r in panel.common_stocks(panel.split_dates(two, 0.5, 0.25, 0.25), ["x"]).collect()] == ["a"]
+    wide = panel.by_stock(two, "x", ["a", "b"]).orderBy("ts").collect()
+    assert [(r.a, r.b) for r in wide] == [(1.0, 1.0), (2.0, 2.0), (3.0, None), (4.0, None)]
+    known = panel.known_attributes([df.select("ts", "stock", "open"), df.select("ts", "stock", "x")], ("x", "low", "open"))
+    assert known.columns == ["ts", "stock", "x", "open"] and known.count() == 8
+
+
+def test_places(spark):
+    df = spark.createDataFrame([(f"s{i:03}",) for i in range(50, 0, -1)], "stock string")
+    assert [r.place for r in panel.numbered(df, "stock").orderBy("stock").collect()] == list(range(1, 51))
+    assert panel.numbered(df.limit(0), "stock").count() == 0
+
+
+def test_written_files(spark, tmp_path):
+    df = frame(spark, [1.0, 2.0])
+    files.write_csv(df, str(tmp_path / "c"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 2
+    path = str(tmp_path / "h")
+    assert files.read_horizon(spark, path, 1) is None
+    files.write_horizon(df, path, 1)
+    files.write_horizon(df.limit(1), path, 5)
+    files.write_horizon(df.withColumn("x", F.col("x") + 1), path, 1)
+    assert sorted(r.x for r in files.read_horizon(spark, path, 1).collect()) == [2.0, 3.0]
+    assert files.read_horizon(spark, path, 5).count() == 1
+    (tmp_path / "bad.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="bad.parquet|Parquet"):
+        files.read_or_empty(spark, str(tmp_path / "bad.parquet"), "x double").count()
+
+
 def test_factor_cache(spark, tmp_path):
     calls = []
     make = lambda: calls.append(1) or frame(spark, [1.0, 2.0])
@@ -257,12 +445,29 @@ def test_small_trades_are_left_out(spark):
     assert [r.traded for r in bt.gated(w, 0.0005).orderBy("ts").collect()] == [0.5, 0.5, 0.5006, 0.0004]
 
 
+def test_weights_are_held_stock_by_stock(spark):
+    """A stock that the last date with weights left out is held beside it."""
+    day = lambda i: DAY + dt.timedelta(i)
+    w = spark.createDataFrame([(day(0), "a", 1.0), (day(0), "b", None), (day(1), "a", None), (day(1), "b", 1.0), (day(2), "a", None), (day(2), "b", None), (day(3), "a", None), (day(3), "b", None)], "ts date, stock string, weight double")
+    got_ = {(r.ts, r.stock): r.weight for r in bt.hold(w, 3).collect()}
+    assert [got_[day(i), s] for i in range(4) for s in "ab"] == [1.0, None, None, 1.0, 1.0, 1.0, None, 1.0]
+    assert [r.weight for r in bt.hold(w, 1).orderBy("ts", "stock").collect()] == [1.0, None, None, 1.0, None, None, None, None]
+
+
 def test_weights_that_add_up_to_nothing(spark):
     w = spark.createDataFrame([(DAY, "a", 1.0), (DAY, "b", -1.0)], "ts date, stock string, weight double")
     with pytest.raises(Exception, match="add up to 0"):
         bt.prepared(w).collect()
 
 
+def test_upsert_replaces_whole_dates(spark, tmp_path):
+    table, schema = str(tmp_path / "t"), "ts date, stock string, x double"
+    ingest.upsert(frame(spark, [1.0, 2.0]), table)
+    for _ in range(2):  # a batch done again changes nothing
+        ingest.upsert(frame(spark, [5.0], "b").unionByName(frame(spark, [6.0], "c")), table)
+    assert sorted((r.stock, r.x) for r in ingest.latest(spark, table, schema).collect()) == [("a", 2.0), ("b", 5.0), ("c", 6.0)]
+
+
 def test_stream_of_bars(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").select("ts", "event_type", "value")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
