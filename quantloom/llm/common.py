@@ -48,6 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(df: DataFrame, *more: Column) -> DataFrame:
+    """All columns of df in one struct, `row`, and beside it the columns `more`
+    (of df): no name that is added can clash with those of df."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+
+
 def row_tag(text: str) -> Column:
     """With the id, tells rows apart: rows equal in both have equal results."""
     return F.xxhash64(F.col(text), F.col(text).isNull())
