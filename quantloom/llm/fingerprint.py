@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quantloom.llm.common import cut, row_tag
+from quantloom.llm.common import boxed, cut, repeated, row_tag
 
 SPACE = r"[\s\x1C-\x1F\u0085   -     　]+"
 #: Ids that share this quotient are neighbours in one window group.
@@ -38,8 +39,9 @@ def digest(form: Column) -> Column:
 
 
 def _digested(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the digest of a column's canonical form, which is made once."""
-    return df.withColumn("_form", canonical(F.col(text))).withColumn(name, digest(F.col("_form"))).drop("_form")
+    """df with the digest of a column's canonical form, which is made once; a column of that name is replaced."""
+    own = [F.col(f"row.`{c}`") for c in df.columns if c != name]
+    return boxed(df, canonical(F.col(text)).alias("form")).select(*own, digest(F.col("form")).alias(name))
 
 
 def colliding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,9 +63,10 @@ def _resolved(df: DataFrame, clash: DataFrame, count: int, fp: str, form: Column
     """fp with the digest of the form added where its bucket holds several forms."""
     if not count:
         return df
-    clash = clash.select(F.col("fp").alias("_clash"))
-    wide = df.join(F.broadcast(clash) if count < 100_000 else clash, F.col(fp) == F.col("_clash"), "left")
-    return wide.withColumn(fp, F.when(F.col("_clash").isNull(), F.col(fp)).otherwise(F.concat(fp, F.lit("-"), F.sha2(F.encode(form, "UTF-8"), 256)))).drop("_clash")
+    # how it is joined is left to Spark, which knows the written table's size
+    wide = boxed(df, F.col(fp).alias("fp"), form.alias("form")).join(clash.select(F.col("fp").alias("clash")), F.col("fp") == F.col("clash"), "left")
+    told = F.when(F.col("clash").isNull(), F.col("fp")).otherwise(F.concat("fp", F.lit("-"), F.sha2(F.encode("form", "UTF-8"), 256)))
+    return wide.select(*[told.alias(c) if c == fp else F.col(f"row.`{c}`") for c in df.columns])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clash: DataFrame | None = None) -> DataFrame:
@@ -100,13 +103,35 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     floor(n / 2) code points are replaced by the first as many of the next row.
 
     Rows follow each other by descending id (null last), then by descending
-    hash of the text; the first follows the last. Texts move in one shuffle by
-    ranges of ids; only the last row of each range is looked up separately.
+    hash of the text; the first follows the last. Null texts count as empty.
+    With whole numbers as ids texts move in one shuffle by ranges of ids, and
+    only the last row of each range is looked up separately; with ids of other
+    kinds, rows are linked first and texts join the links.
     """
-    key = F.floor(F.col("_id") / BUCKET).cast("long")
-    # rows without an id are dealt by their hash, which continues the order
-    sub = F.when(F.col("_id").isNull(), F.shiftright("_tag", 58)).otherwise(0)
     df = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    both = _by_ranges(df) if isinstance(docs.schema[id_col].dataType, IntegralType) else _by_links(df)
+    half = F.floor(F.char_length("_text") / 2).cast("int")
+    cut_in = F.concat(F.substring("_text", F.lit(1), F.char_length("_text") - half), F.substring("_next", F.lit(1), half))
+    return both.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), F.col("_next").alias("next_text"), cut_in.alias("edited"))
+
+
+def _by_links(df: DataFrame) -> DataFrame:
+    """_id, _text, _next. Equal rows follow each other, the last of them has the next row's text."""
+    keys = df.groupBy("_id", "_tag").agg(F.count("*").alias("_times"))
+    links = _after(keys, [F.desc_nulls_last("_id"), F.desc("_tag")])
+    texts = cut(df.groupBy("_id", "_tag").agg(F.first("_text").alias("_text")))
+    mine = links.join(texts.toDF("_i", "_t", "_text"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t"))).drop("_i", "_t")
+    both = mine.join(texts.toDF("_i", "_t", "_next"), F.col("next._id").eqNullSafe(F.col("_i")) & (F.col("next._tag") == F.col("_t")))
+    again = repeated(both.where("_times > 1").select("_id", "_text", F.col("_text").alias("_next"), (F.col("_times") - 1).alias("_times")), "_times")
+    return both.select("_id", "_text", "_next").union(again)
+
+
+def _by_ranges(df: DataFrame) -> DataFrame:
+    """_id, _text, _next, for whole numbers as ids."""
+    key = F.floor(F.col("_id") / BUCKET).cast("long")
+    # rows without an id are dealt by the first bits of their hash, which continues the order: about BUCKET to a group
+    several = df.where("_id is null").count() // BUCKET
+    sub = F.when(F.col("_id").isNull(), F.shiftright("_tag", 64 - min(several.bit_length(), 40))).otherwise(0) if several else F.lit(0)
     df = df.withColumn("_key", key).withColumn("_sub", sub)
     down = [F.desc_nulls_last("_id"), F.desc("_tag")]
     w = Window.partitionBy("_key", "_sub").orderBy(*down)
@@ -117,11 +142,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     wanted = wanted.select(F.col("_key").alias("_k"), F.col("_sub").alias("_s"), "_part", F.col("_id").alias("_i"), F.col("_tag").alias("_t"))
     got = df.select("_id", "_tag", "_text").join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t")))
     got = got.groupBy("_k", "_s").agg(F.max(F.when(F.col("_part") == 0, F.struct("_id", "_text"))).alias("me"), F.max(F.when(F.col("_part") == 1, F.col("_text"))).alias("_next"))
-    outer = got.select("me._id", "me._text", "_next")
-    half = F.floor(F.char_length("_text") / 2).cast("int")
-    cut_in = F.concat(F.substring("_text", F.lit(1), F.char_length("_text") - half), F.substring("_next", F.lit(1), half))
-    both = inner.union(outer)
-    return both.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), F.col("_next").alias("next_text"), cut_in.alias("edited"))
+    return inner.union(got.select("me._id", "me._text", "_next"))
 
 
 def comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quantloom.llm.common import boxed
 
 #: Trigrams are hashed to so many values: this and the number of languages bound the model.
 BUCKETS = 1 << 15
@@ -61,11 +64,12 @@ def trained(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    # languages are counted first, so that a column that names none (ids, say) costs no model of it
+    if docs.select(F.col(lang_col)).where(F.col(lang_col).isNotNull()).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would not fit in an executor")
     counts = labelled.mapInArrow(each, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # BUCKETS rows a language at most
     names = sorted(found["lang"].unique())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is made for {MOST_LANGUAGES} at most")
     table = np.full((BUCKETS, len(names)), 0.5)
     if names:
         place = {x: i for i, x in enumerate(names)}
@@ -84,13 +88,15 @@ def _em(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     return theta, float(n @ np.log(p @ theta))
 
 
-def mixture(counts: np.ndarray, model: np.ndarray, penalty: float = PENALTY) -> dict[int, float]:
-    """Proportion by language (column of the model), for those in the set chosen."""
+def mixture(counts: np.ndarray, model: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float]:
+    """Proportion by language (column of the model), for those in the set chosen, and
+    the log-likelihood of a trigram under it over that of equally likely trigrams."""
     at = np.flatnonzero(counts)
     if not len(at) or not model.shape[1]:
-        return {}
+        return {}, float("-inf")
     n, logs = counts[at].astype(float), model[at].astype(float)
-    logs -= logs.max(1, keepdims=True)  # a factor for each trigram changes no comparison
+    most = logs.max(1, keepdims=True)
+    logs -= most  # a factor for each trigram changes no comparison
     p = np.exp(np.maximum(logs, -30))
     chosen = list(range(p.shape[1]))
     theta, fit = _em(p, n)
@@ -102,33 +108,37 @@ def mixture(counts: np.ndarray, model: np.ndarray, penalty: float = PENALTY) ->
         if fit - fit_less > cost:
             break
         chosen, theta, fit = rest, less, fit_less
-    return dict(zip(chosen, theta.tolist(), strict=True))
+    gain = (fit + float(n @ most[:, 0])) / n.sum() + float(np.log(BUCKETS))
+    return dict(zip(chosen, theta.tolist(), strict=True)), gain
 
 
 def identified(docs: DataFrame, model: Broadcast, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """docs with lang_pred (the language with the largest share), score (that
-    share) and lang_mix (share by language of the set chosen); columns of those
-    names are replaced. A null text, or one without a letter, is "und" with
-    score 0 and an empty mix, as is any if the model has no language. Of equal
-    shares the language first in order stands."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_mix")]
-    docs = docs.select(*own)
-    new = {"lang_pred": pa.string(), "score": pa.float64(), "lang_mix": pa.map_(pa.string(), pa.float64())}
+    share), lang_mix (share by language of the set chosen) and lang_gain (how
+    much likelier, in nats a trigram, the set makes the text than equally likely
+    trigrams would); columns of those names are replaced. A null text, or one
+    without a letter, is "und" with score 0, an empty mix and no gain, as is any
+    if the model has no language. Of equal shares the language first in order
+    stands. Repeated rows get equal results."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_mix", "lang_gain")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in own])
+    new = {"lang_pred": pa.string(), "score": pa.float64(), "lang_mix": pa.map_(pa.string(), pa.float64()), "lang_gain": pa.float64()}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
         for b in batches:
-            pred, score, mix = [], [], []
+            pred, score, mix, gains = [], [], [], []
             for t in b.column(text_col):
-                m = mixture(trigrams(t.as_py()), table, penalty)
+                m, gain = mixture(trigrams(t.as_py()), table, penalty)
+                gains.append(gain if m else None)
                 best = max(m, key=lambda k: (m[k], -k)) if m else None
                 pred.append(UNKNOWN if best is None else names[best])
                 score.append(0.0 if best is None else min(1.0, m[best]))
                 mix.append([(names[k], v) for k, v in m.items()])
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, kind) for x, kind in zip((pred, score, mix), new.values(), strict=True))], [*own, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, kind) for x, kind in zip((pred, score, mix, gains), new.values(), strict=True))], [*own, *new])
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string, score double, lang_mix map<string,double>"])
-    return docs.mapInArrow(each, kinds)
+    made = StructType.fromDDL("lang_pred string, score double, lang_mix map<string,double>, lang_gain double")
+    return docs.mapInArrow(each, StructType([*docs.schema.fields, *made.fields]))
 
 
 def model_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Broadcast:
@@ -141,14 +151,14 @@ def fold(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
-def accepted(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, with their columns, of which one known language gives
-    at least the share `least`. The model is of docs whose fold of 4 isn't 2
-    (all rows, if no such row has a language)."""
+def accepted(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, with their columns (of any names), that a set of known
+    languages, one or several, explains: their lang_gain is over `least`. Rows with
+    a null text or without a letter go; repeated rows stay or go together. The
+    model is of docs whose fold of 4 isn't 2 (all rows, if no such row has a language)."""
     seen = F.coalesce(fold(id_col, 4), F.lit(0)) != 2
     model = model_of(docs.where(seen), text_col, lang_col)
     if not model.value[0]:
         model = model_of(docs, text_col, lang_col)
-    found = identified(docs.withColumn("_text", F.col(text_col)), model, "_text")
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*docs.columns)
+    found = identified(boxed(docs, F.col(text_col).alias("_text")), model, "_text")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_gain") > least)).select("row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut, row_tag
+from quantloom.llm.common import boxed, cut, row_tag
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that are rounded one after another in a node of the tree.
@@ -155,13 +155,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs as often as the mix takes them, with copy_no (from 1)."""
+    """The rows of docs (columns of any names) as often as the mix takes them, with
+    copy_no (from 1; a column of docs of that name is replaced). Null and empty
+    texts have no words and are taken as often as the whole part of the rate says."""
+    docs = docs.drop("copy_no")
     m = mixed(docs, weights, share, most, id_col, text_col, source_col)
     m = m.groupBy(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), F.col("source").alias("_s")).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    tagged = docs.withColumn("_row_tag", row_tag(text_col))
-    both = tagged.join(m, tagged[id_col].eqNullSafe(m["_i"]) & (F.col("_row_tag") == F.col("_t")) & tagged[source_col].eqNullSafe(m["_s"]))
+    tagged = boxed(docs, F.col(id_col).alias("id"), row_tag(text_col).alias("tag"), F.col(source_col).alias("source"))
+    both = tagged.join(m, F.col("id").eqNullSafe(F.col("_i")) & (F.col("tag") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")))
     alone = both.where(F.size("_copies") == 1).withColumn("_n", F.lit(1))
     same = Window.partitionBy("_i", "_t", "_s").orderBy(F.lit(0))
     equal = both.where(F.size("_copies") > 1).withColumn("_n", F.row_number().over(same))
     times = alone.union(equal).withColumn("_times", F.element_at("_copies", F.col("_n"))).where("_times > 0")
-    return times.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy_no"))
+    return times.select("row.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy_no"))

@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut
+from quantloom.llm.common import boxed, cut
 
 SPACES = r"[\x20\x09-\x0D]+"
 SEED = 42
@@ -28,9 +28,9 @@ THRESHOLD = 0.3
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the columns s_*: doubles, never null (an empty or null text has
-    no characters, words or lines, and shares of nothing are 0)."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_t", t)
+    no characters, words or lines, and shares of nothing are 0). Columns of docs
+    of those names are replaced, others stay; repeated rows have equal statistics."""
+    df = boxed(docs, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     df = df.withColumn("_w", F.filter(F.split("_t", SPACES, -1), lambda w: w != ""))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: x != ""))
     many = lambda pattern: F.char_length("_t") - F.char_length(F.regexp_replace("_t", pattern, ""))
@@ -53,7 +53,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "s_marks": share(many(r"[!-+/<-@\[-`{-~-]"), letters),
         "s_doubles": share(F.regexp_count("_t", F.lit(r"(?<=[\x20\n])(\S++)[\x20\n]\1(?=[\x20\n])")), w),
     }
-    return df.withColumns({k: v.cast("double") for k, v in stats.items()}).drop("_t", "_w", "_l", "_w0")
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in stats]
+    return df.select(*own, *[v.cast("double").alias(k) for k, v in stats.items()])
 
 
 @dataclass(frozen=True)

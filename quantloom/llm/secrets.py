@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import repeated, row_tag
+from quantloom.llm.common import boxed, repeated, row_tag
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs that are too short fail from each of their places, so the least length may stand in the pattern.
@@ -120,19 +120,18 @@ def spans_text(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, reach: int = REACH) -> DataFrame:
-    """docs with each stretch of secrets replaced by its first kind in brackets;
-    size_col, if given, becomes the new length in code points."""
-    found = secret_spans(docs, id_col, text_col, reach).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), "_tag", "spans").dropDuplicates(["_id", "_tag"])
-    tagged = docs.withColumn("_row_tag", row_tag(text_col))
-    both = tagged.join(found, tagged[id_col].eqNullSafe(found["_id"]) & (F.col("_row_tag") == F.col("_tag")), "left")
-    chars = F.split(F.col(text_col), "")
+    """docs (columns of any names) with each stretch of secrets replaced by its first
+    kind in brackets; size_col, if given, becomes the new length in code points.
+    Null and empty texts stay as they are, and repeated rows are changed alike."""
+    found = secret_spans(docs, id_col, text_col, reach).where(F.size("spans") > 0).select(F.col(id_col).alias("found_id"), F.col("_tag").alias("found_tag"), "spans").dropDuplicates(["found_id", "found_tag"])
+    tagged = boxed(docs, F.col(id_col).alias("id"), row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
+    both = tagged.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left")
+    chars = F.split(F.col("text"), "")
     both = both.withColumn("_chars", F.when(F.col("spans").isNotNull(), chars))
     firsts = F.filter("spans", lambda s: s["start"] >= s["covered"])
     between = lambda a, n: F.array_join(F.slice("_chars", (a + 1).cast("int"), n.cast("int")), "")
     head = F.array_join(F.transform(firsts, lambda s: F.concat(between(s["covered"], s["start"] - s["covered"]), F.lit("["), s["kind"], F.lit("]"))), "")
     last = F.array_max(F.transform("spans", lambda s: s["end"]))
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.concat(head, between(last, F.size("_chars") - last)))
-    both = both.withColumn(text_col, text)
-    if size_col:
-        both = both.withColumn(size_col, F.char_length(text_col).cast(dict(docs.dtypes)[size_col]))
-    return both.select(*docs.columns)
+    both = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(head, between(last, F.size("_chars") - last))))
+    new = {text_col: F.col("text")} | ({size_col: F.char_length("text").cast(docs.schema[size_col].dataType)} if size_col else {})
+    return both.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

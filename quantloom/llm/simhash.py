@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut, row_tag
+from quantloom.llm.common import boxed, cut, row_tag
 from quantloom.llm.components import components
 
 SEED = 42
@@ -282,15 +282,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
 
 
 def deduplicated(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = 0.8) -> DataFrame:
-    """One row of each component, with the columns of docs: one whose id names
-    the component. Where no row of a component has an id, one of them stays."""
+    """One row of each component, with the columns of docs (of any names): one whose
+    id names the component. Where no row of a component has an id, one of them
+    stays. Texts without words (null ones too) are one component."""
     comp = near_duplicates(docs, width, id_col, text_col, least)
     named = comp.where(F.col(id_col).eqNullSafe(F.col("component_id")))
     keep = named.groupBy("_root").agg(F.min(F.struct("_tag", F.col(id_col).alias("_keep"))).alias("k")).select("k._keep", "k._tag")
     keep = cut(keep)
-    tagged = docs.withColumn("_row_tag", row_tag(text_col))
-    kept = tagged.join(keep, tagged[id_col].eqNullSafe(keep["_keep"]) & (F.col("_row_tag") == F.col("_tag")), "left_semi")
+    tagged = boxed(docs, F.col(id_col).alias("id"), row_tag(text_col).alias("tag"))
+    kept = tagged.join(keep, F.col("id").eqNullSafe(F.col("_keep")) & (F.col("tag") == F.col("_tag")), "left_semi")
     again = named.join(keep, named[id_col].eqNullSafe(keep["_keep"]) & (named["_tag"] == keep["_tag"])).groupBy("_keep", keep["_tag"]).count().where("count > 1")
     if not again.isEmpty():  # equal rows under one id: a shuffle of texts that few tables need
-        kept = kept.dropDuplicates([id_col, "_row_tag"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "tag"])
+    return kept.select("row.*")

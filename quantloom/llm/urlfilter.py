@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import ascii_lower, cut
+from quantloom.llm.common import ascii_lower, boxed, cut
 
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
@@ -73,10 +73,9 @@ def judged(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     of equally long ones that with the longer host; without any, the verdict is
     `default` and rule is null. Of rules with equal host and path, block wins.
     Rules with a null part are ignored. A null URL, or one without "://", has an
-    empty host and path. Rows may repeat; other columns stay as they are.
+    empty host and path. Rows may repeat; other columns, of any names, stay as they are.
     """
-    own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = urls.select(*own, host(F.col(url_col)).alias("_host"), path(F.col(url_col)).alias("_path"))
+    rows = boxed(urls, host(F.col(url_col)).alias("_host"), path(F.col(url_col)).alias("_path"))
     rows = rows.withColumn("_hkey", host_key(F.col("_host")))
     held = rules.where("host is not null and path is not null and verdict is not null")
     held = held.groupBy(host_key(ascii_lower(F.col("host"))).alias("_hkey"), F.col("path").alias("_path")).agg(F.max("verdict").alias("_verdict"))
@@ -92,4 +91,5 @@ def judged(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     every = every.repartition("_part").sortWithinPartitions("_part", "_key", "_asks", "_path")
     decided = every.drop("_part").mapInArrow(_sweep, "_hkey string, _path string, rule string, verdict string")
     found = rows.join(decided, ["_hkey", "_path"], "left")
+    own = [F.col(f"row.`{c}`") for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     return found.select(*own, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -65,6 +65,37 @@ def test_one_digest_for_several_forms(spark, monkeypatch):
             assert (a.fingerprint == b.fingerprint) == (canonical(a.text) == canonical(b.text))
 
 
+def test_ids_of_other_kinds(spark):
+    """Text ids, of which several rows have the same or none."""
+    docs = [(None if i is None else f"id{i:03}", t) for i, t in DOCS] + [("id005", " \n")]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    order = sorted({(i is None, i or "") for i, _ in docs}, key=lambda k: k, reverse=True)
+    got = fingerprint.comparison(df).collect()
+    assert len(got) == len(docs)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    ids = [None if none else i for none, i in sorted(order, key=lambda k: (k[0], [-ord(c) for c in k[1]]))]
+    texts = {i: [t or "" for j, t in docs if j == i] for i in ids}
+    for i, after in zip(ids, ids[1:] + ids[:1], strict=True):
+        # of rows with one id, all but the last are followed by one of themselves
+        nexts = sorted(r.next_text for r in by[i])
+        assert sorted([*texts[i][1:], *texts[after][:1]]) == nexts or len(texts[i]) == 1 and nexts[0] in texts[after]
+
+
+def test_many_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET", 4)
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(60)] + [(i, f"t {i}") for i in range(9)], "doc_id long, text string")
+    got = fingerprint.edited(df).collect()
+    # one ring through all rows
+    after = {r.text: r.next_text for r in got}
+    at, seen = "t 8", []
+    while at not in seen:
+        seen.append(at)
+        at = after[at]
+    assert len(seen) == 69 and seen[:9] == [f"t {i}" for i in range(8, -1, -1)]
+
+
 def test_of_nothing_and_of_one(spark):
     assert fingerprint.comparison(frame(spark).limit(0)).count() == 0
     one = fingerprint.comparison(frame(spark).where("doc_id = 1")).first()

@@ -1,5 +1,9 @@
+import math
 import zlib
 
+import numpy as np
+import pytest
+
 from quantloom.llm import language, queries
 
 
@@ -33,6 +37,73 @@ def test_without_labels_or_rows(spark):
     assert language.accepted(docs).count() == 0
 
 
+def plain_em(counts, model, rounds=15):
+    """Expectation-maximisation one trigram and language at a time."""
+    k = model.shape[1]
+    theta = [1 / k] * k
+    seen = [(int(b), int(n)) for b, n in enumerate(counts) if n]
+    total = sum(n for _, n in seen)
+    if k > 1:
+        for _ in range(rounds):
+            new = [0.0] * k
+            for b, n in seen:
+                p = [theta[j] * math.exp(model[b][j]) for j in range(k)]
+                for j in range(k):
+                    new[j] += n * p[j] / sum(p)
+            theta = [v / total for v in new]
+    fit = sum(n * math.log(sum(theta[j] * math.exp(model[b][j]) for j in range(k))) for b, n in seen)
+    return theta, fit, total
+
+
+def plain_mixture(counts, model):
+    chosen = list(range(model.shape[1]))
+    theta, fit, total = plain_em(counts, model[:, chosen])
+    while len(chosen) > 1:
+        out = min(range(len(chosen)), key=lambda j: theta[j])
+        rest = chosen[:out] + chosen[out + 1 :]
+        less, fit_less, _ = plain_em(counts, model[:, rest])
+        if fit - fit_less > language.PENALTY * math.log(total + 1):
+            break
+        chosen, theta, fit = rest, less, fit_less
+    return dict(zip(chosen, theta, strict=True))
+
+
+def test_query_against_a_plain_mixture(spark, sf):
+    """Every row of the query: model, mixture and choice made one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    counts = {r.doc_id: language.trigrams(r.text) for r in docs}
+    names = sorted({r.lang for r in docs if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2})
+    table = np.full((language.BUCKETS, len(names)), 0.5)
+    for r in docs:
+        if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            table[:, names.index(r.lang)] += counts[r.doc_id]
+    model = np.log(table / table.sum(0))
+    got = {r.doc_id: r for r in queries.op9_language_id(spark, sf).collect()}
+    assert set(got) == set(counts)
+    for r in docs[::4]:
+        want = plain_mixture(counts[r.doc_id], model) if counts[r.doc_id].any() else {}
+        best = max(want, key=lambda j: want[j]) if want else None
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert got[r.doc_id].lang_pred == ("und" if best is None else names[best])
+        assert abs(got[r.doc_id].score - (want[best] if want else 0)) < 1e-3
+
+
+def test_several_languages_are_accepted(spark):
+    texts = {"en": "the cat and the dog went there then with them", "fr": "le chat et le chien sont partis là bas avec eux", "de": "der hund und die katze gingen dann dorthin zusammen", "es": "el gato y el perro fueron entonces hacia ellos"}
+    rows = [(i, t, x) for i, (x, t) in enumerate(list(texts.items()) * 8)]
+    rows += [(100, " ".join([f"{t} " * 20 for t in texts.values()]), None), (101, "漢字仮名交文 " * 40, None), (102, "123 456", None), (103, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language.accepted(docs).collect()}
+    assert kept == set(range(32)) | {100}
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language.trained(docs)
+
+
 def test_labels_in_the_unseen_fold_only(spark):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2][:4]
     docs = spark.createDataFrame([(i, "the cat and the dog went there then", "en") for i in ids], "doc_id long, text string, lang string")
