@@ -1,19 +1,22 @@
 """Substring dedup as a relative Lempel-Ziv parse.
 
-Each document is factored against the documents with smaller ids. The index is
-dealt over the cluster in blocks by hash, and every place of a document asks
-the block that owns it, in two steps of falling length:
-
-1. Content-defined chunks: stretches of words between places picked by the
-   words themselves, each long enough to hold every window that begins in it.
-   A chunk that an earlier document has is a factor, whatever its length.
-2. Windows of the other chunks whose rarest part (the least hash of the short
-   word runs in a window) is in several such chunks.
-
-A window's first holder has it in no factor of the first kind, so windows left
-out in step 2 never hide an earlier holder. Factors that touch or overlap are
-one; at their boundaries single windows decide, so spans are exact. Sequences
-are known by 128 bits over 64-bit hashes of their words.
+Each document is factored against the documents with smaller ids. Windows of
+`width` words are the seeds; their index is dealt over the cluster in blocks by
+hash, and the block that owns a window names the first document that has it.
+
+1. Anchors, the windows where a text is cut by its own words, ask first. Around
+   each answer, the words of both documents are compared along the diagonal
+   that the two places give, and every run of equal words of a window's length
+   or more is a factor, however far it reaches.
+2. At the ends of factors, and where no anchor was answered, single windows are
+   checked: those that lie in no factor and whose rarest part (the least hash of
+   the short word runs in a window) is in several documents ask in the same way.
+
+Reference texts stay in one place each: the stretches that ask are sent to
+them, and a document that very many ask is laid out in several copies. A
+window's first holder has it in no factor, so windows left out of step 2 never
+hide an earlier holder. Hashes only find candidates (two windows with the same
+128 bits count as one candidate); what is removed has been compared as text.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes of text that are parsed at a time (a longer text by itself).
 SLICE = 1 << 21
+#: Words on either side of its answered places that a document sends to a reference text.
+REACH = 256
+#: Asks that one copy of a reference text answers.
+ASKS = 1024
 
 
 class _Words(dict):
@@ -141,30 +148,45 @@ def _ranks(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
-def _answered(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(h1, known): known where the slice itself has the sequence under a smaller
-    id. Those rows get another h1, so that of a sequence that many documents have
-    few rows of a slice go to one place."""
+def _known(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each window the row of the same window with the smallest id of the slice,
+    if that is smaller than its own (else -1). So of a window that many documents
+    have, few rows of a slice ask the index."""
     order = np.lexsort((rank, h2, h1))
-    a, b, r = h1[order], h2[order], rank[order]
+    a, b = h1[order], h2[order]
     head = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    known = np.zeros(len(order), bool)
-    known[order] = r > r[head][np.cumsum(head) - 1]
-    return np.where(known, key, h1), known
+    lead = order[head][np.cumsum(head) - 1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(rank[order] > rank[lead], lead, -1)
+    return out
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_key, _id, _text; _key names a row by its id and text."""
-    return docs.select(F.xxhash64(F.col(id_col), row_tag(text_col)).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    """_key, _k2, _id, _text; _key and _k2 name a row by its id and text."""
+    named = docs.select(F.xxhash64(F.col(id_col), row_tag(text_col)).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    return named.select("_key", F.xxhash64("_id").alias("_k2"), "_id", "_text")
 
 
-#: With _key, tells documents apart.
-ALSO = "xxhash64(_id)"
+DOC = ["_key", "_k2"]
+SEED = ["h1", "h2", "_id", *DOC, "first", "to_key", "to_k2", "to_first"]
+
+
+def _seeds(b: pa.RecordBatch, p: Slice, at: np.ndarray) -> list[pa.Array]:
+    """The columns SEED of the windows at some places: to_... tell where the slice has them under a smaller id."""
+    of = p.doc[at]
+    h1, h2 = (p.hashed(k, at, at + p.width) for k in (0, 1))
+    to = _known(h1, h2, _ranks(b.column("_id"))[of])
+    ids, keys, k2 = (b.column(c).take(pa.array(of)) for c in ("_id", *DOC))
+    first, to = pa.array((at - p.off[of]).astype(np.int32)), pa.array(to, mask=to < 0)
+    return [pa.array(h1), pa.array(h2), ids, keys, k2, first, keys.take(to), k2.take(to), first.take(to)]
+
+
+def _kinds(src: DataFrame) -> str:
+    return f"h1 long, h2 long, _id {src.schema['_id'].dataType.simpleString()}, _key long, _k2 long, first int, to_key long, to_k2 long, to_first int"
 
 
 def _chunk_rows(src: DataFrame, width: int) -> DataFrame:
-    """h1, h2, known, _id, _key, first, last, rare: one row per chunk; rare has the least run hashes of its windows."""
-    names = ["h1", "h2", "known", "_id", "_key", "first", "last", "rare"]
+    """SEED, last, rare: one row per chunk, with its first window as anchor; rare has the least run hashes of its windows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -179,15 +201,10 @@ def _chunk_rows(src: DataFrame, width: int) -> DataFrame:
             new[start] = True
             at = np.flatnonzero(new)
             lists = np.append(np.searchsorted(at, start), len(at)).astype(np.int32)
-            of = p.doc[start]
-            place = lambda x: pa.array((x - p.off[of]).astype(np.int32))
-            h1, h2 = (p.hashed(k, start, end + width - 1) for k in (0, 1))
-            keys = b.column("_key").take(pa.array(of))
-            h1, known = _answered(h1, h2, _ranks(b.column("_id"))[of], keys.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(known), b.column("_id").take(pa.array(of)), keys, place(start), place(end), pa.ListArray.from_arrays(pa.array(lists), pa.array(m[at]))], names)
+            last = pa.array((end - p.off[p.doc[start]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*_seeds(b, p, start), last, pa.ListArray.from_arrays(pa.array(lists), pa.array(m[at]))], [*SEED, "last", "rare"])
 
-    kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInArrow(each, f"h1 long, h2 long, known boolean, _id {kind}, _key long, first int, last int, rare array<long>")
+    return src.mapInArrow(each, _kinds(src) + ", last int, rare array<long>")
 
 
 def _flat(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +214,8 @@ def _flat(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_rows(rows: DataFrame, width: int) -> DataFrame:
-    """h1, h2, known, _id, _key, first: windows that begin outside of the row's
-    ranges and whose rarest run is among the shared ones."""
-    names = ["h1", "h2", "known", "_id", "_key", "first"]
+    """SEED of the windows that begin outside of the row's ranges and whose rarest run
+    is among the shared ones; of equal windows of a document the first."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -211,49 +227,131 @@ def _window_rows(rows: DataFrame, width: int) -> DataFrame:
                 at, of = _flat(b, name)
                 np.add.at(depth, at.astype(np.int64) + p.off[of], step)
             at = np.flatnonzero(free & (np.cumsum(depth)[:-1] == 0))
-            if not len(at):
+            if len(at):
+                pairs = np.column_stack([p.doc[at], p.hashed(0, at, at + width)])
+                at = at[np.sort(np.unique(pairs, axis=0, return_index=True)[1])]
+                yield pa.RecordBatch.from_arrays(_seeds(b, p, at), SEED)
+
+    return rows.select(*DOC, "_id", "_text", "shared", "firsts", "lasts").mapInArrow(each, _kinds(rows))
+
+
+def _holders(rows: DataFrame) -> DataFrame:
+    """DOC, first, to_key, to_k2, to_first: windows that a document with a smaller id
+    has (a null id is larger than any), with the first such document. One shuffle,
+    and a block is read in order; what a slice knows by itself doesn't ask."""
+    asking = rows.where("to_key is null")
+    holder = F.first(F.struct("_id", *DOC, "first")).over(Window.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("_id")))
+    found = asking.withColumn("_to", holder).where(F.col("_to._id").isNotNull() & (F.col("_id").isNull() | (F.col("_id") > F.col("_to._id"))))
+    answered = found.select(*DOC, "first", F.col("_to._key").alias("to_key"), F.col("_to._k2").alias("to_k2"), F.col("_to.first").alias("to_first"))
+    return rows.where("to_key is not null").select(answered.columns).union(answered)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], width: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """One row for each ask of a document: the words around its places, and where they begin."""
+    for b in _slices(batches):
+        out = []
+        for key, k2, text, asks in zip(*(b.column(c).to_pylist() for c in (*DOC, "_text", "asks")), strict=True):
+            words = text.encode().split()
+            for q in asks:
+                a = max(0, q["least"] - reach)
+                body = b" ".join(words[a : q["most"] + width + reach])
+                out.append({"to_key": q["to_key"], "to_k2": q["to_k2"], "copy": q["copy"], "asks": True, "_key": key, "_k2": k2, "at": a, "shift": q["shift"], "body": body.decode()})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _ASK)
+
+
+_ASK = pa.schema([("to_key", pa.int64()), ("to_k2", pa.int64()), ("copy", pa.int32()), ("asks", pa.bool_()), *((c, pa.int64()) for c in DOC), ("at", pa.int32()), ("shift", pa.int32()), ("body", pa.string())])
+ASK = "to_key long, to_k2 long, copy int, asks boolean, _key long, _k2 long, at int, shift int, body string"
+
+
+def _runs(same: np.ndarray, low: int, width: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of at least `width` true values, counted from low."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))) + low
+    return [(s, e) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if e - s >= width]
+
+
+def _extended(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of windows of the factors that each stretch has with the reference text
+    before it. Both are laid along their diagonal; runs of equal words that are
+    long enough are factors. One reference text is held at a time."""
+    known = Slice.known
+    hashed = lambda words: np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    ref: list[bytes] = []
+    rh = np.zeros(0, np.uint64)
+    for b in batches:
+        out = []
+        for asks, key, k2, at, shift, body in zip(*(b.column(c).to_pylist() for c in ("asks", *DOC, "at", "shift", "body")), strict=True):
+            words = body.encode().split()
+            if not asks:
+                ref, rh = words, hashed(words)
                 continue
-            of = p.doc[at]
-            h1, h2 = (p.hashed(k, at, at + width) for k in (0, 1))
-            keys = b.column("_key").take(pa.array(of))
-            h1, known = _answered(h1, h2, _ranks(b.column("_id"))[of], keys.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(known), b.column("_id").take(pa.array(of)), keys, pa.array((at - p.off[of]).astype(np.int32))], names)
-
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "_key", "_text", "shared", "firsts", "lasts").mapInArrow(each, f"h1 long, h2 long, known boolean, _id {kind}, _key long, first int")
-
-
-def _with_first(rows: DataFrame) -> DataFrame:
-    """rows with seen: whether a row with a smaller id has the sequence (h1, h2);
-    a null id is larger than any. One shuffle, and a group is read in order: what
-    many documents have has been thinned out by _answered before."""
-    least = F.first("_id").over(Window.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("_id")))
-    later = least.isNotNull() & (F.col("_id").isNull() | (F.col("_id") > least))
-    return rows.withColumn("seen", F.col("known") | later)
+            d = at - shift  # the stretch's first word lies beside this word of the reference
+            low, high = max(0, -d), min(len(words), len(ref) - d)
+            if high - low < width:
+                continue
+            runs = _runs(hashed(words[low:high]) == rh[low + d : high + d], low, width)
+            if any(words[s:e] != ref[s + d : e + d] for s, e in runs):  # different words with one hash
+                runs = _runs(np.array([x == y for x, y in zip(words[low:high], ref[low + d : high + d], strict=True)]), low, width)
+            out += [(key, k2, at + s, at + e - width + 1) for s, e in runs]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], [*DOC, "first", "last"])
+
+
+def _factors(asked: DataFrame, src: DataFrame, width: int, reach: int) -> DataFrame:
+    """DOC, first, last: the factors around the answered places (rows of _holders). src is dealt by DOC."""
+    diagonal = (F.col("first") - F.col("to_first")).alias("shift")
+    asks = cut(asked.groupBy(*DOC, "to_key", "to_k2", diagonal).agg(F.min("first").alias("least"), F.max("first").alias("most")))
+    copies = cut(asks.groupBy("to_key", "to_k2").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("copies")))
+    own = asks.join(copies, ["to_key", "to_k2"]).withColumn("copy", F.pmod("_key", "copies").cast("int"))
+    own = own.groupBy(*DOC).agg(F.collect_list(F.struct("to_key", "to_k2", "copy", "shift", "least", "most")).alias("asks"))
+    stretches = src.join(own, DOC).select(*DOC, "_text", "asks").mapInArrow(lambda b: _stretches(b, width, reach), ASK)
+    held = src.join(copies.withColumnsRenamed({"to_key": "_key", "to_k2": "_k2"}), DOC)
+    none = [F.lit(None).cast("long").alias(c) for c in DOC] + [F.lit(None).cast("int").alias(c) for c in ("at", "shift")]
+    held = held.select(F.col("_key").alias("to_key"), F.col("_k2").alias("to_k2"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(False).alias("asks"), *none, F.col("_text").alias("body"))
+    block = ["to_key", "to_k2", "copy"]
+    laid = held.union(stretches).repartition(*block).sortWithinPartitions(*block, "asks")
+    return laid.mapInArrow(lambda b: _extended(b, width), "_key long, _k2 long, first int, last int")
 
 
 def _ranges(rows: DataFrame) -> DataFrame:
-    """_key, _k2, firsts, lasts: the ranges of windows of each document, sorted."""
-    every = rows.groupBy("_key", F.expr(ALSO).alias("_k2")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"))
-    return every.select("_key", "_k2", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"))
+    """DOC, firsts, lasts: the ranges of windows of each document, sorted."""
+    every = rows.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"))
+    return every.select(*DOC, F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"))
 
 
 def factored(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _text of each row of docs, with firsts and lasts: the ranges of windows
-    that begin in a document with a smaller id too (sorted, ends exclusive; may be null)."""
-    chunks = _with_first(_chunk_rows(_source(docs, id_col, text_col), width))
-    chunks = cut(chunks.select("_key", "_id", "first", "last", "seen", F.when(~F.col("seen"), F.col("rare")).alias("rare")))
-    seen = chunks.where("seen").select("_key", "_id", "first", "last")
-    rare = chunks.where("not seen").select("_key", "_id", F.explode("rare").alias("m")).select("m", "_key", F.expr(ALSO).alias("_k2")).repartition("m")
+    """_id, _text of each row of docs, with firsts and lasts: the ranges of windows that
+    begin in a document with a smaller id too (sorted, ends exclusive; may be null), but
+    for windows of the second step that are equal within a document: of these the first."""
+    chunks = cut(_chunk_rows(_source(docs, id_col, text_col), width))
+    src = _source(docs, id_col, text_col).repartition(*DOC)
+    ranges = cut(_ranges(_factors(_holders(chunks.select(*SEED)), src, width, REACH)))
+    # chunks that no factor holds as a whole go on
+    held = F.exists(F.arrays_zip("firsts", "lasts"), lambda r: (r["firsts"] <= F.col("first")) & (r["lasts"] >= F.col("last")))
+    open_ = chunks.select(*DOC, "first", "last", "rare").join(ranges, DOC, "left").where(~F.coalesce(held, F.lit(False)))
+    rare = open_.select(*DOC, F.explode("rare").alias("m")).select("m", *DOC).repartition("m")
     # chunks that touch tell of the same run, so documents are counted and not rows
-    several = rare.groupBy("m").agg(F.min(F.struct("_key", "_k2")).alias("a"), F.max(F.struct("_key", "_k2")).alias("b")).where("a <> b").select("m")
-    shared = cut(rare.join(several, "m").groupBy("_key", "_k2").agg(F.collect_set("m").alias("shared")))
-    # texts are dealt once, for the windows and for the result
-    src = _source(docs, id_col, text_col).withColumn("_k2", F.expr(ALSO)).repartition("_key", "_k2")
-    asked = src.join(shared, ["_key", "_k2"]).join(_ranges(seen), ["_key", "_k2"], "left")
-    windows = _with_first(_window_rows(asked, width))
-    single = windows.where("seen").select("_key", "_id", "first", (F.col("first") + 1).alias("last"))
-    return src.join(_ranges(seen.union(single)), ["_key", "_k2"], "left").select("_id", "_text", "firsts", "lasts")
+    several = rare.groupBy("m").agg(F.min(F.struct(*DOC)).alias("a"), F.max(F.struct(*DOC)).alias("b")).where("a <> b").select("m")
+    shared = cut(rare.join(several, "m").groupBy(*DOC).agg(F.collect_set("m").alias("shared")))
+    asking = src.join(shared, DOC).join(ranges, DOC, "left")
+    single = _factors(_holders(cut(_window_rows(asking, width))), src, width, 0)
+    every = ranges.select(*DOC, F.explode(F.arrays_zip("firsts", "lasts")).alias("r")).select(*DOC, F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"))
+    return src.join(_ranges(every.union(single)), DOC, "left").select("_id", "_text", "firsts", "lasts")
+
+
+def _repeats(words: list[bytes], firsts: list[int], lasts: list[int], width: int) -> list[tuple[int, int]]:
+    """Ranges of the windows outside of these that are equal to one inside: within a
+    document, equal windows have one answer."""
+    p = Slice([b" ".join(words).decode()], width)
+    inside = np.zeros(len(words) + 1, np.int64)
+    np.add.at(inside, firsts, 1)
+    np.add.at(inside, lasts, -1)
+    n = len(words) - width + 1
+    inside = np.cumsum(inside)[:n] > 0
+    h = p.hashed(0, np.arange(n), np.arange(n) + width)
+    known = {int(x): int(i) for x, i in zip(h[inside][::-1], np.flatnonzero(inside)[::-1], strict=True)}
+    again = np.flatnonzero(~inside & np.isin(h, h[inside]))
+    return [(int(i), int(i) + 1) for i in again if words[i : i + width] == words[known[int(h[i])] : known[int(h[i])] + width]]
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +373,10 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
             for text, firsts, lasts in zip(*(b.column(c).to_pylist() for c in ("_text", "firsts", "lasts")), strict=True):
                 words = text.encode().split()
                 left, s, e, at = [], [], [], 0
-                for first, last in zip(firsts or (), lasts or (), strict=True):
+                ranges = list(zip(firsts or (), lasts or (), strict=True))
+                if ranges:
+                    ranges = sorted(ranges + _repeats(words, firsts, lasts, width))
+                for first, last in ranges:
                     if e and first <= e[-1]:
                         e[-1] = max(e[-1], last + width - 1)
                     else:

@@ -49,6 +49,30 @@ def test_rows_of_all_kinds(spark):
     check(spark, rows, 7)
 
 
+def test_one_reference_asked_by_many(spark, monkeypatch):
+    """A passage that most documents share, in several copies of its reference, and words that repeat."""
+    monkeypatch.setattr(substring, "ASKS", 3)
+    monkeypatch.setattr(substring, "REACH", 20)
+    monkeypatch.setattr(substring, "SLICE", 1 << 12)
+    rnd = random.Random(3)
+    new = lambda n: [f"w{rnd.randrange(90)}" for _ in range(n)]
+    common, other = new(120), new(40)
+    rows = []
+    for i in range(80):
+        t = new(rnd.randrange(20)) + common[rnd.randrange(30) : 120 - rnd.randrange(30)] + new(rnd.randrange(3)) + ["a"] * rnd.randrange(60) + other[: rnd.randrange(40)]
+        t[rnd.randrange(len(t))] = "changed"
+        rows.append((i, " ".join(t)))
+    assert sum(r[2] for r in check(spark, rows)) > 3000
+
+
+def test_runs_of_equal_words():
+    import numpy as np
+
+    same = np.array([1, 1, 0, 1, 1, 1, 0, 1], bool)
+    assert substring._runs(same, 5, 2) == [(5, 7), (8, 11)]
+    assert substring._runs(same[:0], 0, 1) == []
+
+
 def test_empty(spark):
     assert substring.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     check(spark, [(1, "one two"), (2, "one two")])
