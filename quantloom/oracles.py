@@ -183,8 +183,8 @@ def fits(kind: str, alpha: float, l1: float = 1.0) -> str:
     return f"""step as (
   select ts, 0 k, 0.0::double w1, 0.0::double w2 from cv
   union all
-  select ts, k + 1, w1n, {soft.format("(q - b * w1n)", "c")} from (select step.ts, k, w2, a, b, c, p, q, {first} w1n from step join cv using (ts) where k < 300)),
-ft as (select cv.*, w1, w2 from cv join step using (ts) where k = 300)"""
+  select ts, k + 1, w1n, {soft.format("(q - b * w1n)", "c")} from (select step.ts, k, w2, a, b, c, p, q, {first} w1n from step join cv using (ts) where k < 2000)),
+ft as (select cv.*, w1, w2 from cv join step using (ts) where k = 2000)"""
 
 
 def moments(x: str) -> str:
