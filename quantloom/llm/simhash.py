@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import boxed, cut, row_tag
+from quantloom.llm.common import Scratch, boxed, cut, row_tag
 from quantloom.llm.components import components
 
 SEED = 42
@@ -149,13 +149,13 @@ def _paired(df: DataFrame, *more: Column | str) -> DataFrame:
     return df.select(F.col("x.s").alias("xs"), F.col("x.fp").alias("xf"), F.col("y.s").alias("ys"), F.col("y.fp").alias("yf"), *more).distinct()
 
 
-def _holders(fps: DataFrame, one: DataFrame) -> DataFrame:
+def _holders(fps: DataFrame, one: DataFrame, scratch: Scratch) -> DataFrame:
     """key, y (set, fp, n, pos: place of the key in the set's order, outline) for the keys that several sets hold."""
     sets = fps.where("n > 0").groupBy("s").agg(F.first("keys").alias("keys"))
     keyed = sets.select("s", F.posexplode("keys").alias("pos", "key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     lines = [f"o{i}" for i in range(OUTLINE)]
-    return cut(keyed.join(shared, "key").join(one.select("s", "fp", "n", *lines), "s").select("key", F.struct("s", "fp", "n", "pos", *lines).alias("y")))
+    return scratch.cut(keyed.join(shared, "key").join(one.select("s", "fp", "n", *lines), "s").select("key", F.struct("s", "fp", "n", "pos", *lines).alias("y")))
 
 
 def _stars(held: DataFrame, least: float) -> DataFrame:
@@ -174,27 +174,27 @@ def _rooted(df: DataFrame, edges: DataFrame, **cols: str) -> DataFrame:
     return df
 
 
-def _across(held: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+def _across(held: DataFrame, edges: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """All pairs of sets that have a key in common, may be alike and aren't connected
     by edges, with the roots xr and yr and apart. Keys that many hold are paired in
     blocks, so no task gets all pairs of a key."""
-    held = cut(_rooted(held, edges, r="y.fp"))
+    held = scratch.cut(_rooted(held, edges, r="y.fp"))
     open_ = held.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("a < b").select("key", "blocks")
-    live = cut(held.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("y.s"), F.col("blocks")).cast("int")))
+    live = scratch.cut(held.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("y.s"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = live.select("key", F.col("y").alias("x"), F.col("r").alias("xr"), F.col("own").alias("i"), other.alias("j"))
     right = live.select("key", "y", F.col("r").alias("yr"), F.col("own").alias("j"), other.alias("i"))
     return _paired(left.join(right, ["key", "i", "j"]).where("xr < yr").where(_may(least)), "xr", "yr", _apart().alias("apart"))
 
 
-def _alike(docs: DataFrame, met: DataFrame, one: DataFrame, width: int, least: float, id_col: str, text_col: str) -> DataFrame:
+def _alike(docs: DataFrame, met: DataFrame, one: DataFrame, width: int, least: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """The pairs of met (PAIR) whose sets of shingles have a Jaccard likeness of
     `least` or more. one: the row (_i, _t) that stands for each s."""
-    met = cut(met)
+    met = scratch.cut(met)
     # texts of the documents in question only
     asked = one.join(met.select(F.col("xs").alias("s")).union(met.select("ys")).distinct(), "s").select("s", "_i", "_t")
     rows = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
-    texts = cut(rows.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t"))).groupBy("s").agg(F.first("_text").alias("text")))
+    texts = scratch.cut(rows.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t"))).groupBy("s").agg(F.first("_text").alias("text")))
     pairs = met.join(texts.select(F.col("s").alias("xs"), F.col("text").alias("tx")), "xs").join(texts.select(F.col("s").alias("ys"), F.col("text").alias("ty")), "ys")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,20 +214,30 @@ def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, width: int, least
     that are alike by `least`. fps: fingerprints(least=least). What earlier edges
     connect isn't compared again: stars come first, then the nearest pair of each
     two components, then every pair that is left."""
+    spark = docs.sparkSession
     one = cut(fps.where("n > 0").groupBy("s").agg(F.min(F.struct("fp", "_id", "_tag", "n", *[f"o{i}" for i in range(OUTLINE)])).alias("r")).select("s", "r.*").withColumnsRenamed({"_id": "_i", "_tag": "_t"}))
     # words that repeat count in a fingerprint and not in a set
     same = fps.select("s", F.col("fp").alias("b")).join(one.select("s", F.col("fp").alias("a")), "s").where("a != b").select("a", "b").distinct()
     edges = cut(edges.union(same))
-    alike = lambda met: cut(edges.union(_alike(docs, met, one, width, least, id_col, text_col)))
-    held = _holders(fps, one)
-    edges = alike(_rooted(_stars(held, least), edges, xr="xf", yr="yf").where("xr <> yr").select(*PAIR))
-    left = cut(_across(held, edges, least))
+
+    def alike(edges: DataFrame, met: DataFrame) -> DataFrame:
+        step = Scratch(spark)
+        out = cut(edges.union(_alike(docs, met, one, width, least, id_col, text_col, step)))
+        step.clear()
+        return out
+
+    keys = Scratch(spark)
+    held = _holders(fps, one, keys)
+    edges = alike(edges, _rooted(_stars(held, least), edges, xr="xf", yr="yf").where("xr <> yr").select(*PAIR))
+    left = cut(_across(held, edges, least, keys))
+    del held
+    keys.clear()
     if left.isEmpty():
         return edges
     nearest = cut(left.groupBy("xr", "yr").agg(F.min(F.struct("apart", *PAIR)).alias("p")).select("p.*").select(*PAIR))
-    edges = alike(nearest)
+    edges = alike(edges, nearest)
     left = left.select(*PAIR).join(nearest.select("xs", "ys"), ["xs", "ys"], "left_anti")
-    return alike(_rooted(left, edges, xr="xf", yr="yf").where("xr <> yr").select(*PAIR))
+    return alike(edges, _rooted(left, edges, xr="xf", yr="yf").where("xr <> yr").select(*PAIR))
 
 
 def _variants(fps: DataFrame) -> DataFrame:
