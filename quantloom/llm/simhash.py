@@ -39,6 +39,8 @@ CHUNK = 1 << 16
 SAMPLE, MOST_FREQUENT = 32, 1 << 19
 #: Longs in which a set is outlined, and holders of a key that one task pairs with as many others.
 OUTLINE, BLOCK = 4, 1024
+#: Parts in which pairs meet their texts: only one part's texts are on disk at a time.
+PARTS = 4
 #: Room for rounding in bounds; what they let through is compared exactly.
 SLACK = 1e-6
 
@@ -221,10 +223,13 @@ def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, width: int, least
     edges = cut(edges.union(same))
 
     def alike(edges: DataFrame, met: DataFrame) -> DataFrame:
-        step = Scratch(spark)
-        out = cut(edges.union(_alike(docs, met, one, width, least, id_col, text_col, step)))
-        step.clear()
-        return out
+        met = cut(met)
+        for k in range(PARTS):  # pairs carry two texts: a part of them at a time
+            step = Scratch(spark)
+            mine = met.where(F.pmod(F.xxhash64("xs", "ys"), F.lit(PARTS)) == k)
+            edges = cut(edges.union(_alike(docs, mine, one, width, least, id_col, text_col, step)))
+            step.clear()
+        return edges
 
     keys = Scratch(spark)
     held = _holders(fps, one, keys)
