@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +47,22 @@ def test_few_labels(spark):
     assert quality.fitted(df).score() is not None
     assert [round(r.score, 3) for r in quality.scored(df, quality.fitted(df)).collect()] == [0.75] * 3
     assert quality.scored(df, quality.fitted(df.limit(0))).first().score == 0.5
+
+
+def test_query_against_plain_rules(spark, sf):
+    """Every row of the query: the model's rules, looked at one by one."""
+    stats = quality.statistics(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).drop("text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in stats.select("doc_id").collect()}
+    seen = stats.join(labels, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
+    model = quality.fitted(seen)
+    rows = {r.doc_id: r for r in stats.collect()}
+    got = queries.op10_quality(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        z = model.intercept
+        for rule in model.rules:
+            if all((rows[r.doc_id][name] <= value) == most for name, most, value in rule.terms):
+                z += rule.weight
+        score = 1 / (1 + math.exp(-z))
+        assert abs(r.score - score) < 1e-9 and r.predicted == int(score >= 0.3) and r.held_out == held[r.doc_id]
