@@ -35,8 +35,8 @@ SEED = 42
 CHUNK = 1 << 16
 
 
-#: One text in so many is counted for the order of shingles; the most frequent ones found are sent to all executors.
-SAMPLE, MOST_FREQUENT = 32, 1 << 19
+#: Counters of the table that orders shingles (some hold several of them), and those that travel in one row.
+COUNTERS, SLICE = 1 << 20, 1 << 10
 #: Longs in which a set is outlined, and holders of a key that one task pairs with as many others.
 OUTLINE, BLOCK = 4, 1024
 #: Parts in which pairs meet their texts: only one part's texts are on disk at a time.
@@ -71,31 +71,41 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
 
 
-def frequent(docs: DataFrame, width: int, text_col: str = "text") -> Broadcast:
-    """Shingles that a sample of texts holds most often (sorted), and how often.
-    They only order shingles: which ones are in it changes no result."""
+def counters(docs: DataFrame, width: int, text_col: str = "text") -> Broadcast:
+    """How many texts hold a shingle of each of COUNTERS hash values, over all texts.
+    The size is the same for any corpus. The counts only order shingles, so that
+    two share a counter changes no result."""
+    slices = COUNTERS // SLICE
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int32)
         for b in batches:
-            sets = [np.unique(shingles(t.as_py(), width)) for t in b.column(0)]
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+            for t in b.column(0):
+                np.add.at(n, _counter(np.unique(shingles(t.as_py(), width))), 1)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in n.reshape(slices, SLICE)])], ["slice", "n"])
 
-    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = some.mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas()
-    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return docs.sparkSession.sparkContext.broadcast((h[order], n[order]))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x.as_py(), np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "n"])
+
+    found = docs.select(text_col).mapInArrow(each, "slice int, n binary").repartition("slice").mapInArrow(added, "slice int, n binary")
+    n = np.zeros((slices, SLICE), np.int64)
+    for k, x in found.collect():  # one row a slice
+        n[k] = np.frombuffer(x, np.int64)
+    return docs.sparkSession.sparkContext.broadcast(n.reshape(-1))
+
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def rarest(h: np.ndarray, known: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+def rarest(h: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     """Of a set (sorted), the rarest shingles, one of which is in each set that is alike by `least`."""
-    n = np.zeros(len(h), np.int64)
-    if len(known[0]):
-        at = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
-        n = np.where(known[0][at] == h, known[1][at], 0)
-    return h[np.lexsort((h, n))][: len(h) - math.ceil(least * len(h) - SLACK) + 1]
+    return h[np.lexsort((h, counts[_counter(h)]))][: len(h) - math.ceil(least * len(h) - SLACK) + 1]
 
 
 def outline(h: np.ndarray) -> np.ndarray:
@@ -108,7 +118,7 @@ def outline(h: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """_id, _tag, fp per row of docs; with least, also of the set of shingles: s (its hash), n (size), keys (rarest), o0, ... (outline)."""
     source = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
-    known = frequent(docs, width, text_col) if least is not None else None
+    counts = counters(docs, width, text_col) if least is not None else None
     more = {} if least is None else {"s": "long", "n": "int", "keys": "array<long>"} | {f"o{i}": "long" for i in range(OUTLINE)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +130,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
                 if least is not None:
                     h = np.unique(h)
                     sets.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), len(h)))
-                    keys.append(rarest(h, known.value, least).view(np.int64) if len(h) else [])
+                    keys.append(rarest(h, counts.value, least).view(np.int64) if len(h) else [])
                     lines.append(outline(h))
             extra = []
             if least is not None:

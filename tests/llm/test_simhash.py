@@ -143,6 +143,18 @@ def test_likeness_of_short_texts_against_all_pairs(spark):
     assert got == root
 
 
+def test_counters_hold_all_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    texts = [r.text for r in docs.collect()] + [None, ""]
+    got = simhash.counters(docs.union(spark.createDataFrame([(None,), ("",)], "text string")), 5).value
+    want = [0] * simhash.COUNTERS
+    for t in texts:
+        for h in {int(x) for x in simhash.shingles(t, 5)}:
+            want[h % simhash.COUNTERS] += 1
+    assert got.tolist() == want
+    assert not simhash.counters(docs.limit(0), 5).value.any()
+
+
 def test_rows_of_all_kinds(spark):
     rows = [(5, "a b c d e f"), (3, "A B C D E F"), (3, "A B C D E F"), (None, "a b c d e f"), (9, None), (8, ""), (None, "z y x w v u t"), (7, "long " * 50000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1))
