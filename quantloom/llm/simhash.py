@@ -39,7 +39,8 @@ CHUNK = 1 << 16
 COUNTERS, SLICE = 1 << 20, 1 << 10
 #: Longs in which a set is outlined, and holders of a key that one task pairs with as many others.
 OUTLINE, BLOCK = 4, 1024
-#: Parts in which pairs meet their texts: only one part's texts are on disk at a time.
+#: Parts, at most, in which pairs meet their texts: only one part's texts are on disk at a time. Each part
+#: deals all texts, so there are fewer where the texts of the pairs are less than all texts.
 PARTS = 4
 #: Room for rounding in bounds; what they let through is compared exactly.
 SLACK = 1e-6
@@ -232,11 +233,16 @@ def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, width: int, least
     same = fps.select("s", F.col("fp").alias("b")).join(one.select("s", F.col("fp").alias("a")), "s").where("a != b").select("a", "b").distinct()
     edges = cut(edges.union(same))
 
+    size = F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))
+    whole = one.agg(size).first()[0]
+
     def alike(edges: DataFrame, met: DataFrame) -> DataFrame:
         met = cut(met)
-        for k in range(PARTS):  # pairs carry two texts: a part of them at a time
+        carried = met.select(F.explode(F.array("xs", "ys")).alias("s")).join(one.select("s", "n"), "s").agg(size).first()[0]
+        parts = min(PARTS, math.ceil(PARTS * carried / max(whole, 1)))
+        for k in range(parts):  # pairs carry two texts: a part of them at a time
             step = Scratch(spark)
-            mine = met.where(F.pmod(F.xxhash64("xs", "ys"), F.lit(PARTS)) == k)
+            mine = met.where(F.pmod(F.xxhash64("xs", "ys"), F.lit(parts)) == k)
             edges = cut(edges.union(_alike(docs, mine, one, width, least, id_col, text_col, step)))
             step.clear()
         return edges
