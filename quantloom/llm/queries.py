@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.llm.collocations import collocations
 from quantloom.llm.common import cut, cut_path, table
 from quantloom.llm.decontaminate import contamination
 from quantloom.llm import language, mixing, quality, substring, urlfilter, warc
@@ -82,6 +83,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(stats, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -128,3 +133,18 @@ words as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p from d),
 kept as (select words.doc_id, string_agg(word, ' ' order by words.p) kept, count(*) n from words left join covered using (doc_id, p) where covered.p is null group by 1)
 select d.doc_id, len(d.w)::bigint n_words, (len(d.w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join kept using (doc_id)
 """
+
+ORACLES["op11_collocations"] = r"""
+with p as (select coalesce(lang, 'und') lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from p),
+total as (select lang, sum(len(w))::bigint n from w group by 1),
+f as (select lang, phrase, count(*)::bigint a, any_value(size) size from (select lang, size, array_to_string(w[i:i + size - 1], ' ') phrase from (select lang, w, size, unnest(range(1, len(w) - size + 2)) i from w, (select unnest(range(1, 5)) size) where len(w) >= size)) group by 1, 2 having count(*) >= 30),
+c as (select * from f where size > 1),
+cuts as (select c.lang, c.phrase, c.a, k, array_to_string(string_split(c.phrase, ' ')[1:k], ' ') x, array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ') y from (select *, unnest(range(1, size)) k from c) c),
+s as (select cuts.lang, cuts.phrase, cuts.a, k, fx.a l, fy.a r, (cuts.a::hugeint * 2000000) // (fx.a::hugeint + fy.a::hugeint) score from cuts join f fx on fx.lang = cuts.lang and fx.phrase = x join f fy on fy.lang = cuts.lang and fy.phrase = y),
+low as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+sub as (select lang, array_to_string(string_split(phrase, ' ')[i:i + n - 1], ' ') phrase, max(a) longer from (select *, unnest(range(1, size - n + 2)) i from (select *, unnest(range(2, size)) n from c where size > 2)) group by 1, 2),
+good as (select low.* from low left join sub using (lang, phrase) where longer is null or 100 * longer::hugeint < 80 * a::hugeint),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) rank from good)
+select lang, rank, phrase, a, l, r, n, score::bigint score from ranked join total using (lang) where rank <= 2000
+"""
