@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +89,44 @@ def repeated(df: DataFrame, times: str) -> DataFrame:
     keep = [c for c in df.columns if c != times]
     once = df.select(*keep, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias("_copy"))
     return once.drop("_copy")
+
+
+def digests(df: DataFrame, keys: list[str], order: list[str], texts: list[str], sums: list[str] = ()) -> DataFrame:
+    """keys, n (rows), for each of `texts` the SHA-256 (hex) of the group's texts
+    one after another in the order given, and the totals of `sums`.
+
+    Rows are sorted by Spark and stream through a task: a group may be of any
+    size, for only its running digests are held. Null texts add nothing.
+    """
+    kinds = dict(df.dtypes)
+    names = [*keys, "n", *texts, *sums]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now, n, open_, total, done = None, None, 0, [], [], []
+
+        def closed() -> tuple:
+            return (*now, n, *(h.hexdigest() for h in open_), *total)
+
+        for b in batches:
+            schema = schema or pa.schema([*(b.schema.field(k) for k in keys), ("n", pa.int64()), *((t, pa.string()) for t in texts), *((s, pa.int64()) for s in sums)])
+            columns = [b.column(c) for c in (*keys, *texts, *sums)]
+            for row in zip(*(c.to_pylist() for c in columns), strict=True):
+                key = row[: len(keys)]
+                if now != key or not open_:
+                    if open_:
+                        done.append(closed())
+                    now, n, open_, total = key, 0, [hashlib.sha256() for _ in texts], [0] * len(sums)
+                n += 1
+                for h, text in zip(open_, row[len(keys) :], strict=False):
+                    if text:
+                        h.update(text.encode())
+                for i, x in enumerate(row[len(keys) + len(texts) :]):
+                    total[i] += x or 0
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], schema)
+                done = []
+        if open_:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, closed(), strict=True))], schema)
+
+    rows = df.select(*keys, *[c for c in order if c not in keys], *[c for c in (*texts, *sums) if c not in order]).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInArrow(each, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long", *(f"{t} string" for t in texts), *(f"{s} long" for s in sums)]))

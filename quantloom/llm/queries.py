@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.collocations import collocations
-from quantloom.llm.common import cut, cut_path, table
+from quantloom.llm.common import cut, cut_path, digests, table
 from quantloom.llm.decontaminate import contamination
-from quantloom.llm import language, mixing, quality, substring, urlfilter, warc
+from quantloom.llm import language, mixing, quality, substring, trie, urlfilter, warc
 from quantloom.llm.fingerprint import comparison
 from quantloom.llm.secrets import BASE, secret_spans, spans_text
 from quantloom.llm.simhash import near_duplicates
@@ -87,6 +87,28 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def _rebuilt(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that begin with the first h turns of conversation c - c % 100; all of them (conv)."""
+    convs = t.groupBy("conv").agg(F.count("*").alias("n")).withColumns({"h": F.crc32(F.col("conv").cast("string").cast("binary")) % 6, "base": F.col("conv") - F.col("conv") % 100})
+    taken = F.least("h", F.coalesce("base_n", F.lit(0)))
+    convs = cut(convs.join(convs.select(F.col("conv").alias("base"), F.col("n").alias("base_n")), "base", "left").select("conv", "base", "h", taken.alias("taken")))
+    own = t.join(convs.select("conv", "h", "taken"), "conv").where("pos >= h").select("conv", (F.col("taken") + F.col("pos") - F.col("h")).alias("pos"), "key", "chars")
+    lead = t.where("conv % 100 = 0 and pos < 5").withColumnRenamed("conv", "base").join(convs, "base").where("pos < h").select("conv", "pos", "key", "chars")
+    return own.union(lead), convs.select("conv")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = trie.trie(*_rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
+    # ids in their order, some 512 a row, so that no node's members meet in one row
+    ranged = trie.numbered(ends.repartitionByRange("conv").sortWithinPartitions("conv"), "place").withColumn("chunk", F.floor(F.col("place") / 512))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("conv")), lambda c: c.cast("string")), ",")
+    ids = ranged.groupBy("conv_id", "depth", "chunk").agg(ids.alias("ids"))
+    first = ids.groupBy("conv_id", "depth").agg(F.min("chunk").alias("first"))
+    ids = ids.join(first, ["conv_id", "depth"]).withColumn("ends_sha256", F.concat(F.when(F.col("chunk") > F.col("first"), ",").otherwise(""), "ids"))
+    found = digests(ids, ["conv_id", "depth"], ["chunk"], ["ends_sha256"]).drop("n")
+    return nodes.join(found, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -148,3 +170,21 @@ good as (select low.* from low left join sub using (lang, phrase) where longer i
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) rank from good)
 select lang, rank, phrase, a, l, r, n, score::bigint score from ranked join total using (lang) where rank <= 2000
 """
+
+ORACLES["op12_conversation_trie"] = r"""
+with t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 pos, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+s as (select c, count(*) n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(c::varchar, ''), lambda ch: [ascii(ch), 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 6 h, c - c % 100 b from t group by c),
+k as (select s.c, s.h, s.b, least(s.h, coalesce(o.n, 0)) taken from s left join s o on o.c = s.b),
+rows_ as (select t.c, taken + pos - h pos, r, x from t join k using (c) where pos >= h union all select k.c, pos, r, x from k join t on t.c = k.b where pos < h),
+p as (select c, pos + 1 d, length(x) chars, string_agg(sha256(length(r)::varchar || ':' || r || x), '') over (partition by c order by pos) key from rows_),
+root as (select min(c) c0, count(*) n from s),
+m as (select p.*, min(c) over (partition by d, key) top, count(*) over (partition by d, key) n from p),
+spot as (select c, d, top from m union all select c, 0, c0 from s, root),
+node as (select m.top, m.d, m.n, chars, spot.top parent from m join spot on spot.c = m.c and spot.d = m.d - 1 where m.c = m.top union all select c0, 0, n, 0, null from root),
+kids as (select parent top, d - 1 d, count(*) n_children from node where d > 0 group by 1, 2),
+sub as (select spot.top, spot.d, sum(case when kids.top is null then 1 else 0 end) leaves, sum((u.n - 1) * u.chars) saved from node u left join kids on kids.top = u.top and kids.d = u.d join spot on spot.c = u.top and spot.d <= u.d group by 1, 2),
+len as (select s.c, coalesce(max(p.d), 0) d from s left join p using (c) group by 1),
+ends as (select spot.top, spot.d, string_agg(spot.c::varchar, ',' order by spot.c) ids from len join spot using (c, d) group by 1, 2)
+select node.top conv_id, node.d depth, parent parent_conv_id, node.n n_convs, coalesce(n_children, 0)::bigint n_children, leaves::bigint n_leaves, saved::bigint saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+from node join sub on sub.top = node.top and sub.d = node.d left join kids on kids.top = node.top and kids.d = node.d left join ends on ends.top = node.top and ends.d = node.d
+"""
