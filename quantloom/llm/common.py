@@ -91,42 +91,43 @@ def repeated(df: DataFrame, times: str) -> DataFrame:
     return once.drop("_copy")
 
 
-def digests(df: DataFrame, keys: list[str], order: list[str], texts: list[str], sums: list[str] = ()) -> DataFrame:
+def digests(df: DataFrame, keys: list[str], order: list[str], texts: dict[str, Column], sums: dict[str, Column] | None = None) -> DataFrame:
     """keys, n (rows), for each of `texts` the SHA-256 (hex) of the group's texts
     one after another in the order given, and the totals of `sums`.
 
     Rows are sorted by Spark and stream through a task: a group may be of any
-    size, for only its running digests are held. Null texts add nothing.
+    size, for only its running digests are held. Texts and sums are made of
+    df's columns after the exchange; null ones add nothing.
     """
-    kinds = dict(df.dtypes)
-    names = [*keys, "n", *texts, *sums]
+    kinds, sums = dict(df.dtypes), sums or {}
+    hashed, added = list(texts), list(sums)
+    names = [*keys, "n", *hashed, *added]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, now, n, open_, total, done = None, None, 0, [], [], []
+        schema, now, n, running, total = None, None, 0, [], []
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema)
 
         def closed() -> tuple:
-            return (*now, n, *(h.hexdigest() for h in open_), *total)
+            return (*now, n, *(h.hexdigest() for h in running), *total)
 
         for b in batches:
-            schema = schema or pa.schema([*(b.schema.field(k) for k in keys), ("n", pa.int64()), *((t, pa.string()) for t in texts), *((s, pa.int64()) for s in sums)])
-            columns = [b.column(c) for c in (*keys, *texts, *sums)]
-            for row in zip(*(c.to_pylist() for c in columns), strict=True):
+            schema = schema or pa.schema([*(b.schema.field(i) for i in range(len(keys))), ("n", pa.int64()), *((t, pa.string()) for t in hashed), *((s, pa.int64()) for s in added)])
+            done = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 key = row[: len(keys)]
-                if now != key or not open_:
-                    if open_:
-                        done.append(closed())
-                    now, n, open_, total = key, 0, [hashlib.sha256() for _ in texts], [0] * len(sums)
+                if key != now:
+                    done += [closed()] if n else []
+                    now, n, running, total = key, 0, [hashlib.sha256() for _ in hashed], [0] * len(added)
                 n += 1
-                for h, text in zip(open_, row[len(keys) :], strict=False):
-                    if text:
-                        h.update(text.encode())
-                for i, x in enumerate(row[len(keys) + len(texts) :]):
-                    total[i] += x or 0
-            if done:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], schema)
-                done = []
-        if open_:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, closed(), strict=True))], schema)
-
-    rows = df.select(*keys, *[c for c in order if c not in keys], *[c for c in (*texts, *sums) if c not in order]).repartition(*keys).sortWithinPartitions(*keys, *order)
+                for h, text in zip(running, row[len(keys) :], strict=False):
+                    h.update((text or "").encode())
+                total = [a + (x or 0) for a, x in zip(total, row[len(keys) + len(hashed) :], strict=True)]
+            yield batch(done)
+        if n:
+            yield batch([closed()])
+
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = rows.select(*keys, *[c.alias(f"_t{i}") for i, c in enumerate(texts.values())], *[c.cast("long").alias(f"_s{i}") for i, c in enumerate(sums.values())])
     return rows.mapInArrow(each, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long", *(f"{t} string" for t in texts), *(f"{s} long" for s in sums)]))
