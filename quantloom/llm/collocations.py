@@ -33,7 +33,7 @@ LEAST, LONGEST, KEEP = 30, 4, 2000
 #: Counters that order words, and those that travel in one row.
 COUNTERS, SLICE = 1 << 22, 1 << 12
 #: Occurrences of a pivot for which a group of its own is made, fragments in a row, and bytes of text taken at a time.
-GROUP, PACK, CHUNK = 1 << 14, 256, 1 << 22
+GROUP, PACK, CHUNK = 1 << 18, 256, 1 << 22
 #: Bytes by class: 0 in words, 1 between words, 2 between pieces.
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = 1
