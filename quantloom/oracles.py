@@ -382,4 +382,16 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     o["backtest_gated_costs"] = f"{calm}, {tiers}, {fold} select dy.ts, {r6('gross')}, {r6('net')}, {r6('turnover')}, {r6('eq.cost / 1e6', 'cost')}, {r6('e / 1e6', 'equity')} from eq join dy using (di)"
     o["event_bars"] = "select date_trunc('hour', ts) start, event_type, " + r6("arg_min(value, (ts, value))", '"open"') + ", " + r6("max(value)", "high") + ", " + r6("min(value)", "low") + ", " + r6("arg_max(value, (ts, value))", '"close"') + ", count(*)::bigint n from events group by 1, 2"
     o["stream_upsert"] = f"{p} select ts, stock, {r6('close')} from bars"
+    o["snapshot_as_of"] = f"{p} select ts, stock, {r6('close')}, {r6('case when ts >= (select max(ts) from bars) - 60 then close * 2 else close end', 'now')} from bars"
+    o["stream_out_of_order"] = f"{p} select ts, stock, {r6('close')}, {r6('close / lag(close) over (partition by stock order by ts) - 1', 'ret')} from bars"
+    o["landed_bars"] = f"{p} select ts, 'S' || stock stock, {bars6} from bars where ts >= date '1995-01-01'"
+    o["landed_bars_stream"] = f"{p} select ts, 'S' || stock stock, {r6('close')} from bars"
+    o["landed_statements"] = """with l as (select cast(date_trunc('month', l_shipdate) as date) ts, unnest([l_suppkey, l_suppkey + 1])::varchar stock, ((l_orderkey * 8 + l_linenumber) * 100 + l_quantity::bigint) * 100000000 + round(l_extendedprice * 100)::bigint seq,
+      case when l_linenumber % 3 > 0 then l_quantity end q, case when l_linenumber % 2 = 0 then l_extendedprice end e from lineitem where l_linenumber < 7)
+      select ts, stock, """ + r6("arg_max(q, seq) filter (q is not null)", "net_income") + ", " + r6("arg_max(e, seq) filter (e is not null)", "ebitda") + " from l group by 1, 2"
+    o["wide_csv"] = f"{p} select ts, stock, {r6('close')}, {r6('volume')}, {r6('total_liabilities')} from p1"
+    o["written_panel"] = f"{p} select ts, stock, {r6('close')} from bars where year(ts) between 1994 and 1995"
+    o["read_or_empty"] = f"{p} select ts, stock, {r6('close')} from bars"
+    o["column_order"] = f"{p} select ts, stock, " + ", ".join(r6(c) for c in ('"open"', "close", "volume", "vwap")) + " from bars"
+    o["bfill"] = f"{p} select ts, stock, {r6('first_value(close ignore nulls) over (partition by stock order by ts rows between current row and unbounded following)', 'v')} from p1"
     return o

@@ -14,8 +14,8 @@ from quantloom.operators import backtest as bt
 from quantloom.operators import clean, evaluate, panel, portfolio, regress, risk
 from quantloom.plans.factors import FACTORS, Settings, evaluated, finished, modelled
 from quantloom.session import shared_folder
-from quantloom.sources import files, fixture
-from quantloom.streaming import ingest
+from quantloom.sources import connector, files, fixture
+from quantloom.streaming import ingest, snapshot
 
 #: The panel has 357 weeks: the windows of 504 and 1260 days are counted in rows of five days. All others are kept in rows.
 SCALES = {"momentum_barra": 5, "value_barra": 5}
@@ -289,7 +289,7 @@ def _per_date(kind: str, alpha: float = 1.0) -> Query:
 
 def results_by_horizon(s, d):
     """Fits for holding periods of 1 and 5 rows, written; those of 5 read back."""
-    folder = f"{shared_folder(s)}/results-{uuid.uuid4().hex}"
+    folder = _top(s, "results")
     df = _signal(s, d)
     for h in (1, 5):
         files.write_horizon(regress.one_factor(df.withColumn("fwd", ts.forward_return("close", h)), "x"), folder, h)
@@ -297,7 +297,7 @@ def results_by_horizon(s, d):
 
 
 def weights_by_horizon(s, d):
-    folder = f"{shared_folder(s)}/weights-{uuid.uuid4().hex}"
+    folder = _top(s, "weights")
     files.write_horizon(weighted(s, d), folder, 1)
     files.write_horizon(staggered(s, d), folder, 30)
     return r6(files.read_horizon(s, folder, 30).select("ts", "stock", "weight"))
@@ -451,20 +451,115 @@ def event_bars(s, d):
     return r6(ingest.event_bars(fixture.table(s, d, "events")))
 
 
+def _top(s, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
 def stream_upsert(s, d):
-    """Bars that land twice, those of January with other prices first, read as a stream into a table."""
-    top = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    """Bars that land twice, those of January with other prices first, read as a stream into a snapshot."""
+    top = _top(s, "stream")
     b = bars(s, d).select("ts", "stock", "close")
     schema = "ts date, stock long, close double"
     b.withColumn("close", F.col("close") + 1).where("month(ts) = 1").write.parquet(f"{top}/landing/one")
     ingest.upsert_stream(ingest.landed(s, f"{top}/landing/one", schema), f"{top}/table", f"{top}/log").awaitTermination()
     b.write.mode("append").parquet(f"{top}/landing/one")
     ingest.upsert_stream(ingest.landed(s, f"{top}/landing/one", schema), f"{top}/table", f"{top}/log").awaitTermination()
-    return r6(ingest.latest(s, f"{top}/table", schema))
+    return r6(snapshot.read(s, f"{top}/table", schema))
+
+
+def snapshot_as_of(s, d):
+    """Weeks of the last two months come again at twice the price; then the table as it was before, beside what it is."""
+    table, schema = f"{_top(s, 'snapshot')}/table", "ts date, stock long, close double"
+    b = bars(s, d).select("ts", "stock", "close")
+    first = snapshot.upsert(b, table)
+    recent = F.broadcast(b.agg(F.date_sub(F.max("ts"), 60).alias("t")))
+    snapshot.upsert(b.join(recent, F.col("ts") >= F.col("t")).select("ts", "stock", (F.col("close") * 2).alias("close")), table)
+    then, now = snapshot.read(s, table, schema, first), snapshot.read(s, table, schema)
+    return r6(then.join(now.withColumnRenamed("close", "now"), ["ts", "stock"]))
+
+
+def stream_out_of_order(s, d):
+    """Returns since the bar before of bars that come in three runs, weeks mixed; some come with a wrong price first."""
+    top = _top(s, "ordered")
+    b = bars(s, d).select("ts", F.col("stock").cast("string").alias("stock"), "close", F.lit(2).cast("long").alias("seq"), F.pmod(F.weekofyear("ts") * 7, F.lit(3)).alias("k"))
+    for k in range(3):
+        wrong = b.where((F.col("k") == (k + 1) % 3) & (F.day("ts") < 8)).select("ts", "stock", F.col("close") + 1, F.lit(1).cast("long"))
+        b.where(F.col("k") == k).drop("k").union(wrong).write.mode("append").parquet(f"{top}/landing")
+        ingest.ordered_stream(ingest.landed(s, f"{top}/landing", "ts date, stock string, close double, seq long"), f"{top}/table", f"{top}/log").awaitTermination()
+    return r6(snapshot.read(s, f"{top}/table", ingest.ORDERED).select("ts", F.col("stock").cast("long").alias("stock"), "close", "ret"))
+
+
+def _landings(s, d) -> list[tuple[DataFrame, str]]:
+    """Batches as a fetcher lands them, in folders by day: January with other prices, then all."""
+    b = bars(s, d).select("ts", F.concat(F.lit("S"), "stock").alias("ticker"), *fixture.PRICES, (F.unix_date("ts").cast("long") * 86400000).alias("timestamp"))
+    first = b.withColumn("close", F.col("close") + 1).where("month(ts) = 1")
+    return [(rows.repartition(8, "ts"), name) for rows, name in ((first, "1"), (b, "2"))]
+
+
+def landed_bars(s, d):
+    """Bars of the years from 1995 on; the condition keeps other days' files closed."""
+    path = _top(s, "landed")
+    for rows, name in _landings(s, d):
+        rows.write.partitionBy("ts").json(f"{path}/{name}")
+    return r6(connector.latest_bars(connector.landed(s, "bars", path).where("ts >= date'1995-01-01'")))
+
+
+def landed_bars_stream(s, d):
+    """The same files by a stream that is started for each batch, kept in a snapshot."""
+    top, schema = _top(s, "landed"), "ts date, stock string, close double"
+    for rows, name in _landings(s, d):
+        rows.write.partitionBy("ts").json(f"{top}/files/{name}")
+        rows = connector.landed(s, "bars", f"{top}/files", stream=True)
+        rows = rows.where("ticker is not null").select("ts", F.col("ticker").alias("stock"), "close")
+        ingest.upsert_stream(rows, f"{top}/table", f"{top}/log").awaitTermination()
+    return r6(snapshot.read(s, f"{top}/table", schema))
+
+
+def landed_statements(s, d):
+    """Statements of order lines, filed on the first of a month, each for two tickers."""
+    path, line = _top(s, "landed"), F.col("l_linenumber")
+    f = fixture.table(s, d, "lineitem").select(
+        F.date_trunc("month", "l_shipdate").cast("date").alias("ts"),
+        F.array(F.col("l_suppkey").cast("string"), (F.col("l_suppkey") + 1).cast("string")).alias("tickers"),
+        F.when(line < 7, "annual").otherwise("quarterly").alias("timeframe"),
+        # some lines are there twice with other amounts
+        (((F.col("l_orderkey") * 8 + line) * 100 + F.col("l_quantity").cast("long")) * 100000000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("seq"),
+        F.when(line % 3 > 0, F.col("l_quantity")).alias("net_income"),
+        F.when(line % 2 == 0, F.col("l_extendedprice")).alias("ebitda"),
+    )
+    f.repartition(8, "ts").write.partitionBy("ts").json(f"{path}/1")
+    return r6(connector.latest_statements(connector.landed(s, "statements", path)).select("ts", "stock", "net_income", "ebitda"))
+
+
+def wide_csv(s, d):
+    """The panel as a file with a column for each attribute and stock, written and read back."""
+    path = f"{_top(s, 'wide')}/panel.csv"
+    files.write_wide_csv(raw(s, d).select("ts", "stock", "close", "volume", "total_liabilities"), path)
+    return r6(files.read_panel(s, path).withColumn("stock", F.col("stock").cast("long")))
+
+
+def written_panel(s, d):
+    """Two years of a panel that was written in folders by year."""
+    path = f"{_top(s, 'panel')}/panel.parquet"
+    files.write_panel(bars(s, d).select("ts", "stock", "close"), path)
+    return r6(files.read_panel(s, path, ["close", "year"]).where("year between 1994 and 1995").drop("year"))
+
+
+def read_or_empty(s, d):
+    """A table that isn't there beside one that is."""
+    path = _top(s, "some")
+    bars(s, d).select("ts", "stock", "close").write.parquet(path)
+    schema = "ts date, stock long, close double"
+    return r6(files.read_or_empty(s, path, schema).union(files.read_or_empty(s, f"{path}-none", schema)))
+
+
+def column_order(s, d):
+    return r6(panel.ordered(bars(s, d).select("vwap", "close", "ts", "volume", "stock", "open")))
 
 
 _COLUMNS: dict[str, Query] = {
     "daily_return": column(raw, lambda: ts.daily_return()),
+    "bfill": column(raw, lambda: ts.bfill("close")),
     "ts_delay": column(raw, lambda: ts.ts_delay("close", 3)),
     "ts_delta": column(raw, lambda: ts.ts_delta("close", 5)),
     "ts_mean": column(filled, lambda: ts.ts_mean("close", 20)),
@@ -496,7 +591,8 @@ clean_data asof_rf asof_benchmark sic_division industry_ranges ffill_limit first
 estimated_market_cap rsi rsi_strict common_stocks attribute_set factor_engine all_factors ic_1d rank_ic icir_summary icir_intervals coverage_filter impute_medians ols_1factor results_by_horizon predict_returns kfold_tune
 walk_forward_splits walk_forward_tune ewma_weights factor_returns_pinv factor_residuals factor_covariance specific_variance industry_exposures covariance_matrix covariance_matrix_as_of optimize_weights
 optimize_equal_weight_fallback held_weights weights_by_horizon hold_weights prepare_weights slippage_tiers gross_return turnover equity_drawdown metrics_ungated benchmark_metrics
-report_metrics plot_series weight_summary backtest_gated_costs event_bars stream_upsert""".split()
+report_metrics plot_series weight_summary backtest_gated_costs event_bars stream_upsert snapshot_as_of stream_out_of_order landed_bars landed_bars_stream landed_statements
+wide_csv written_panel read_or_empty column_order""".split()
 
 
 def _factor(name: str) -> Query:

@@ -460,14 +460,6 @@ def test_weights_that_add_up_to_nothing(spark):
         bt.prepared(w).collect()
 
 
-def test_upsert_replaces_whole_dates(spark, tmp_path):
-    table, schema = str(tmp_path / "t"), "ts date, stock string, x double"
-    ingest.upsert(frame(spark, [1.0, 2.0]), table)
-    for _ in range(2):  # a batch done again changes nothing
-        ingest.upsert(frame(spark, [5.0], "b").unionByName(frame(spark, [6.0], "c")), table)
-    assert sorted((r.stock, r.x) for r in ingest.latest(spark, table, schema).collect()) == [("a", 2.0), ("b", 5.0), ("c", 6.0)]
-
-
 def test_stream_of_bars(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").select("ts", "event_type", "value")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
