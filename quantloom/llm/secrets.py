@@ -1,6 +1,6 @@
 """Secret scans: single-pattern findings, and weaker ones linked to each other.
 
-Every pattern's matches are taken in one scan of the text; where a match lies
+Every pattern's matches are taken in one scan of the text each; where a match lies
 follows from the lengths of the pieces between matches, added up by a window.
 Weak candidates (account names, short or bare secrets, endpoints) are common in
 clean text. They are reported only if a complementary part lies near them in
@@ -21,27 +21,29 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs that are too short fail from each of their places, so the least length may stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-WEAK = (
-    r"""(?i)(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
-    r"""|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,11}(?![A-Za-z0-9+/_.=-])"""
-    # names that ASSIGN does not cover, so values of any length
-    r"""|(?<![A-Za-z0-9])(?:pass|pwd|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
-    r"""|(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"""
-    r"""|\b(?:https?|ftp|jdbc:[a-z]+|mongodb(?:\+srv)?|postgres(?:ql)?|mysql|redis|amqps?)://[^\s"'<>]+"""
-)
+#: Weak parts, each kind found by itself: an account's value may look like a secret's name, and a URL may hold a secret.
+WEAK = {
+    "account": r"""(?i)(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}""",
+    "secret": (
+        r"""(?i)(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,11}(?![A-Za-z0-9+/_.=-])"""
+        # names that ASSIGN does not cover, so values of any length
+        r"""|(?<![A-Za-z0-9])(?:pass|pwd|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
+        r"""|(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"""
+    ),
+    "endpoint": r"""(?i)\b(?:https?|ftp|jdbc:[a-z]+|mongodb(?:\+srv)?|postgres(?:ql)?|mysql|redis|amqps?)://[^\s"'<>]+""",
+}
 PARAGRAPH = r"\n[\x20\t\r]*\n"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "account", "secret", "endpoint")
 REACH = 400
 
 
-def _found(kind: Column | str, matches: str, pieces: str, good: Column | None = None) -> Column:
+def _found(kind: str, matches: str, pieces: str, good: Column | None = None) -> Column:
     """An array of kind, i, before (code points since the last match), size."""
-    name = (lambda m: F.lit(kind)) if isinstance(kind, str) else kind
     return F.transform(
         matches,
         lambda m, i: F.struct(
-            (name(m) if good is None else F.when(F.get(good, i), name(m)).otherwise("none")).alias("kind"),
+            (F.lit(kind) if good is None else F.when(F.get(good, i), kind).otherwise("none")).alias("kind"),
             i.cast("int").alias("i"),
             F.char_length(F.get(F.col(pieces), i)).alias("before"),
             F.char_length(m).alias("size"),
@@ -49,32 +51,29 @@ def _found(kind: Column | str, matches: str, pieces: str, good: Column | None =
     )
 
 
-def _weak_kind(m: Column) -> Column:
-    return F.when(F.contains(m, F.lit("://")), "endpoint").when(m.rlike("^(?i)(?:user|login|client|access)"), "account").otherwise("secret")
-
-
 def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, _tag, kind, i, start, end, n: one row per match and distinct row of
     docs, and one of kind "row" whose n says how often that row is there."""
     df = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    df = df.withColumns({k: F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for k, p in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("w", WEAK))})
+    df = df.withColumns({k: F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for k, p in {"a": ASSIGN, "k": ACCESS, "h": HEX, **WEAK}.items()})
     split = lambda p: F.split("_text", p, -1)
     some = lambda c: F.size(c) > 0
+    weak = some("account") | some("secret") | some("endpoint")
     df = df.withColumns(
         {
             "ag": F.when(some("a"), F.transform(F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 12)),
             "ap": F.when(some("a"), split(ASSIGN)),
             "kp": F.when(some("k"), split(ACCESS)),
             "hp": F.when(some("h"), split(HEX)),
-            "wp": F.when(some("w"), split(WEAK)),
-            "b": F.when(some("w"), F.regexp_extract_all("_text", F.lit(PARAGRAPH), F.lit(0))).otherwise(F.array().cast("array<string>")),
-            "bp": F.when(some("w"), split(PARAGRAPH)),
+            **{f"{k}_p": F.when(some(k), split(p)) for k, p in WEAK.items()},
+            "b": F.when(weak, F.regexp_extract_all("_text", F.lit(PARAGRAPH), F.lit(0))).otherwise(F.array().cast("array<string>")),
+            "bp": F.when(weak, split(PARAGRAPH)),
         }
     )
     row = F.array(F.struct(F.lit("row").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("before"), F.lit(0).alias("size")))
-    every = F.concat(row, _found("assign", "a", "ap", F.col("ag")), _found("access", "k", "kp"), _found("hex", "h", "hp"), _found(_weak_kind, "w", "wp"), _found("paragraph", "b", "bp"))
-    # kinds of one scan share a chain of lengths
-    chain = F.when(F.col("kind").isin("assign", "none"), "a").when(F.col("kind").isin("account", "secret", "endpoint"), "w").otherwise(F.col("kind"))
+    every = F.concat(row, _found("assign", "a", "ap", F.col("ag")), _found("access", "k", "kp"), _found("hex", "h", "hp"), *[_found(k, k, f"{k}_p") for k in WEAK], _found("paragraph", "b", "bp"))
+    # each scan has a chain of lengths; only that of assignments has matches that fail
+    chain = F.when(F.col("kind") == "none", "assign").otherwise(F.col("kind"))
     df = df.select("_id", "_tag", F.inline(every)).withColumn("chain", chain)
     df = df.groupBy("_id", "_tag", "chain", "i").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.max("before").alias("before"), F.max("size").alias("size"))
     along = Window.partitionBy("_id", "_tag", "chain").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
