@@ -1,7 +1,7 @@
 """Canonical exact digests of texts, grouped with byte comparison.
 
-The canonical form is composed (Unicode NFC), lower-cased, and has each run of
-whitespace folded to one space and none at its ends. Its fingerprint is two
+The canonical form is composed (Unicode NFC), has its case folded, and each run
+of whitespace folded to one space and none at its ends. Its fingerprint is two
 xxhash64 values of different seeds. Texts whose fingerprints are equal are
 compared byte by byte (the least and the greatest canonical form of a bucket
 are equal exactly if all are); in a bucket that holds different forms the
@@ -21,15 +21,17 @@ SPACE = r"[\s\x1C-\x1F\u0085   -     　]+"
 BUCKET = 1024
 
 
-def composed(text: Column) -> Column:
-    """NFC, by the ICU library that Spark itself ships for collations. Texts of
-    code points below U+0300 are in that form already and are not handed over."""
-    nfc = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), nfc).otherwise(text)
+def folded(text: Column) -> Column:
+    """NFC, with case folded (ß is ss, both sigmas are one), and NFC again, by the ICU
+    library that Spark itself ships for collations. Plain ASCII texts, for which
+    lower case is all of it, are not handed over."""
+    nfc = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    fold = lambda c: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), nfc(fold(nfc(text)))).otherwise(F.lower(text))
 
 
 def canonical(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(composed(F.coalesce(text, F.lit("")))), SPACE, " "))
+    return F.trim(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), SPACE, " "))
 
 
 def digest(form: Column) -> Column:
