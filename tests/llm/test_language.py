@@ -1,8 +1,11 @@
 import math
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import language, queries
 
@@ -29,6 +32,29 @@ def test_mixture_of_two(spark):
     assert got[6].lang_pred in ("en", "fr")
 
 
+def test_only_letters_count(spark):
+    """Every code point that is no letter, and some that are."""
+    letters = [c for c in map(chr, range(0x3000)) if unicodedata.category(c)[0] == "L"]
+    others = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] not in "LC"]
+    assert not any(language.trigrams(c).any() for c in others)
+    assert all(language.trigrams(c).any() for c in letters)
+    docs = spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(8)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "² ½ ①"), (2, "Ⅷ"), (3, "१२३ ४"), (4, "a²")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(odd, language.model_of(docs)).collect()}
+    assert got == {1: ("und", 0.0), 2: ("und", 0.0), 3: ("und", 0.0), 4: ("en", 1.0)}
+
+
+def test_a_language_without_labels_is_not_accepted(spark):
+    """Each language's labels are taken away in turn: its texts go, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    for out in sorted({r.lang for r in rows}):
+        kept = {r.doc_id for r in language.accepted(docs.withColumn("lang", F.when(F.col("lang") != out, F.col("lang")))).collect()}
+        unknown, known = [r for r in rows if r.lang == out], [r for r in rows if r.lang != out and language.trigrams(r.text).any()]
+        assert sum(r.doc_id in kept for r in unknown) <= 0.1 * len(unknown)
+        assert sum(r.doc_id not in kept for r in known) <= 0.01 * len(known)
+
+
 def test_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "words", None, "x"), (None, None, "en", "y")], "doc_id long, text string, lang string, score string")
     got = language.identified(docs, language.model_of(docs)).collect()
