@@ -2,7 +2,9 @@
 
 Each returns a Column over windows by stock. Windows count panel rows (dates),
 so a panel is made dense first. A window function cannot hold another: name the
-inner result in an earlier step. Windows that are not full give null.
+inner result in an earlier step. Windows that are not full give null. Each
+window is gone through for each row; functions/expr.py has the same functions
+for nested use and in time that doesn't grow with the window.
 """
 
 from __future__ import annotations
@@ -21,22 +23,9 @@ def rows(w: int):
     return by_stock().rowsBetween(-(w - 1), 0)
 
 
-#: From this many rows on a sum is the difference of two running ones: linear in
-#: the rows, whatever the window. Sums then carry the rounding of all rows before.
-LONG = 60
-
-
-def _running(agg: Column, w: int) -> Column:
-    """agg (a sum or count) over the last w rows."""
-    if w < LONG:
-        return agg.over(rows(w))
-    upto = lambda n: agg.over(by_stock().rowsBetween(Window.unboundedPreceding, -n))
-    return upto(0) - F.coalesce(upto(w), F.lit(0))
-
-
 def full(x: Column | str, w: int, agg: Column) -> Column:
     """agg where all w values of the window are there, else null."""
-    return F.when(_running(F.count(col(x)), w) == w, agg)
+    return F.when(F.count(col(x)).over(rows(w)) == w, agg)
 
 
 def ts_delay(x: Column | str, w: int) -> Column:
@@ -62,12 +51,12 @@ def log_return(price: Column | str = "close") -> Column:
 
 
 def ts_mean(x: Column | str, w: int) -> Column:
-    return full(x, w, _running(F.sum(col(x)), w) / w)
+    return full(x, w, F.avg(col(x)).over(rows(w)))
 
 
 def ts_sum(x: Column | str, w: int, missing: float | None = 0.0) -> Column:
     """A window that is not full gives `missing`."""
-    total = full(x, w, _running(F.sum(col(x)), w))
+    total = full(x, w, F.sum(col(x)).over(rows(w)))
     return total if missing is None else F.coalesce(total, F.lit(missing))
 
 

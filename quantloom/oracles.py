@@ -276,6 +276,11 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     ts("ts_rank", f"case when n60 = 60 then len(list_filter(l, lambda v: v < close)) / 59.0 end", [{"l": listed("close", 60), "n60": f"count(close) {over(60)}"}], "pf")
     ts("ts_ewm_sum", ewm("close", 20, 5.0), [{"close_l": listed("close", 20)}], "pf")
     ts("decay", linear("close", 4))
+    ts("user_factor", f"-({xrank('a_')})", [{"r_": ret()}, {"a_": tz("r_", 252)}], "pf")
+    ranks = {f"r{w}": f"case when n{w} = {w} then len(list_filter(l{w}, lambda v: v < close)) / {w - 1}.0::double end" for w in (60, 252, 504)}
+    lists = {f"l{w}": listed("close", w) for w in (60, 252, 504)} | {f"n{w}": f"count(close) {over(w)}" for w in (60, 252, 504)} | {"close_l": listed("close", 252)}
+    long = {"m252": mean("close", 252), "s252": std("close", 252), "w252": ewm("close", 252, 63.0)} | ranks
+    o["long_windows"] = layers("pf", [lists, long], ", ".join(["ts, stock", *(r6(x) for x in long)]))
     gl = [{"d_": f"close - {lag('close')}"}, {"g_": "case when d_ is not null then greatest(d_, 0) end", "l_": "case when d_ is not null then greatest(-d_, 0) end"}, {"a_": mean("g_", 14), "b_": mean("l_", 14)}]
     ts("rsi", "case when a_ + b_ > 0 then 100 * a_ / (a_ + b_) end", gl, "pf")
     strict = [{"d_": f"close - {lag('close')}"}, {"g_": "case when d_ > 0 then d_ end", "l_": "case when d_ < 0 then -d_ end"}, {"a_": mean("g_", 14), "b_": mean("l_", 14)}]

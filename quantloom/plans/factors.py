@@ -1,27 +1,25 @@
 """Named factors, and the plan that evaluates many of them together.
 
-A factor has steps over time, then steps over the stocks of a date, then a
-value; its settings (winsorise, neutralise, decay, standardise) follow. The
-steps of all factors asked for are taken side by side: however many there are,
-the panel is dealt out by stock, by date, by stock and by date, four exchanges.
+A factor is an expression (functions/expr.py); its settings (winsorise,
+neutralise, decay, standardise) go on around it. The windows of all factors
+asked for are made side by side: however many there are, the panel is dealt out
+by stock, by date, by stock and by date, four exchanges (and one for ranks in
+time, if any factor has them).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from quantloom.functions import expr as e
 from quantloom.functions import scalar as sc
-from quantloom.functions import ts, xs
+from quantloom.functions.expr import Expr, c
 from quantloom.operators.evaluate import covered
 from quantloom.operators.panel import require, split_dates
 
-#: Places at which rank inputs are ties: sums in another order differ in later ones.
-TIES = 9
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -41,20 +39,21 @@ LIBRARY = Settings(neutralize="sub_industry")
 
 @dataclass(frozen=True)
 class Factor:
-    """Steps name new columns; a later step may use those of earlier ones."""
+    """An expression by window scale, and its settings."""
 
-    over_time: list[dict[str, Column]]
-    value: Column
-    over_stocks: list[dict[str, Column]] = field(default_factory=list)
+    value: Callable[[int], Expr]
     settings: Settings = LIBRARY
 
 
-FACTORS: dict[str, Callable[[int], Factor]] = {}
+FACTORS: dict[str, Factor] = {}
 
 
-def factor(make: Callable[[int], Factor]) -> Callable[[int], Factor]:
-    """Registers a function of the window scale; the factor has its name."""
-    FACTORS[make.__name__] = make
+def factor(make: Callable[[int], Expr] | None = None, **settings) -> Callable:
+    """Registers a function of the window scale that gives an expression; the factor
+    has its name. Settings that differ from the library's may be given."""
+    if make is None:
+        return lambda f: factor(f, **settings)
+    FACTORS[make.__name__] = Factor(make, replace(LIBRARY, **settings))
     return make
 
 
@@ -63,13 +62,18 @@ def days(n: int, scale: int) -> int:
     return max(1, n // scale)
 
 
+def settled(x: Expr, s: Settings, classified: bool = True) -> Expr:
+    """x winsorised, neutralised, decayed and standardised. Without classified stocks all neutralisation is by market."""
+    x = e.winsor(x, *s.winsorize) if s.winsorize else x
+    if s.neutralize:
+        group = {"industry": e.cell("division", sc.sic_division, "sic_code"), "sub_industry": e.c("sic_code")}.get(s.neutralize) if classified else None
+        x = e.neutral(x, group)
+    return e.standard(e.decay(x, s.decay) if s.decay else x)
+
+
 def finished(df: DataFrame, of: dict[str, Settings]) -> DataFrame:
-    """Columns after their settings. Without a column sic_code all neutralisation is by market."""
-    groups = {"industry": sc.sic_division("sic_code"), "sub_industry": F.col("sic_code")} if "sic_code" in df.columns else {}
-    df = df.withColumns({k: xs.winsorize(k, *s.winsorize) for k, s in of.items() if s.winsorize})
-    df = df.withColumns({k: xs.neutralize(k, groups.get(s.neutralize)) for k, s in of.items() if s.neutralize})
-    df = df.withColumns({k: ts.decay(k, s.decay) for k, s in of.items() if s.decay and s.decay > 1})
-    return df.withColumns({k: xs.zscore(k) for k in of})
+    """ts, stock and the columns named, after their settings."""
+    return e.computed(df, {k: settled(e.c(k), s, "sic_code" in df.columns) for k, s in of.items()})
 
 
 def evaluated(panel: DataFrame, names: list[str] | None = None, scale: int | dict[str, int] = 1, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -80,19 +84,10 @@ def evaluated(panel: DataFrame, names: list[str] | None = None, scale: int | dic
     names = list(FACTORS) if names is None else names
     if unknown := [n for n in names if n not in FACTORS]:
         raise ValueError(f"no such factor: {', '.join(unknown)}")
-    made = {n: FACTORS[n](by_name.get(n, 1)) for n in names}
     df = require(panel, "ts", "stock", "close", *keep)
-    for steps in ("over_time", "over_stocks"):
-        if steps == "over_stocks":  # windows by date and group then need no exchange of their own
-            df = df.repartition("ts")
-        for i in range(max((len(getattr(f, steps)) for f in made.values()), default=0)):
-            new = {}
-            for f in made.values():
-                new |= getattr(f, steps)[i] if i < len(getattr(f, steps)) else {}
-            df = df.withColumns(new)
-    df = df.withColumns({n: sc.clean(f.value) for n, f in made.items()})
-    df = finished(df, {n: f.settings for n, f in made.items()})
-    return df.select("ts", "stock", *keep, *names)
+    clean = lambda x: e.cell("clean", sc.clean, x)
+    made = {n: settled(clean(FACTORS[n].value(by_name.get(n, 1))), FACTORS[n].settings, "sic_code" in df.columns) for n in names}
+    return e.computed(df, made, keep)
 
 
 def modelled(panel: DataFrame, names: list[str], scale: int | dict[str, int] = 1, least: float = 0.5) -> DataFrame:
@@ -101,131 +96,118 @@ def modelled(panel: DataFrame, names: list[str], scale: int | dict[str, int] = 1
     return df.select("ts", "stock", "split", *covered(df.where("split = 'train'"), names, least))
 
 
-c = F.col
+def ret() -> Expr:
+    return e.returns("close")
 
 
-def _ret() -> dict[str, Column]:
-    return {"_ret": ts.daily_return("close")}
+def log_return() -> Expr:
+    return e.ln("close") - e.delay(e.ln("close"), 1)
 
 
-def _cap() -> dict[str, Column]:
-    return {"_cap": sc.cap()}
+def cap() -> Expr:
+    return c("close") * c("diluted_shares_outstanding")
 
 
-def _zero(name: str) -> dict[str, Column]:
-    return {name: sc.indicator(c("_ret") == 0)}
+def value_of_firm() -> Expr:
+    return cap() + c("total_liabilities") - c("cash_and_equivalents")
 
 
-@factor
-def mean_reversion_0(scale: int) -> Factor:
-    w = days(252, scale)
-    return Factor([_ret(), {"_mr0": ts.ts_zscore("_ret", w)}], -c("_mr0r"), [{"_mr0r": xs.rank("_mr0", TIES)}])
+def still() -> Expr:
+    return e.indicator(ret().equals(0.0))
 
 
 @factor
-def mean_reversion_1(scale: int) -> Factor:
-    base = {"_mr1": sc.ratio(c("close") - c("vwap"), ts.ts_mean("vwap", days(20, scale))), "_mr1v": ts.ts_delta("volume", days(5, scale))}
-    ranks = {"_mr1z": xs.zscore("_mr1"), "_mr1a": xs.rank("_mr1v", TIES), "_mr1b": xs.rank("_cap", TIES)}
-    return Factor([_cap() | base], -c("_mr1z") * c("_mr1a") * c("_mr1b"), [ranks])
+def mean_reversion_0(scale: int) -> Expr:
+    return -e.rank(e.zscore(ret(), days(252, scale)))
 
 
 @factor
-def mean_reversion_2(scale: int) -> Factor:
-    first = {"_mr2": -sc.ratio(c("close"), ts.ts_mean("close", days(20, scale))), "_ey": sc.ratio(c("diluted_earnings_per_share"), c("close"))}
-    second = {"_mr2z": ts.ts_zscore("_mr2", days(5, scale)), "_mr2r": ts.ts_rank("_ey", days(60, scale))}
-    return Factor([first, second], c("_mr2a") + c("_mr2b"), [{"_mr2a": xs.rank("_mr2z", TIES), "_mr2b": xs.rank("_mr2r", TIES)}])
+def mean_reversion_1(scale: int) -> Expr:
+    apart = (c("close") - c("vwap")) / e.mean("vwap", days(20, scale))
+    return -e.standard(apart) * e.rank(e.delta("volume", days(5, scale))) * e.rank(cap())
 
 
 @factor
-def mean_reversion_3(scale: int) -> Factor:
-    first = {"_night": F.ln(sc.ratio(c("open"), ts.ts_delay("close", 1))), "_day": F.ln(sc.ratio(c("close"), c("open")))}
-    w = days(20, scale)
-    return Factor([first, {"_nightm": ts.ts_mean("_night", w), "_daym": ts.ts_mean("_day", w)}], c("_mr3a") - c("_mr3b"), [{"_mr3a": xs.rank("_nightm", TIES), "_mr3b": xs.rank("_daym", TIES)}])
+def mean_reversion_2(scale: int) -> Expr:
+    low = -(c("close") / e.mean("close", days(20, scale)))
+    cheap = c("diluted_earnings_per_share") / c("close")
+    return e.rank(e.zscore(low, days(5, scale))) + e.rank(e.rank_in_time(cheap, days(60, scale)))
 
 
 @factor
-def mean_reversion_4(scale: int) -> Factor:
-    w = days(60, scale)
-    steps = [_ret() | {"_span": sc.ratio(c("high"), c("low")) - 1}, {"_spanz": ts.ts_zscore("_span", w)}, {"_wide": sc.indicator(c("_spanz") > 1) * c("_ret")}, {"_mr4": ts.ts_sum("_wide", w)}]
-    return Factor(steps, -c("_mr4"), settings=replace(LIBRARY, decay=1))
+def mean_reversion_3(scale: int) -> Expr:
+    night, day = e.ln(c("open") / e.delay("close", 1)), e.ln(c("close") / c("open"))
+    return e.rank(e.mean(night, days(20, scale))) - e.rank(e.mean(day, days(20, scale)))
 
 
-@factor
-def mean_reversion_5(scale: int) -> Factor:
+@factor(decay=1)
+def mean_reversion_4(scale: int) -> Expr:
+    wide = e.zscore(c("high") / c("low") - 1, days(60, scale)) > 1.0
+    return -e.sum_(e.indicator(wide) * ret(), days(60, scale))
+
+
+@factor(decay=1)
+def mean_reversion_5(scale: int) -> Expr:
     w = days(5, scale)
-    steps = [{"_hl": c("high") - c("low")}, {"_mr5": sc.ratio(ts.ts_delta("close", w), ts.ts_mean("_hl", w))}]
-    return Factor(steps, -F.pow(c("_mr5r") - 0.5, F.lit(3.0)), [{"_mr5r": xs.rank("_mr5", TIES)}], replace(LIBRARY, decay=1))
+    return -((e.rank(e.delta("close", w) / e.mean(c("high") - c("low"), w)) - 0.5) ** 3)
 
 
 @factor
-def fundamental_1(scale: int) -> Factor:
-    some = lambda x: F.nullif(sc.clean(x), F.lit(0.0))
-    steps = [{"_mult": some(sc.ratio(sc.enterprise_value(), c("ebitda")))}, {"_f1": sc.ratio(ts.ts_mean("_mult", days(252, scale)), c("_mult"))}]
-    return Factor(steps, -c("_f1z"), [{"_f1z": xs.zscore("_f1")}])
+def fundamental_1(scale: int) -> Expr:
+    multiple = e.some(value_of_firm() / c("ebitda"))
+    return -e.standard(e.mean(multiple, days(252, scale)) / multiple)
 
 
-@factor
-def fundamental_2(scale: int) -> Factor:
-    w = days(252, scale)
-    first = _ret() | _cap() | {"_drop": -ts.ts_delta("close", 1)}
-    second = {"_oey": sc.ratio(c("operating_income"), c("_cap")), "_fell": sc.indicator(c("_ret") < 0)}
-    third = {"_f2": sc.ratio(ts.ts_delta("_oey", days(125, scale)), ts.ts_std("_oey", w)), "_falls": ts.ts_sum("_fell", w)}
-    ranks = {"_f2a": xs.rank("_f2", TIES), "_f2b": xs.rank("_falls", TIES), "_f2c": xs.rank("_drop", TIES)}
-    return Factor([first, second, third], c("_f2a") + c("_f2b") + c("_f2c"), [ranks], replace(LIBRARY, decay=12))
+@factor(decay=12)
+def fundamental_2(scale: int) -> Expr:
+    year, earned = days(252, scale), c("operating_income") / cap()
+    falls = e.sum_(e.indicator(ret() < 0.0), year)
+    return e.rank(e.delta(earned, days(125, scale)) / e.std(earned, year)) + e.rank(falls) + e.rank(-e.delta("close", 1))
 
 
 @factor
-def liquidity_1(scale: int) -> Factor:
-    return Factor([_ret()], -sc.ratio(F.abs(c("_ret")), c("volume") * c("close")))
+def liquidity_1(scale: int) -> Expr:
+    return -(e.abs_(ret()) / (c("volume") * c("close")))
 
 
 @factor
-def liquidity_2(scale: int) -> Factor:
-    return Factor([_ret(), _zero("_still"), {"_l2": ts.ts_sum("_still", days(252, scale))}], -c("_l2"))
+def liquidity_2(scale: int) -> Expr:
+    return -e.sum_(still(), days(252, scale))
 
 
 @factor
-def liquidity_test(scale: int) -> Factor:
-    return Factor([_ret(), _zero("_still"), {"_lt": ts.ts_sum("_still", days(60, scale))}], -c("_lt"))
+def liquidity_test(scale: int) -> Expr:
+    return -e.sum_(still(), days(60, scale))
 
 
 @factor
-def liquidity_3(scale: int) -> Factor:
-    third = {
-        "_l3a": ts.ts_sum("_still", days(60, scale)),
-        "_l3b": ts.ts_mean("vwap", days(10, scale)) - c("close"),
-        "_l3c": F.coalesce(sc.ratio(c("close"), ts.ts_mean("close", days(60, scale))), F.lit(0.0)),
-    }
-    ranks = {f"{k}r": xs.rank(k, TIES) for k in third}
-    return Factor([_ret(), _zero("_still"), third], c("_l3ar") * (c("_l3br") - 0.5) * c("_l3cr"), [ranks])
+def liquidity_3(scale: int) -> Expr:
+    level = e.or_zero(c("close") / e.mean("close", days(60, scale)))
+    return e.rank(e.sum_(still(), days(60, scale))) * (e.rank(e.mean("vwap", days(10, scale)) - c("close")) - 0.5) * e.rank(level)
 
 
 @factor
-def momentum_barra(scale: int) -> Factor:
-    steps = [{"_log": ts.log_return("close")}, {"_mom": ts.ts_ewm_sum("_log", days(504, scale), 126 / scale)}, {"_moml": ts.ts_delay("_mom", days(21, scale))}]
-    return Factor(steps, c("_moml"))
+def momentum_barra(scale: int) -> Expr:
+    return e.delay(e.ewm(log_return(), days(504, scale), 126 / scale), days(21, scale))
 
 
-@factor
-def short_term_reversal_barra(scale: int) -> Factor:
-    steps = [{"_log": ts.log_return("close")}, {"_strev": ts.ts_ewm_sum("_log", days(21, scale), 5 / scale)}]
-    return Factor(steps, -c("_strev"), settings=replace(LIBRARY, decay=1))
+@factor(decay=1)
+def short_term_reversal_barra(scale: int) -> Expr:
+    return -e.ewm(log_return(), days(21, scale), 5 / scale)
 
 
 @factor
-def liquidity_barra(scale: int) -> Factor:
-    year, quarter, month = days(252, scale), days(63, scale), days(21, scale)
-    log = lambda w, parts: F.ln(F.nullif(ts.ts_sum("_turn", w, None) / parts, F.lit(0.0)))
-    steps = [{"_turn": sc.ratio(c("volume"), ts.ts_mean("volume", year))}, {"_stom": log(month, 1), "_stoq": log(quarter, 3), "_stoa": log(year, 12)}]
-    z = {f"{k}z": xs.zscore(k) for k in ("_stom", "_stoq", "_stoa")}
-    return Factor(steps, 0.35 * c("_stomz") + 0.35 * c("_stoqz") + 0.30 * c("_stoaz"), [z])
+def liquidity_barra(scale: int) -> Expr:
+    turn = c("volume") / e.mean("volume", days(252, scale))
+    log = lambda w, parts: e.ln(e.some(e.sum_(turn, days(w, scale), None) / parts))
+    return 0.35 * e.standard(log(21, 1)) + 0.35 * e.standard(log(63, 3)) + 0.30 * e.standard(log(252, 12))
 
 
 @factor
-def value_barra(scale: int) -> Factor:
-    return Factor([{"_long": sc.ratio(c("close"), ts.ts_mean("close", days(1260, scale)))}], -F.ln(c("_long")))
+def value_barra(scale: int) -> Expr:
+    return -e.ln(c("close") / e.mean("close", days(1260, scale)))
 
 
 @factor
-def quality_barra(scale: int) -> Factor:
-    return Factor([_ret(), {"_qual": ts.ts_std("_ret", days(252, scale))}], -c("_qual"))
+def quality_barra(scale: int) -> Expr:
+    return -e.std(ret(), days(252, scale))

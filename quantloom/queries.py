@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions import scalar as sc
-from quantloom.functions import ts, xs
+from quantloom.functions import expr, ts, xs
 from quantloom.operators import backtest as bt
 from quantloom.operators import clean, evaluate, panel, portfolio, regress, risk
 from quantloom.plans.factors import FACTORS, Settings, evaluated, finished, modelled
@@ -237,6 +237,18 @@ def all_factors(s, d):
     return r6(evaluated(filled(s, d), scale=SCALES))
 
 
+def long_windows(s, d):
+    """Windows of a year: mean, deviation, weighed mean and ranks in time, as nested expressions."""
+    x = {"m252": expr.mean("close", 252), "s252": expr.std("close", 252), "w252": expr.ewm("close", 252, 63.0)}
+    x |= {f"r{w}": expr.rank_in_time("close", w) for w in (60, 252, 504)}
+    return r6(expr.computed(filled(s, d), x))
+
+
+def user_factor(s, d):
+    """A factor as its user writes it."""
+    return r6(expr.computed(filled(s, d), {"v": -expr.rank(expr.zscore(expr.returns("close"), 252))}))
+
+
 def _ic(s, d):
     return evaluate.coefficients(_signal(s, d), ["x"])
 
@@ -588,7 +600,7 @@ _COLUMNS: dict[str, Query] = {
 _PLAIN = """scan_panel densify calendar_reindex unpivot_long pivot_wide split_dates slice_stock drop_all_null_dates incomplete_dates
 upsert_latest_date union_by_name anti_join_new_dates stride_dates explode_tickers_last nan_handling semi_join_common_stock top_n_ticker top_n_cik
 clean_data asof_rf asof_benchmark sic_division industry_ranges ffill_limit first_usable_date settings_default settings_decay1 safe_settings_no_sic
-estimated_market_cap rsi rsi_strict common_stocks attribute_set factor_engine all_factors ic_1d rank_ic icir_summary icir_intervals coverage_filter impute_medians ols_1factor results_by_horizon predict_returns kfold_tune
+estimated_market_cap rsi rsi_strict common_stocks attribute_set factor_engine all_factors long_windows user_factor ic_1d rank_ic icir_summary icir_intervals coverage_filter impute_medians ols_1factor results_by_horizon predict_returns kfold_tune
 walk_forward_splits walk_forward_tune ewma_weights factor_returns_pinv factor_residuals factor_covariance specific_variance industry_exposures covariance_matrix covariance_matrix_as_of optimize_weights
 optimize_equal_weight_fallback held_weights weights_by_horizon hold_weights prepare_weights slippage_tiers gross_return turnover equity_drawdown metrics_ungated benchmark_metrics
 report_metrics plot_series weight_summary backtest_gated_costs event_bars stream_upsert snapshot_as_of stream_out_of_order landed_bars landed_bars_stream landed_statements

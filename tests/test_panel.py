@@ -97,14 +97,15 @@ def test_unknown_factor(spark, sf):
 
 
 def test_library_takes_four_exchanges(spark, sf):
-    """However many factors, the plan above the panel deals out four times."""
+    """However many factors, the plan above the panel deals out four times, and once more for ranks in time."""
     from quantloom.queries import filled
 
     base = filled(spark, sf)
     lines = lambda df: df._jdf.queryExecution().executedPlan().toString().splitlines()
     count = lambda df: sum("Exchange hashpartitioning" in x for x in lines(df))
     # the panel's own plan ends dealt by stock, which the first steps use
-    assert count(factors.evaluated(base, None, 5)) <= count(base) + 3
+    assert count(factors.evaluated(base, [n for n in factors.FACTORS if n != "mean_reversion_2"], 5)) <= count(base) + 3
+    assert count(factors.evaluated(base, None, 5)) <= count(base) + 4
 
 
 def test_densify_and_empty(spark):
