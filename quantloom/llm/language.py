@@ -9,12 +9,11 @@ document of two languages gets both, and one of one language only that.
 
 from __future__ import annotations
 
-import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +31,8 @@ PENALTY = 3.0
 UNKNOWN = "und"
 #: Code points that are counted at a time.
 PIECE = 1 << 20
-#: Numerals that are no decimal digits (superscripts, fractions, Roman ones) belong to words for `re`, and are no letters.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+#: Numerals are no letters, nor are marks.
+NOT_LETTERS = regex.compile(r"\P{L}+")
 #: Of the likelihood that all but a hundredth of a language's held-out texts reach, the share that a text must reach to be accepted.
 SHARE = 0.5
 
