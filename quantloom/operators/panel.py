@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.session import shared_folder
+from quantloom.session import written
 
 KEY = ("ts", "stock")
 #: Attributes of bars in their usual order; other attributes follow by name.
@@ -50,9 +49,7 @@ def common_stocks(df: DataFrame, names: list[str], splits: tuple[str, ...] = ("t
 def numbered(df: DataFrame, by: str, name: str = "place") -> DataFrame:
     """df (one row a value of `by`) with its place in order, from 1. Rows are dealt
     out by ranges and numbered within; one count a range comes to the driver."""
-    path = f"{shared_folder(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
-    df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    ranged = df.sparkSession.read.parquet(path)
+    ranged = written(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
     before, total = [F.lit(-1), F.lit(0)], 0
     for part, n in sorted(ranged.groupBy("_part").count().collect()):
         before += [F.lit(part), F.lit(total)]

@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.ts import ffill
 from quantloom.operators.panel import densify, every
-from quantloom.operators.risk import Model, shrunk, square
+from quantloom.operators.risk import SHARE, WORST, Model, _settled, ends, judged, root, square
+
+#: Excess returns up to this are none.
+NONE = 1e-8
+#: A solution is one if no weight would move by more in a step of the gradient.
+TOLERANCE, ROUNDS = 1e-9, 50_000
 
 
 def projected(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    """The nearest point whose parts lie in [low, high] and add up to 1: v shifted
-    and clipped. The sum falls piecewise linearly with the shift, so the right
-    piece is searched and the shift interpolated."""
-    at = np.sort(np.concatenate([v - high, v - low]))
+    """The nearest point whose parts lie in [low, high] (either may be infinite) and add
+    up to 1: v shifted and clipped. The sum falls piecewise linearly with the
+    shift, so the right piece is searched and the shift interpolated."""
     total = lambda t: np.clip(v - t, low, high).sum()
+    at = np.sort(np.concatenate([x for x in (v - high, v - low) if np.isfinite(x).all()] or [v]))
+    if total(at[0]) < 1 and not np.isfinite(high):  # no part is clipped from above
+        return v - (v.sum() - 1) / len(v) if not np.isfinite(low) else np.clip(v - (v.sum() - 1) / len(v), low, None)
+    if total(at[-1]) > 1:  # and here none from below
+        return v - (v.sum() - 1) / len(v)
     a, b = 0, len(at) - 1
     while b - a > 1:
         m = (a + b) // 2
@@ -27,55 +36,80 @@ def projected(v: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.clip(v - t, low, high)
 
 
-def solve(mu: np.ndarray, cov: np.ndarray, aversion: float = 2.5, cap: float | None = None, short: bool = False, rounds: int = 5000) -> np.ndarray | None:
-    """Weights that maximise mu w - aversion / 2 w cov w, adding up to 1, between 0
-    (any negative number, if short) and cap. None if the cap is too small."""
-    n, high = len(mu), 1.0 if cap is None else cap
-    low = -1e3 if short else 0.0
+def solve(mu: np.ndarray, z: np.ndarray, d: np.ndarray, aversion: float = 2.5, cap: float | None = None, short: bool = False, rounds: int = ROUNDS) -> tuple[np.ndarray | None, float]:
+    """Weights that maximise mu w - aversion / 2 w V w with V = z z' + diag(d), adding up to
+    1, between 0 (without bound, if short) and cap; and the residual of the
+    optimality conditions: how far a step of the gradient moves a weight. None
+    if the cap is too small. V itself isn't made: a product with it takes z and d."""
+    n, high, low = len(mu), np.inf if cap is None else cap, -np.inf if short else 0.0
     if n * high < 1:
-        return None
-    step = 1 / (aversion * max(np.linalg.eigvalsh(cov)[-1], 1e-12))
+        return None, np.inf
+    grad = lambda w: mu - aversion * (z @ (z.T @ w) + d * w)
+    step = 1 / (aversion * max(float(np.linalg.eigvalsh(z.T @ z)[-1]) + float(d.max()), 1e-12))  # an upper bound of V's eigenvalues
     w = y = projected(np.full(n, 1 / n), low, high)
-    t = 1.0
-    for _ in range(rounds):  # accelerated projected gradient
-        new = projected(y + step * (mu - aversion * cov @ y), low, high)
+    t, left = 1.0, np.inf
+    for _ in range(rounds):  # accelerated projected gradient, begun anew where it overshoots
+        new = projected(y + step * grad(y), low, high)
+        left = float(np.abs(new - y).max())
+        if left < TOLERANCE * 1e-2:
+            break
+        if (y - new) @ (new - w) > 0:
+            t, y = 1.0, w
+            w_new = projected(w + step * grad(w), low, high)
+            y = w = w_new
+            continue
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t_new * (new - w)
-        if np.abs(new - w).max() < 1e-10:
-            return new
-        w, t = new, t_new
-    return w
+        y, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    w = projected(new, low, high)
+    return w, float(np.abs(projected(w + step * grad(w), low, high) - w).max())
 
 
 def optimized(pred: DataFrame, model: Model, k: int, rf: DataFrame | None = None, interval: int = 5, h: int = 1, aversion: float = 2.5, cap: float | None = None, short: bool = False, keep_short: bool = False) -> DataFrame:
-    """ts, stock, weight on every interval-th date of pred (ts, stock, prediction).
+    """ts, stock, weight, residual, status on every interval-th date of pred (ts, stock, prediction)
+    that has a prediction, for all stocks of the model (of k factors).
 
-    One covariance (of a model of k factors) serves all dates. Without any return over the risk-free rate
-    (rf: ts, rf), or if no weights fit the cap, weights are equal. Weights are
-    cut at 0 and scaled to 1 unless keep_short. A date's stocks fit in a task.
+    Stocks without a prediction count with 0, before the risk-free rate (rf: ts,
+    rf). One covariance serves all dates: z z' + diag(d), which isn't multiplied
+    out, so a date's stocks take as many numbers each as there are factors in a
+    task. Without any return over the risk-free rate (status none), if no
+    weights fit the cap (capped), or if the solver doesn't converge (diverged),
+    weights are equal and residual is null. Else residual tells how far a step
+    of the gradient still moves a weight. Weights are cut at 0 and scaled to 1
+    unless keep_short.
     """
     fm = square(model.fcov, k)
-    rows = every(pred, interval).join(model.x, "stock").join(model.spec, "stock", "left")
+    some = every(pred, interval).where("prediction is not null and not isnan(prediction)")
+    dates = some.select("ts").distinct()
+    stocks = model.x.join(model.spec, "stock", "left")
+    rows = stocks.join(F.broadcast(dates)).join(some.select("ts", "stock", "prediction"), ["ts", "stock"], "left")
     rows = rows.join(F.broadcast(rf.select("ts", "rf")), "ts", "left") if rf is not None else rows.withColumn("rf", F.lit(0.0))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("stock")
+        n = len(pdf)
         if fm is None:
-            v = np.eye(len(pdf))
+            z, d = np.zeros((n, 1)), np.ones(n)
         else:
-            xm = np.vstack(pdf["x"].to_numpy())
-            v = shrunk(xm @ fm @ xm.T + np.diag(pdf["var"].fillna(1e-6).to_numpy(float))) * h
-        v = (v + v.T) / 2 + 1e-8 * np.eye(len(v))
-        mu = pdf["prediction"].fillna(0.0).to_numpy(float) - float(pdf["rf"].fillna(0.0).iloc[0])
-        w = None if np.abs(mu).max() < 1e-12 else solve(mu, v, aversion, cap, short)
-        if w is None:
-            w = np.full(len(mu), 1 / len(mu))
+            x, d = np.vstack(pdf["x"].to_numpy()), pdf["var"].fillna(1e-6).to_numpy(float)
+            z = x @ root(fm)
+            if judged(*ends(x, fm, d, lambda a, b: _settled(a, b, WORST))) is not False:  # drawn to the diagonal
+                d = d + SHARE * (z * z).sum(1)
+                z = z * np.sqrt(1 - SHARE)
+            z, d = z * np.sqrt(h), d * h
+        mu = np.nan_to_num(pdf["prediction"].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0) - float(pdf["rf"].fillna(0.0).iloc[0])
+        w, left, status = None, np.nan, "none"
+        if np.abs(mu).max() > NONE:
+            w, left = solve(mu, z, d + 1e-8, aversion, cap, short)
+            status = "capped" if w is None else "solved" if left <= TOLERANCE else "diverged"
+        if status != "solved":
+            w, left = np.full(n, 1 / n), np.nan
         elif not keep_short:
             w = np.clip(w, 0, None)
-            w = w / w.sum() if w.sum() > 0 else np.full(len(mu), 1 / len(mu))
-        return pd.DataFrame({"ts": pdf["ts"], "stock": pdf["stock"], "weight": w})
+            w = w / w.sum() if w.sum() > 0 else np.full(n, 1 / n)
+        return pd.DataFrame({"ts": pdf["ts"], "stock": pdf["stock"], "weight": w, "residual": left, "status": status})
 
-    return rows.groupBy("ts").applyInPandas(one, f"ts date, stock {dict(pred.dtypes)['stock']}, weight double")
+    found = rows.groupBy("ts").applyInPandas(one, f"ts date, stock {dict(pred.dtypes)['stock']}, weight double, residual double, status string")
+    return found.withColumn("residual", F.nanvl("residual", F.lit(None).cast("double")))
 
 
 def held(weights: DataFrame, calendar: DataFrame, interval: int) -> DataFrame:

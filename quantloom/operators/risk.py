@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.ts import daily_return, ffill
 from quantloom.operators.panel import numbered_dates
+from quantloom.session import written
 
 OTHER = "Other"
 #: The 49 industries of the public classification, in its order; stocks of none are in the last.
@@ -22,6 +23,8 @@ Guns Gold Mines Coal Oil Util Telcm PerSv BusSv Hardw Softw Chips LabEq Paper Bo
 )
 #: Singular values up to this share of the largest are rounding noise.
 NOISE = 1e-10
+#: How far a badly conditioned matrix is drawn to its diagonal.
+SHARE = 0.15
 #: Stocks on a side of a block of the covariance matrix.
 BLOCK = 512
 
@@ -68,7 +71,10 @@ def factor_returns(df: DataFrame, style: list[str], groups: tuple[str, ...] = IN
     Spark adds up products by date and industry; a task then solves the normal
     equations of a date, and residuals are made by a join with its solution.
     """
-    rows = _returns(df, style, groups)
+    return _fitted(_returns(df, style, groups), style, groups)
+
+
+def _fitted(rows: DataFrame, style: list[str], groups: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     k, n = len(style), len(style) + len(groups)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     by_group = rows.groupBy("ts", "g").agg(
@@ -141,7 +147,10 @@ def specific_variance(e: DataFrame, window: int = 21, halflife: float = 21.0) ->
 def exposures(df: DataFrame, style: list[str], groups: tuple[str, ...] = INDUSTRIES) -> DataFrame:
     """stock, x: exposures (nulls as 0) on the last date with any return. Stocks
     have none if there is no such date."""
-    rows = _returns(df, style, groups)
+    return _exposed(df, _returns(df, style, groups), style, groups)
+
+
+def _exposed(df: DataFrame, rows: DataFrame, style: list[str], groups: tuple[str, ...]) -> DataFrame:
     last = rows.join(F.broadcast(rows.agg(F.max("ts").alias("ts"))), "ts").select("stock", F.struct("g", *style).alias("_x"))
     dummies = [F.coalesce(F.col("_x.g") == i, F.lit(False)).cast("double") for i in range(len(groups))]
     x = F.array(*[F.col("_x")[c] for c in style], *dummies)
@@ -161,16 +170,9 @@ def risk_model(df: DataFrame, style: list[str], groups: tuple[str, ...] = INDUST
     """The model of all dates of df, or of the returns of the last `window` dates up to
     `date`. The specific variance is of the last `specific_window` of them."""
     df = df if date is None else recent(df, date, window)
-    f, e = factor_returns(df, style, groups)
-    return Model(exposures(df, style, groups), factor_covariance(f), specific_variance(e, specific_window))
-
-
-def shrunk(v: np.ndarray, worst: float = 1e4, share: float = 0.15) -> np.ndarray:
-    """v drawn to its diagonal if it is badly conditioned."""
-    ev = np.linalg.eigvalsh(v)
-    if ev[0] <= 1e-12 or ev[-1] / ev[0] > worst:
-        return (1 - share) * v + share * np.diag(np.diag(v))
-    return v
+    rows = written(_returns(df, style, groups))  # the panel is evaluated once
+    f, e = _fitted(rows, style, groups)
+    return Model(_exposed(df, rows, style, groups), factor_covariance(f), specific_variance(e, specific_window))
 
 
 def square(fcov: DataFrame, k: int) -> np.ndarray | None:
@@ -182,36 +184,123 @@ def square(fcov: DataFrame, k: int) -> np.ndarray | None:
     return m if rows else None
 
 
-def ends(x: np.ndarray, fm: np.ndarray, d: np.ndarray, rounds: int = 200, width: int = 8) -> tuple[float, float]:
-    """The least and largest eigenvalue of x fm x' + diag(d), d > 0, by subspace
-    iteration forwards and (by Woodbury's formula) backwards. Only products of
-    x's size are made, no matrix of stocks by stocks."""
-    rng = np.random.default_rng(0)
-    start = np.linalg.qr(rng.normal(size=(len(d), min(width, len(d)))))[0]
-    forward = lambda v: x @ (fm @ (x.T @ v)) + d[:, None] * v
-    xd = x / d[:, None]
-    inner = np.linalg.solve(np.eye(len(fm)) + fm @ (x.T @ xd), fm)
-    backward = lambda v: v / d[:, None] - xd @ (inner @ (xd.T @ v))
-    found = []
-    for step, worst in ((backward, np.min), (forward, np.max)):
-        v, last = start, None
-        for _ in range(rounds):
-            v = np.linalg.qr(step(v))[0]
-            now = float(worst(np.linalg.eigvalsh(v.T @ forward(v))))
-            if last is not None and abs(now - last) <= 1e-9 * abs(now):
-                break
-            last = now
-        found.append(now)
-    return found[0], found[1]
-
-
-def covariance_matrix(model: Model, k: int, stocks: list | None = None, h: int = 1, worst: float = 1e4, share: float = 0.15) -> DataFrame:
+#: Points at which eigenvalues are counted in one pass over stocks.
+POINTS = 24
+#: A matrix is badly conditioned if its least eigenvalue is no larger than this, or the largest is so many times as large.
+TINY, WORST = 1e-12, 1e4
+
+
+def root(fm: np.ndarray) -> np.ndarray:
+    """g with g g' = fm (symmetric; what rounding made negative counts as zero)."""
+    w, v = np.linalg.eigh((fm + fm.T) / 2)
+    return v * np.sqrt(np.maximum(w, 0))
+
+
+def pivots(z: np.ndarray, d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What counting eigenvalues needs of stocks (z: exposures times root(), d: specific
+    variances) at each of the points: how many d lie below it, and the sum of z' z / (d - point)."""
+    gap = d[None, :] - at[:, None]
+    gap = np.where(gap == 0, 1e-300, gap)
+    return (gap < 0).sum(1), np.einsum("pn,ni,nj->pij", 1 / gap, z, z, optimize=True)
+
+
+def counted(below: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """How many eigenvalues of z z' + diag(d) lie below each point: as many as d do,
+    less the negative ones of the Schur complement, which has one row a factor."""
+    return below - (np.linalg.eigvalsh(np.eye(sums.shape[1]) + sums) < 0).sum(1)
+
+
+def bracketed(count: Callable[[np.ndarray], np.ndarray], n: int, low: tuple[float, float], high: tuple[float, float], done: Callable[..., bool], rounds: int = 40) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Intervals of the least and of the largest of n eigenvalues, narrowed by counting
+    the eigenvalues below POINTS points at a time until done(low, high)."""
+    for _ in range(rounds):
+        if done(low, high):
+            break
+        inside = [np.geomspace(max(a, 1e-300), b, POINTS // 2 + 2)[1:-1] for a, b in (low, high)]
+        found = count(np.concatenate(inside))
+        cut = []
+        for points, n_below, need, (a, b) in ((inside[0], found[: len(inside[0])], 1, low), (inside[1], found[len(inside[0]) :], n, high)):
+            some = np.flatnonzero(n_below >= need)
+            k = some[0] if len(some) else len(points)
+            cut.append((points[k - 1] if k else a, points[k] if k < len(points) else b))
+        low, high = cut
+    return low, high
+
+
+def _bounds(d_low: float, d_high: float, own_low: float, own_high: float, cross: np.ndarray) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Where the least and the largest eigenvalue lie, from the extremes of d, those of the diagonal, and z' z."""
+    return (d_low, own_low * (1 + 1e-12)), (own_high * (1 - 1e-12), d_high + float(np.linalg.eigvalsh(cross)[-1]) * (1 + 1e-9) + 1e-300)
+
+
+def judged(low: tuple[float, float], high: tuple[float, float], worst: float = WORST) -> bool | None:
+    """Whether the matrix is badly conditioned; None if the intervals don't tell yet."""
+    if low[1] <= TINY or high[0] > worst * low[1]:
+        return True
+    return False if low[0] > TINY and high[1] <= worst * low[0] else None
+
+
+def _settled(low, high, worst: float) -> bool:
+    return judged(low, high, worst) is not None or (low[1] - low[0] <= 1e-12 * low[1] and high[1] - high[0] <= 1e-12 * high[1])
+
+
+def ends(x: np.ndarray, fm: np.ndarray, d: np.ndarray, done: Callable[..., bool] | None = None) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Intervals of the least and largest eigenvalue of x fm x' + diag(d). No matrix of stocks by stocks is made."""
+    z = x @ root(fm)
+    own = d + (z * z).sum(1)
+    done = done or (lambda low, high: low[1] - low[0] <= 1e-10 * low[1] and high[1] - high[0] <= 1e-10 * high[1])
+    return bracketed(lambda at: counted(*pivots(z, d, at)), len(d), *_bounds(d.min(), d.max(), own.min(), own.max(), z.T @ z), done)
+
+
+def badly_conditioned(rows: DataFrame, fm: np.ndarray, worst: float = WORST) -> bool:
+    """Of x fm x' + diag(var), rows: x, var. Each step is an aggregate of one number for
+    every two factors (and point) over stocks; that many come to the driver."""
+    g = root(fm)
+
+    def summed(at: np.ndarray | None) -> dict[tuple[int, int, int], float]:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, least, most = None, [], []
+            for b in batches:
+                z, d = np.vstack(b["x"].to_numpy()) @ g, b["var"].to_numpy(float)
+                if at is None:
+                    own = d + (z * z).sum(1)
+                    add = np.array([len(d)]), (z.T @ z)[None]
+                    least, most = [*least, (d.min(), own.min())], [*most, (d.max(), own.max())]
+                else:
+                    add = pivots(z, d, at)
+                total = add if total is None else (total[0] + add[0], total[1] + add[1])
+            if total is not None:
+                p, i, j = np.indices(total[1].shape)
+                yield pd.DataFrame({"p": p.ravel(), "i": i.ravel(), "j": j.ravel(), "s": total[1].ravel(), "low": np.nan, "high": np.nan})
+                yield pd.DataFrame({"p": range(len(total[0])), "i": -1, "j": -1, "s": total[0].astype(float), "low": np.nan, "high": np.nan})
+                if at is None:
+                    for k in (0, 1):
+                        yield pd.DataFrame({"p": [k], "i": -2, "j": -2, "s": 0.0, "low": min(v[k] for v in least), "high": max(v[k] for v in most)})
+
+        found = rows.select("x", "var").mapInPandas(each, "p int, i int, j int, s double, low double, high double")
+        return {(r.p, r.i, r.j): (r.s, r.low, r.high) for r in found.groupBy("p", "i", "j").agg(F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+
+    def square_of(told: dict, p: int) -> np.ndarray:
+        return np.array([[told[p, i, j][0] for j in range(len(g))] for i in range(len(g))])
+
+    first = summed(None)
+    if not first:
+        return False
+    n, (d, own) = int(first[0, -1, -1][0]), (first[0, -2, -2], first[1, -2, -2])
+
+    def count(at: np.ndarray) -> np.ndarray:
+        told = summed(at)
+        return counted(np.array([told[p, -1, -1][0] for p in range(len(at))]), np.array([square_of(told, p) for p in range(len(at))]))
+
+    low, high = bracketed(count, n, *_bounds(d[1], d[2], own[1], own[2], square_of(first, 0)), lambda a, b: _settled(a, b, worst))
+    return judged(low, high, worst) is not False
+
+
+def covariance_matrix(model: Model, k: int, stocks: list | None = None, h: int = 1, worst: float = WORST, share: float = SHARE) -> DataFrame:
     """stock_i, stock_j, cov over h dates, for all stocks or those named. k: number of
     factors. Without any return it is the identity.
 
     Stocks are dealt into blocks, and pairs of blocks are multiplied out each by
-    itself. Whether the matrix is badly conditioned (and is drawn to its
-    diagonal) is told from x alone, K numbers a stock, in one task.
+    itself. A badly conditioned matrix is drawn to its diagonal.
     """
     fm = square(model.fcov, k)
     rows = (model.x if stocks is None else model.x.where(F.col("stock").isin(stocks))).join(model.spec, "stock", "left")
@@ -220,28 +309,24 @@ def covariance_matrix(model: Model, k: int, stocks: list | None = None, h: int =
     if fm is None:
         one = one.withColumns({"x": F.array_repeat(F.lit(0.0), k), "var": F.lit(1.0)})
         fm, h = np.zeros((k, k)), 1
-
-    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = ends(np.vstack(pdf["x"].to_numpy()), fm, np.maximum(pdf["var"].to_numpy(float), 1e-13))
-        return pd.DataFrame({"_bad": [bool(low <= 1e-12 or high / low > worst)]})
-
-    bad = one.groupBy(F.lit(0).alias("_all")).applyInPandas(judged, "_bad boolean")
+    one = written(one)
+    drawn = badly_conditioned(one, fm, worst)
     held = one.withColumn("_own", F.pmod(F.xxhash64("stock"), F.col("_blocks")).cast("int")).groupBy("_own").agg(F.collect_list(F.struct("stock", "x", "var")).alias("c"), F.max("_blocks").alias("_blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     left = held.select(F.col("_own").alias("i"), other.alias("j"), F.col("c").alias("a"))
     right = held.select(F.col("_own").alias("j"), other.alias("i"), F.col("c").alias("b"))
-    pairs = left.join(right, ["i", "j"]).join(F.broadcast(bad)).select("a", "b", "_bad")
+    pairs = left.join(right, ["i", "j"]).select("a", "b")
 
     def multiplied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b, drawn in zip(batch["a"], batch["b"], batch["_bad"], strict=True):
+            for a, b in zip(batch["a"], batch["b"], strict=True):
                 xa, xb = (np.vstack([q["x"] for q in c]) for c in (a, b))
-                na, nb = ([q["stock"] for q in c] for c in (a, b))
+                na, nb = (np.array([q["stock"] for q in c], object) for c in (a, b))
                 v = xa @ fm @ xb.T
-                same = np.array([[p == q for q in nb] for p in na])
+                same = (na[:, None] == nb[None, :]).astype(bool)
                 v = (v + same * np.array([q["var"] for q in a])[:, None]) * h
                 if drawn:
                     v = np.where(same, v, (1 - share) * v)
-                yield pd.DataFrame({"stock_i": np.repeat(np.array(na, object), len(nb)), "stock_j": np.tile(np.array(nb, object), len(na)), "cov": v.ravel()})
+                yield pd.DataFrame({"stock_i": np.repeat(na, len(nb)), "stock_j": np.tile(nb, len(na)), "cov": v.ravel()})
 
     return pairs.mapInPandas(multiplied, f"stock_i {kind}, stock_j {kind}, cov double")

@@ -349,6 +349,14 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     o["factor_residuals"] = f"with {RISK} select ts, stock, {r6('e')}, {r6('r')} from er"
     o["factor_covariance"] = f"with {RISK}, wf as {aged('fr', 63)}, mf as (select k, sum(w * f) m from fr join wf using (ts) group by k), cf as (select a.k i, b.k j, sum(w * a.f * b.f) s from fr a join fr b using (ts) join wf using (ts) group by 1, 2), cc as (select i, j, (s - x.m * y.m) / (1 - (select sum(w * w) from wf)) cov from cf join mf x on x.k = i join mf y on y.k = j) select i, j, {r6('cov')} from cc where abs(cov) > 1e-9"
     o["specific_variance"] = f"with {RISK}, le as (select * from er where ts in (select ts from (select distinct ts from er) order by ts desc limit 21)), wf as {aged('le', 21)}, sv as (select stock, greatest(0, (sum(w * e * e) - sum(w * e) * sum(w * e)) / (1 - sum(w * w))) v from le join wf using (ts) group by stock) select stock, {r6('v', 'var')} from sv"
+    at = STYLES.replace("\nst as (", "\nst0 as (") + ",\nst as (select * replace (close / nullif(lag(close) over (partition by stock order by ts), 0) - 1 as r) from st0 where ts in (select ts from (select distinct ts from st0 where ts <= date '1999-06-28') order by ts desc limit 64))"
+    for name, model, h in (("covariance_matrix", RISK, 1), ("covariance_matrix_as_of", RISK.replace(STYLES, at), 5)):
+        # the fixture's matrices are well conditioned, so none is drawn to its diagonal
+        fs, ss = (o[x].split(RISK + ",", 1)[1].rsplit(" select ", 1)[0] for x in ("factor_covariance", "specific_variance"))
+        ex = f"ex as (select stock, unnest([0, 1, list_position({INDUSTRIES!r}, g)::int + 1]) k, unnest([s1, s2, 1.0::double]) v from rs where ts = (select max(ts) from rs))"
+        v = "vv as (select a.stock stock_i, b.stock stock_j, sum(a.v * cov * b.v) c from ex a join cc on cc.i = a.k join ex b on b.k = cc.j group by 1, 2)"
+        o[name] = f"with {model},{fs},{ss.replace('wf', 'ws')}, {ex}, {v} select stock_i, stock_j, {r6(f'(c + case when stock_i = stock_j then sv.v else 0 end) * {h} / 1e4', 'cov')} from vv join sv on sv.stock = stock_i"
+    o["optimize_equal_weight_fallback"] = f"with {STYLES}, dd as (select ts, row_number() over (order by ts) - 1 k from (select distinct ts from st where s1 is not null)), ns as (select distinct stock from st) select ts, stock, {r6('1.0::double / (select count(*) from ns)', 'weight')}, 'capped' status from dd, ns where k % 30 = 0"
     o["industry_exposures"] = f"with {RISK} select stock, {r6('s1')}, {r6('s2')}, " + ", ".join(f"(g = '{n}')::int::double {n}" for n in INDUSTRIES) + " from rs where ts = (select max(ts) from rs)"
     o["predict_returns"] = f"with {okb}, m as (select avg({guard.format('c')}) c, avg({guard.format('b')}) b from fit) select ts, stock, round(1.00000000001e0 * (c + b * coalesce(x, quantile_cont(x, 0.5) over (partition by ts), (select quantile_cont(x, 0.5) from base), 0)), 6) + 0.0 prediction from base, m"
     o["walk_forward_splits"] = f"{p}, {DATES}, k as (select unnest(range(200, (select max(n) from dts) - 50 + 1, 50)) e), q as (select e, row_number() over (order by e) - 1 fold from k) select fold::int fold, a.ts train_from, b.ts train_to, c.ts val_from, d.ts val_to from q join dts a on a.rn = 0 join dts b on b.rn = e - 1 join dts c on c.rn = e join dts d on d.rn = e + 49"

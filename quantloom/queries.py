@@ -358,13 +358,19 @@ def _model(s, d, date=None):
     return risk.risk_model(_styles(s, d), STYLE, date=date)
 
 
+def _covariance(s, d, date=None, h: int = 1) -> DataFrame:
+    """In ten thousandths, for the derived prices jump."""
+    v = risk.covariance_matrix(_model(s, d, date), len(FACTOR_NAMES), h=h)
+    return r6(v.withColumn("cov", F.col("cov") / 1e4))
+
+
 def covariance_matrix(s, d):
-    return risk.covariance_matrix(_model(s, d), len(FACTOR_NAMES))
+    return _covariance(s, d)
 
 
 def covariance_matrix_as_of(s, d):
     """The matrix of the 63 weekly returns up to a date, for a holding of 5 rows."""
-    return risk.covariance_matrix(_model(s, d, "1999-06-28"), len(FACTOR_NAMES), h=5)
+    return _covariance(s, d, "1999-06-28", 5)
 
 
 def _weights(s, d, **options):
@@ -377,7 +383,8 @@ def optimize_weights(s, d):
 
 
 def optimize_equal_weight_fallback(s, d):
-    return _weights(s, d, cap=1e-6)
+    """No weights fit so small a cap."""
+    return r6(_weights(s, d, cap=1e-6).select("ts", "stock", "weight", "status"))
 
 
 def weighted(s, d):

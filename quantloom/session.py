@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -26,3 +27,21 @@ def shared_folder(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where this application writes tables that its later steps read."""
+    return f"{shared_folder(spark)}/work-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the work folder: computed once, and read again if an executor is lost."""
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Removes all that this application wrote for its own steps. Results that read it must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from quantloom import oracles, queries
 
 ORACLES = oracles.oracle_sql()
 #: Ten stocks of ten industries leave nothing to regress on styles, and no factor that is neutral by industry: these take the next larger tables.
-LARGER = {"factor_returns_pinv", "factor_residuals", "factor_covariance", "specific_variance", "factor_engine"}
+LARGER = {"factor_returns_pinv", "factor_residuals", "factor_covariance", "specific_variance", "factor_engine", "covariance_matrix", "covariance_matrix_as_of", "optimize_equal_weight_fallback"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

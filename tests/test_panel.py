@@ -193,14 +193,50 @@ def test_folds():
 
 def test_weights_meet_the_optimality_conditions():
     rng = np.random.default_rng(3)
-    b = rng.normal(size=(60, 5))
-    cov, mu = b @ b.T * 0.01 + np.diag(rng.uniform(0.01, 0.05, 60)), rng.normal(size=60) * 0.05
-    w = portfolio.solve(mu, cov, 2.5, 0.08)
+    z, d, mu = rng.normal(size=(60, 5)) * 0.1, rng.uniform(0.01, 0.05, 60), rng.normal(size=60) * 0.05
+    cov = z @ z.T + np.diag(d)
+    w, left = portfolio.solve(mu, z, d, 2.5, 0.08)
     g = mu - 2.5 * cov @ w
     free = (w > 1e-6) & (w < 0.08 - 1e-6)
-    assert math.isclose(w.sum(), 1) and w.min() >= 0 and w.max() <= 0.08 + 1e-12
-    assert np.ptp(g[free]) < 1e-4 and g[w <= 1e-6].max(initial=-9) <= g[free].min() + 1e-4 and g[w >= 0.08 - 1e-6].min(initial=9) >= g[free].max() - 1e-4
-    assert portfolio.solve(mu, cov, 2.5, 0.01) is None
+    assert left < 1e-9 and math.isclose(w.sum(), 1) and w.min() >= 0 and w.max() <= 0.08 + 1e-12
+    assert np.ptp(g[free]) < 1e-6 and g[w <= 1e-6].max(initial=-9) <= g[free].min() + 1e-6 and g[w >= 0.08 - 1e-6].min(initial=9) >= g[free].max() - 1e-6
+    assert portfolio.solve(mu, z, d, 2.5, 0.01)[0] is None
+    # without bounds the optimum is known in closed form
+    w, left = portfolio.solve(mu, z, d, 2.5, short=True)
+    inv = np.linalg.inv(cov)
+    rest = (inv.sum(1) @ mu - 2.5) / inv.sum()
+    assert left < 1e-9 and np.allclose(w, inv @ (mu - rest) / 2.5, atol=1e-7) and w.min() < -0.05
+    w, _ = portfolio.solve(mu * 1e6, z, d, 2.5, short=True)
+    assert w.min() < -1000  # no bound of its own
+    _, left = portfolio.solve(mu, z, d, 2.5, 0.08, rounds=3)
+    assert left > portfolio.TOLERANCE
+
+
+def test_many_stocks_take_no_square_matrix():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    z, d, mu = rng.normal(size=(20_000, 51)) * 0.02, rng.uniform(1e-4, 1e-2, 20_000), rng.normal(size=20_000) * 0.01
+    tracemalloc.start()
+    w, left = portfolio.solve(mu, z, d, 2.5, 0.01)
+    low, high = risk.ends(z, np.eye(51), d)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert left <= portfolio.TOLERANCE and math.isclose(w.sum(), 1) and low[1] > 0 and high[0] > 0 and most < 1e9
+
+
+@pytest.mark.parametrize("low, high", [(0.0, 0.3), (-np.inf, 0.3), (0.0, np.inf), (-np.inf, np.inf), (-0.2, 0.5)])
+def test_projection(low, high):
+    rng = np.random.default_rng(1)
+    for scale in (1e-3, 1.0, 100.0):
+        v = rng.normal(size=9) * scale
+        p = portfolio.projected(v, low, high)
+        assert math.isclose(p.sum(), 1, abs_tol=1e-9) and p.min() >= low - 1e-12 and p.max() <= high + 1e-12
+        inner = (p > low + 1e-9) & (p < high - 1e-9)
+        shift = v - p
+        if inner.any():  # parts that aren't at a bound are all shifted alike, others more or less
+            s = shift[inner].mean()
+            assert np.allclose(shift[inner], s) and (shift[p <= low + 1e-9] <= s + 1e-9).all() and (shift[p >= high - 1e-9] >= s - 1e-9).all()
 
 
 def test_covariance_against_numpy(spark):
@@ -260,7 +296,8 @@ def test_covariance_matrix_against_pseudo_inverses(spark, monkeypatch, date, h):
     model = risk.risk_model(df, ["s1"], GROUPS, date, window)
     v = {(r.stock_i, r.stock_j): r.cov for r in risk.covariance_matrix(model, 4, h=h).collect()}
     _, _, want = plain_model(rows, range(12))
-    want = risk.shrunk(want) * h
+    low, high = np.linalg.eigvalsh(want)[[0, -1]]
+    want = (np.where(np.eye(12) > 0, want, 0.85 * want) if high > 1e4 * low else want) * h
     assert len(v) == 144 and np.allclose([[v[i, j] for j in range(12)] for i in range(12)], want, rtol=1e-6, atol=1e-12)
 
 
@@ -284,12 +321,25 @@ def test_covariance_without_returns_is_the_identity(spark):
 
 def test_ends_of_a_spectrum():
     rng = np.random.default_rng(6)
-    for n, k, least in ((5, 2, 1e-3), (200, 10, 1e-4), (300, 4, 1e-13)):
-        x, b = rng.normal(size=(n, k)), rng.normal(size=(k, k))
+    for n, k, least, rank in ((5, 2, 1e-3, 2), (200, 10, 1e-4, 10), (300, 4, 1e-13, 4), (50, 6, 1e-2, 2), (3, 5, 1.0, 5)):
+        x, b = rng.normal(size=(n, k)), rng.normal(size=(k, rank))
         fm, d = b @ b.T, rng.uniform(least, 1.0, n)
+        d[0] = d[-1]  # equal ones
         want = np.linalg.eigvalsh(x @ fm @ x.T + np.diag(d))
         low, high = risk.ends(x, fm, d)
-        assert math.isclose(high, want[-1], rel_tol=1e-6) and math.isclose(low, want[0], rel_tol=1e-3)
+        assert low[0] * (1 - 1e-6) <= want[0] <= low[1] * (1 + 1e-6) and high[0] * (1 - 1e-6) <= want[-1] <= high[1] * (1 + 1e-6)
+        assert math.isclose(low[0], low[1], rel_tol=1e-6) and math.isclose(high[0], high[1], rel_tol=1e-6)
+
+
+def test_conditioning_over_stocks(spark):
+    rng = np.random.default_rng(8)
+    x, fm = rng.normal(size=(40, 3)), np.diag([1.0, 0.5, 0.0])
+    for d in (rng.uniform(0.5, 1, 40), rng.uniform(1e-3, 1, 40), np.full(40, 1e-13), rng.uniform(0.02, 1, 40)):
+        ev = np.linalg.eigvalsh(x @ fm @ x.T + np.diag(d))
+        rows = spark.createDataFrame([(a.tolist(), float(v)) for a, v in zip(x, d, strict=True)], "x array<double>, var double").repartition(5)
+        for worst in (50.0, 1e3, 1e4):
+            assert risk.badly_conditioned(rows, fm, worst) == bool(ev[0] <= 1e-12 or ev[-1] / ev[0] > worst)
+    assert not risk.badly_conditioned(rows.limit(0), fm)
 
 
 def test_optimized_and_held(spark):
@@ -297,11 +347,16 @@ def test_optimized_and_held(spark):
     model = risk.risk_model(df, ["s1"], GROUPS)
     pred = df.select("ts", "stock", F.coalesce("s1", F.lit(0.0)).alias("prediction"))
     w = portfolio.optimized(pred, model, 4, interval=3, cap=0.3).toPandas()
-    assert w["ts"].nunique() == 3 and len(w) == 36
+    assert w["ts"].nunique() == 3 and len(w) == 36 and set(w["status"]) == {"solved"} and w["residual"].max() <= portfolio.TOLERANCE
     assert all(math.isclose(g["weight"].sum(), 1) and g["weight"].max() <= 0.3 + 1e-9 for _, g in w.groupby("ts"))
-    equal = portfolio.optimized(pred.withColumn("prediction", F.lit(0.0)), model, 4, interval=3).toPandas()
-    assert np.allclose(equal["weight"], 1 / 12)
-    weights = spark.createDataFrame(w)
+    equal = portfolio.optimized(pred.withColumn("prediction", F.lit(1e-9)), model, 4, interval=3).toPandas()
+    assert np.allclose(equal["weight"], 1 / 12) and set(equal["status"]) == {"none"} and equal["residual"].isna().all()
+    # stocks without a prediction count with 0; dates without any are left out
+    first = df.agg(F.min("ts")).first()[0]
+    few = portfolio.optimized(pred.where("stock < 4").withColumn("prediction", F.when(F.col("ts") != first, F.lit(-1.0))), model, 4, interval=3).toPandas()
+    assert few["ts"].nunique() == 2 and len(few) == 24 and few[few["stock"] < 4]["weight"].max() < 1e-9
+    assert set(portfolio.optimized(pred, model, 4, interval=3, cap=0.01).toPandas()["status"]) == {"capped"}
+    weights = spark.createDataFrame(w[["ts", "stock", "weight"]])
     kept = portfolio.held(weights, df, 3).toPandas()
     assert len(kept) == 108 and not kept["weight"].isna().any()
     short = portfolio.held(weights, df, 2).toPandas()
