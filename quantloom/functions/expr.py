@@ -37,12 +37,14 @@ CHUNK = 4096
 
 @dataclass(frozen=True, eq=False)
 class Expr:
-    """key tells what a node computes; make gives its Column from those of its parts."""
+    """key tells what a node computes; make gives its Column from those of its parts;
+    reach is how many rows before the current one it depends on."""
 
     kind: str
     key: tuple
     parts: tuple[Expr, ...] = ()
     make: Callable[..., Column] = field(default=None, repr=False)
+    reach: int = 0
 
     def __eq__(self, other):
         raise TypeError("compare expressions with equals()")
@@ -94,9 +96,9 @@ def _expr(x) -> Expr:
     return x if isinstance(x, Expr) else c(x) if isinstance(x, str) else lit(x)
 
 
-def _node(kind: str, name: str, make: Callable[..., Column], *parts) -> Expr:
+def _node(kind: str, name: str, make: Callable[..., Column], *parts, reach: int = 0) -> Expr:
     parts = tuple(map(_expr, parts))
-    return Expr(kind, (kind, name, *(p.key for p in parts)), parts, make)
+    return Expr(kind, (kind, name, *(p.key for p in parts)), parts, make, reach + max((p.reach for p in parts), default=0))
 
 
 def _cell(name: str, make: Callable[..., Column], *parts) -> Expr:
@@ -151,12 +153,12 @@ def both(condition: Expr, x) -> Expr:
 # over a stock's rows
 
 
-def _time(name: str, make: Callable[..., Column], *parts) -> Expr:
-    return _node(TIME, name, make, *parts)
+def _time(name: str, make: Callable[..., Column], *parts, reach: int = 0) -> Expr:
+    return _node(TIME, name, make, *parts, reach=reach)
 
 
 def delay(x, n: int) -> Expr:
-    return _time(f"lag {n}", lambda a: F.lag(a, n).over(by_stock()) if n >= 0 else F.lead(a, -n).over(by_stock()), x)
+    return _time(f"lag {n}", lambda a: F.lag(a, n).over(by_stock()) if n >= 0 else F.lead(a, -n).over(by_stock()), x, reach=max(n, 0))
 
 
 def delta(x, n: int) -> Expr:
@@ -182,7 +184,7 @@ def _block(w: int, back: bool):
 
 def _scan(name: str, agg: Callable[..., Column], x: Expr, w: int) -> tuple[Expr, Expr]:
     """agg of a window's part in its last row's block, and in the block before. The second is null where there is none."""
-    head = _time(f"head {w} {name}", lambda a, n: agg(a, n).over(_block(w, False)(n)), x, row())
+    head = _time(f"head {w} {name}", lambda a, n: agg(a, n).over(_block(w, False)(n)), x, row(), reach=w - 1)
     tail = _time(f"tail {w} {name}", lambda a, n: agg(a, n).over(_block(w, True)(n)), x, row())
     return head, _cell(f"unless at {w}", lambda a, n: F.when(n % w != w - 1, a), delay(tail, w - 1), row())
 
@@ -248,7 +250,7 @@ def decay(x, n: int, newest_first: bool = False) -> Expr:
 
 def rank_in_time(x, w: int) -> Expr:
     """The share of the other values of the window that are smaller."""
-    return _node(ORDER, f"rank {w}", None, x, row())
+    return _node(ORDER, f"rank {w}", None, x, row(), reach=w - 1)
 
 
 # over a date's stocks

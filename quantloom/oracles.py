@@ -371,7 +371,11 @@ select g.ts, g.stock, (select max(net_income) from f where f.ts = g.ts and f.sto
     o["held_weights"] = f"{p}, {w}, fw as (select ts, stock, last_value(weight ignore nulls) over (partition by stock order by ts rows between 4 preceding and current row) weight from vw where stock in (select stock from vw where weight is not null)) select ts, stock, {r6('weight')} from fw"
     prep = f"{held}, pw as (select ts, stock, coalesce(weight / nullif(sum(weight) over (partition by ts), 0), 0) w from hw)"
     o["prepare_weights"] = f"{p}, {sw}, {kept(3)}, pw as (select ts, stock, coalesce(weight / nullif(sum(weight) over (partition by ts), 0), 0) w from hw) select ts, stock, {r6('w', 'weight')} from pw"
-    o["slippage_tiers"] = f"{p} select stock, row_number() over (order by stock)::int place, case when row_number() over (order by stock) <= 4 then 13.0 when row_number() over (order by stock) <= 40 then 20.0 else 50.0 end::double bps from (select distinct stock from bars)"
+    scaled = sw.replace("vw as (select p1.ts, stock, case", "v0 as (select p1.ts, stock, case") + ", vw as (select ts, stock, weight * case month(ts) when 2 then 0.5::double when 3 then 2.0::double else 1.0::double end weight from v0)"
+    o["weight_totals"] = f"{p}, {scaled}, {kept(3)}, tt as (select ts, sum(weight) t from hw group by ts having sum(weight) is not null) select ts, {r6('t', 'total')}, case when abs(t) < 1e-6 then 'zero' when t < 1 - 1e-6 then 'under' when t > 1 + 1e-6 then 'over' else 'one' end state from tt"
+    o["unscaled_weights"] = f"{p}, {sw}, {kept(3)} select ts, stock, {r6('coalesce(weight, 0)', 'weight')} from hw"
+    o["factor_cache_grows"] = o["factor_liquidity_test"]
+    o["slippage_tiers"] = f"{p} select stock, row_number() over (order by stock)::int place, case when row_number() over (order by stock) <= 4 then 13.0 when row_number() over (order by stock) <= 40 then 20.0 when row_number() over (order by stock) <= 80 then 50.0 else 70.0 end::double bps from (select distinct stock from bars)"
     trades = f"{prep}, rt as (select ts, stock, close, lead(close) over (partition by stock order by ts) / nullif(close, 0) - 1 r from pf), td as (select rt.ts, rt.stock, coalesce(w, 0) w, r, close from rt left join pw on pw.ts = rt.ts and pw.stock = rt.stock where rt.ts in (select ts from rt where r is not null)), dd as (select *, w - coalesce(lag(w) over (partition by stock order by ts), 0) dw from td), dy as (select ts, sum(w * coalesce(r, 0)) gross, sum(abs(dw)) turnover from dd group by ts)"
     g = f"{f}, {w}, {trades}"
     o["gross_return"] = f"{g} select ts, {r6('gross')} from dy"

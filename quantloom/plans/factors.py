@@ -13,12 +13,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quantloom.functions import expr as e
 from quantloom.functions import scalar as sc
 from quantloom.functions.expr import Expr, c
 from quantloom.operators.evaluate import covered
-from quantloom.operators.panel import require, split_dates
+from quantloom.operators.panel import numbered_dates, require, split_dates
+from quantloom.sources.files import cache_key
+from quantloom.streaming import snapshot
 
 
 @dataclass(frozen=True)
@@ -76,18 +79,45 @@ def finished(df: DataFrame, of: dict[str, Settings]) -> DataFrame:
     return e.computed(df, {k: settled(e.c(k), s, "sic_code" in df.columns) for k, s in of.items()})
 
 
-def evaluated(panel: DataFrame, names: list[str] | None = None, scale: int | dict[str, int] = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """ts, stock, the columns `keep`, and a column for each factor. panel: dense.
-
-    scale: panel days a row, for all factors or by name (1 for others)."""
+def expressions(names: list[str] | None = None, scale: int | dict[str, int] = 1, classified: bool = True) -> dict[str, Expr]:
+    """Factors (all, if none are named) with their settings. scale: panel days a row, for all or by name (1 for others)."""
     by_name = scale if isinstance(scale, dict) else dict.fromkeys(FACTORS, scale)
     names = list(FACTORS) if names is None else names
     if unknown := [n for n in names if n not in FACTORS]:
         raise ValueError(f"no such factor: {', '.join(unknown)}")
-    df = require(panel, "ts", "stock", "close", *keep)
     clean = lambda x: e.cell("clean", sc.clean, x)
-    made = {n: settled(clean(FACTORS[n].value(by_name.get(n, 1))), FACTORS[n].settings, "sic_code" in df.columns) for n in names}
-    return e.computed(df, made, keep)
+    return {n: settled(clean(FACTORS[n].value(by_name.get(n, 1))), FACTORS[n].settings, classified) for n in names}
+
+
+def evaluated(panel: DataFrame, names: list[str] | None = None, scale: int | dict[str, int] = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ts, stock, the columns `keep`, and a column for each factor; see expressions(). panel: dense."""
+    df = require(panel, "ts", "stock", "close", *keep)
+    return e.computed(df, expressions(names, scale, "sic_code" in df.columns), keep)
+
+
+def grown(panel: DataFrame, folder: str, source: str, names: list[str], scale: int | dict[str, int] = 1) -> DataFrame:
+    """ts, stock and factors of all dates of panel (dense), from a table in folder that
+    grows: dates after its last are computed, from a panel that goes back as far
+    as the factors reach, and put beside the others, which aren't written again.
+
+    source names the panel's data; another source, other factors or other scales
+    are another table. Dates that are there are taken as they are, so a panel
+    whose past has changed needs another name.
+    """
+    spark = panel.sparkSession
+    made = expressions(names, scale, "sic_code" in panel.columns)
+    table = f"{folder}/factors-{cache_key(source, names, scale=scale)}"
+    schema = ", ".join(["ts date", f"stock {dict(panel.dtypes)['stock']}", *(f"`{n}` double" for n in names)])
+    last = snapshot.read(spark, table, schema).agg(F.max("ts")).first()[0]
+    dates = numbered_dates(panel)
+    new = dates if last is None else dates.where(F.col("ts") > F.lit(last))
+    start = new.agg(F.min("rn").alias("rn")).first().rn
+    if start is not None:
+        reach = max(x.reach for x in made.values())
+        first = dates.where(F.col("rn") == max(0, start - reach)).first().ts
+        rows = e.computed(panel.where(F.col("ts") >= F.lit(first)), made)
+        snapshot.upsert(rows if last is None else rows.where(F.col("ts") > F.lit(last)), table)
+    return snapshot.read(spark, table, schema)
 
 
 def modelled(panel: DataFrame, names: list[str], scale: int | dict[str, int] = 1, least: float = 0.5) -> DataFrame:

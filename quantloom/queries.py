@@ -12,6 +12,7 @@ from quantloom.functions import scalar as sc
 from quantloom.functions import expr, ts, xs
 from quantloom.operators import backtest as bt
 from quantloom.operators import clean, evaluate, panel, portfolio, regress, risk
+from quantloom.plans import factors
 from quantloom.plans.factors import FACTORS, Settings, evaluated, finished, modelled
 from quantloom.session import shared_folder
 from quantloom.sources import connector, files, fixture
@@ -249,6 +250,14 @@ def user_factor(s, d):
     return r6(expr.computed(filled(s, d), {"v": -expr.rank(expr.zscore(expr.returns("close"), 252))}))
 
 
+def factor_cache_grows(s, d):
+    """A factor of the first 250 weeks, kept; then of all, of which the rest is computed from as far back as it reaches."""
+    folder, df = _top(s, "cache"), filled(s, d)
+    first = panel.numbered_dates(df).where("rn < 250").select("ts")
+    factors.grown(df.join(F.broadcast(first), "ts", "left_semi"), folder, "weekly", ["liquidity_test"])
+    return r6(factors.grown(df, folder, "weekly", ["liquidity_test"]).withColumnRenamed("liquidity_test", "z"))
+
+
 def _ic(s, d):
     return evaluate.coefficients(_signal(s, d), ["x"])
 
@@ -411,7 +420,18 @@ def held_weights(s, d):
 
 
 def slippage_tiers(s, d):
-    return bt.slippage(bars(s, d), ((4, 13.0), (40, 20.0), (80, 50.0)))
+    return bt.slippage(bars(s, d), ((4, 13.0), (40, 20.0), (80, 50.0)), 70.0)
+
+
+def weight_totals(s, d):
+    """Totals of weights that are held, halved in February and doubled in March."""
+    scaled = F.col("weight") * F.when(F.month("ts") == 2, 0.5).when(F.month("ts") == 3, 2.0).otherwise(1.0)
+    return r6(bt.totals(staggered(s, d).withColumn("weight", scaled), 4))
+
+
+def unscaled_weights(s, d):
+    """Weights as they are, without scaling."""
+    return r6(bt.prepared(staggered(s, d), 4, unit_sum=False))
 
 
 def _daily(s, d):
@@ -607,9 +627,9 @@ _COLUMNS: dict[str, Query] = {
 _PLAIN = """scan_panel densify calendar_reindex unpivot_long pivot_wide split_dates slice_stock drop_all_null_dates incomplete_dates
 upsert_latest_date union_by_name anti_join_new_dates stride_dates explode_tickers_last nan_handling semi_join_common_stock top_n_ticker top_n_cik
 clean_data asof_rf asof_benchmark sic_division industry_ranges ffill_limit first_usable_date settings_default settings_decay1 safe_settings_no_sic
-estimated_market_cap rsi rsi_strict common_stocks attribute_set factor_engine all_factors long_windows user_factor ic_1d rank_ic icir_summary icir_intervals coverage_filter impute_medians ols_1factor results_by_horizon predict_returns kfold_tune
+estimated_market_cap rsi rsi_strict common_stocks attribute_set factor_engine all_factors long_windows user_factor factor_cache_grows ic_1d rank_ic icir_summary icir_intervals coverage_filter impute_medians ols_1factor results_by_horizon predict_returns kfold_tune
 walk_forward_splits walk_forward_tune ewma_weights factor_returns_pinv factor_residuals factor_covariance specific_variance industry_exposures covariance_matrix covariance_matrix_as_of optimize_weights
-optimize_equal_weight_fallback held_weights weights_by_horizon hold_weights prepare_weights slippage_tiers gross_return turnover equity_drawdown metrics_ungated benchmark_metrics
+optimize_equal_weight_fallback held_weights weights_by_horizon hold_weights prepare_weights weight_totals unscaled_weights slippage_tiers gross_return turnover equity_drawdown metrics_ungated benchmark_metrics
 report_metrics plot_series weight_summary backtest_gated_costs event_bars stream_upsert snapshot_as_of stream_out_of_order landed_bars landed_bars_stream landed_statements
 wide_csv written_panel read_or_empty column_order""".split()
 

@@ -125,16 +125,6 @@ def cache_key(source: str, names: list[str], **params) -> str:
     return hashlib.sha256(told.encode()).hexdigest()[:16]
 
 
-def cached_factors(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
-    """The factors kept under key, else those that make() gives, which are kept."""
-    path = f"{folder}/factors-{key}.parquet"
-    found = read_if_there(spark, path)
-    if found is None:
-        write_panel(make(), path)
-        found = spark.read.parquet(path)
-    return found
-
-
 def write_horizon(df: DataFrame, folder: str, holding_period: int) -> None:
     """Results of a holding period (regressions, weights), in a folder of their own: those of others stay."""
     df.withColumn("holding_period", F.lit(holding_period)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("holding_period").parquet(folder)

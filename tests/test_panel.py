@@ -450,15 +450,38 @@ def test_written_files(spark, tmp_path):
         files.read_or_empty(spark, str(tmp_path / "bad.parquet"), "x double").count()
 
 
-def test_factor_cache(spark, tmp_path):
-    calls = []
-    make = lambda: calls.append(1) or frame(spark, [1.0, 2.0])
-    key = files.cache_key("p", ["x"], scale=5)
-    assert key != files.cache_key("p", ["x"], scale=6)
-    for _ in range(2):
-        assert files.cached_factors(spark, str(tmp_path), key, make).count() == 2
-    assert len(calls) == 1
+def test_factor_cache_grows(spark, tmp_path):
+    """What is added equals a full run, is computed from no more than what the factors reach, and leaves the rest as it was."""
+    from quantloom.queries import filled
+    from quantloom.streaming import snapshot
+
+    names = ["mean_reversion_5", "mean_reversion_2", "liquidity_barra", "short_term_reversal_barra"]
+    df = filled(spark, "/root/testdata/sf0.001").drop("sic_code").cache()
+    days = sorted(r.ts for r in df.select("ts").distinct().collect())
+    full = {(r.ts, r.stock): r for r in factors.evaluated(df, names, 5).collect()}
+    for end in (200, 203, 203, len(days)):
+        kept = factors.grown(df.where(F.col("ts") <= F.lit(days[end - 1])), str(tmp_path), "p", names, 5).collect()
+        assert len(kept) == end * 10
+        for r in kept:
+            for n in names:
+                a, b = r[n], full[r.ts, r.stock][n]
+                assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
+    assert any(r[n] is not None for r in kept for n in names)
+    table = next(tmp_path.glob("factors-*"))
+    assert snapshot.version(spark, str(table)) == 3  # nothing new, nothing written
+    last = snapshot._current(snapshot._Store(spark, str(table)))[1]["versions"]
+    assert sorted(map(len, last.values())) == [3, len(days) - 203, 200]
+    reach = max(x.reach for x in factors.expressions(names, 5).values())
+    assert 50 < reach < 130 and factors.expressions(["mean_reversion_0"])["mean_reversion_0"].reach == 1 + 251 + 3
+    assert files.cache_key("p", ["x"], scale=5) != files.cache_key("p", ["x"], scale=6)
     assert files.read_or_empty(spark, str(tmp_path / "none"), "ts date, stock string").count() == 0
+    # a past that isn't asked for isn't read
+    late = df.where(F.col("ts") >= F.lit(days[-reach - 6]))
+    rows = factors.evaluated(late, names, 5).where(F.col("ts") > F.lit(days[-6])).collect()
+    for r in rows:
+        for n in names:
+            a, b = r[n], full[r.ts, r.stock][n]
+            assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
 
 
 def test_backtest_by_hand(spark):
@@ -510,6 +533,44 @@ def test_weights_are_held_stock_by_stock(spark):
     assert [r.weight for r in bt.hold(w, 1).orderBy("ts", "stock").collect()] == [1.0, None, None, 1.0, None, None, None, None]
 
 
+def test_gate_and_least_charges_against_plain_folds(spark):
+    rng = np.random.default_rng(12)
+    rows = [(DAY + dt.timedelta(i), s, float(rng.choice([0.0, 0.0004, 0.01, 0.2, 0.2003]))) for s in "abc" for i in range(40)]
+    w = spark.createDataFrame(rows, "ts date, stock string, weight double").repartition(7)
+    got_ = {(r.stock, r.ts): r.traded for r in bt.gated(w, 0.0005).collect()}
+    for s in "abc":
+        now = 0.0
+        for ts, _, v in sorted(r for r in rows if r[1] == s):
+            now = v if abs(v - now) >= 0.0005 else now
+            assert got_[s, ts] == now
+    p = spark.createDataFrame([(DAY + dt.timedelta(i), s, float(rng.uniform(5, 5000))) for s in "abc" for i in range(41)], "ts date, stock string, close double")
+    t = bt.trades(p, bt.prepared(w.where("weight > 0")), 0.0)
+    lots = {}
+    for r in t.collect():
+        lots.setdefault(r.ts, []).append(r)
+    run = bt.run(p, w.where("weight > 0"), bt.Config(least_trade=0.0, capital=1e4)).orderBy("ts").collect()
+    some = [0, 0]
+    for r in run:
+        fees = [abs(x.dw) * r.equity / x.price * 0.005 for x in lots[r.ts] if x.dw]
+        some = [some[0] + sum(f < 1 for f in fees), some[1] + sum(f > 1 for f in fees)]
+        want = sum(max(1.0, f) for f in fees) + sum(abs(x.dw) * x.bps / 1e4 for x in lots[r.ts]) * r.equity
+        assert math.isclose(r.cost, want, rel_tol=1e-9)
+    assert min(some) > 5
+
+
+def test_totals_of_weights(spark):
+    day = lambda i: DAY + dt.timedelta(i)
+    w = spark.createDataFrame([(day(0), "a", 0.5), (day(0), "b", 0.5), (day(1), "a", 0.4), (day(2), "a", 0.4), (day(2), "b", 1.0), (day(3), "a", 1e-7), (day(4), "a", None)], "ts date, stock string, weight double")
+    assert [(r.ts, r.state) for r in bt.totals(w).orderBy("ts").collect()] == [(day(0), "one"), (day(1), "under"), (day(2), "over"), (day(3), "zero")]
+    with pytest.warns(RuntimeWarning, match="1 dates"):
+        assert bt.warned(w) == 1
+    with pytest.raises(Exception, match="add up to 0"):
+        bt.prepared(w).collect()
+    assert bt.prepared(w, tolerance=1e-9).where("ts = date'2024-01-05'").count() >= 0
+    assert sorted(r.weight for r in bt.prepared(w, unit_sum=False).collect()) == [0.0, 1e-7, 0.4, 0.4, 0.5, 0.5, 1.0]
+    assert [r.bps for r in bt.slippage(w, ((1, 3.0),), 9.0).orderBy("stock").collect()] == [3.0, 9.0]
+
+
 def test_weights_that_add_up_to_nothing(spark):
     w = spark.createDataFrame([(DAY, "a", 1.0), (DAY, "b", -1.0)], "ts date, stock string, weight double")
     with pytest.raises(Exception, match="add up to 0"):
