@@ -159,6 +159,13 @@ def walk_forward_folds(df: DataFrame, train: int, val: int, step: int, kind: str
     )
 
 
+def _validated(df: DataFrame, train: int, val: int, step: int, kind: str) -> DataFrame:
+    """ts, part: the dates on which each fold validates."""
+    d = numbered_dates(df)
+    spans = df.sparkSession.createDataFrame([(i, c, e) for i, (_, _, c, e) in enumerate(folds(d.count(), train, val, step, kind))], "part int, c int, e int")
+    return spans.select("part", F.explode(F.sequence(F.col("c"), F.col("e") - 1)).alias("rn")).join(d.select("ts", "rn"), "rn").select("ts", "part")
+
+
 def _date_sums(df: DataFrame, factors: list[str], y: str) -> DataFrame:
     """ts, s: per date the sums of products of (1, factors, y) over complete rows."""
     names = ["_one", *factors, y]
@@ -219,8 +226,8 @@ def walk_forward_tuned(df: DataFrame, factors: list[str], train: int, val: int,
     of = dates.groupBy(F.col("fold").alias("part"), (F.col("ts") >= F.col("val_from")).alias("_val")).agg(_added("s", size).alias("s"))
     parts = of.groupBy("part").agg(F.max(F.when(~F.col("_val"), F.col("s"))).alias("seen"), F.max(F.when(F.col("_val"), F.col("s"))).alias("held")).where("seen is not null and held is not null")
     e = _errors(parts, len(factors), kind, list(alphas), l1_ratio).withColumn("rmse", F.sqrt("val_mse"))
-    asked = spans.select(F.col("fold").alias("part"), "val_from", "val_to").join(e.select("part", "alpha", "w"), "part")  # folds x alphas rows
-    held = df.select("ts", *factors, y).na.drop("any").join(F.broadcast(asked), F.col("ts").between(F.col("val_from"), F.col("val_to")))
+    asked = _validated(df, train, val, step, how).join(e.select("part", "alpha", "w"), "part")
+    held = df.select("ts", *factors, y).na.drop("any").join(asked, "ts")
     guess = sum((F.col(c) * F.get("w", F.lit(i + 1)) for i, c in enumerate(factors)), F.get("w", F.lit(0)))
     mae = held.groupBy("part", "alpha").agg(F.avg(F.abs(F.col(y) - guess)).alias("mae"))
     e = e.join(mae, ["part", "alpha"])
