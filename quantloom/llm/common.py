@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.session import work_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -21,23 +22,9 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one named in
-    spark.checkpoint.dir, else one already set on the context. Only a local
-    master, where all is one process, may fall back on a temporary folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def cut_path(spark: SparkSession, what: str = "cut") -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the application's work folder, which driver and executors share (clear_work() removes it)."""
+    return f"{work_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

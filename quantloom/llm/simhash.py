@@ -117,10 +117,10 @@ def outline(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
-    """_id, _tag, fp per row of docs; with least, also of the set of shingles: s (its hash), n (size), keys (rarest), o0, ... (outline)."""
+    """_id, _tag, fp per row of docs; with least, also of the set of shingles: s (128 bits that stand for it), n (size), keys (rarest), o0, ... (outline)."""
     source = docs.select(F.col(id_col).alias("_id"), row_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
     counts = counters(docs, width, text_col) if least is not None else None
-    more = {} if least is None else {"s": "long", "n": "int", "keys": "array<long>"} | {f"o{i}": "long" for i in range(OUTLINE)}
+    more = {} if least is None else {"s": "binary", "n": "int", "keys": "array<long>"} | {f"o{i}": "long" for i in range(OUTLINE)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,12 +130,12 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
                 fps.append(fingerprint(h))
                 if least is not None:
                     h = np.unique(h)
-                    sets.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), len(h)))
+                    sets.append((xxhash.xxh128_digest(h.tobytes(), SEED), len(h)))
                     keys.append(rarest(h, counts.value, least).view(np.int64) if len(h) else [])
                     lines.append(outline(h))
             extra = []
             if least is not None:
-                extra = [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                extra = [pa.array([x[0] for x in sets], pa.binary()), pa.array([x[1] for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
                 extra += [pa.array([x[i] for x in lines], pa.int64()) for i in range(OUTLINE)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), *extra], ["_id", "_tag", "fp", *more])
 
