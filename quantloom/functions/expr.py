@@ -7,11 +7,12 @@ column in an earlier step, and takes the steps of all expressions together:
 windows over time first, those over stocks after them, over time again, and so
 on. Nodes that are equal are made once, whichever expressions hold them.
 
-Windows over time are linear in the rows, whatever their length w. Rows are cut
-into blocks of w; a window is the end of one block and the beginning of the
-next, so its sum is a running sum from the block's end, looked up w - 1 rows
-back, and one from the next block's beginning. Only values of the window take
-part: one that is huge, or not a number, is gone when it leaves the window.
+Windows over time are linear in the rows, whatever their length w (short ones
+are gone through for each row, which costs less). Rows are cut into blocks of w;
+a window is the end of one block and the beginning of the next, so its sum is a
+running sum from the block's end, looked up w - 1 rows back, and one from the
+next block's beginning. Only values of the window take part: one that is huge,
+or not a number, is gone when it leaves the window.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quantloom.functions import scalar as sc
 from quantloom.functions import xs
-from quantloom.functions.ts import by_stock
+from quantloom.functions.ts import by_stock, rows
 
 CELL, TIME, STOCKS, ORDER = "cell", "time", "stocks", "order"
+#: Windows up to this length are gone through for each row, which costs less than blocks; the values that take part are the same.
+SHORT = 32
 #: Rows of a stock that time ranks are computed on together, at least.
 CHUNK = 4096
 
@@ -189,6 +192,11 @@ def _scan(name: str, agg: Callable[..., Column], x: Expr, w: int) -> tuple[Expr,
     return head, _cell(f"unless at {w}", lambda a, n: F.when(n % w != w - 1, a), delay(tail, w - 1), row())
 
 
+def _frame(name: str, agg: Callable[[Column], Column], x: Expr, w: int) -> Expr:
+    """agg of a full window that is short enough to be gone through for each row."""
+    return _time(f"frame {name}", lambda a: F.when(F.count(a).over(rows(w)) == w, agg(a).over(rows(w))), x, reach=w - 1)
+
+
 def full(x, w: int) -> Expr:
     """Whether all of the last w values are there."""
     gap = _time("gap", lambda a, n: F.max(F.when(a.isNull(), n)).over(by_stock().rowsBetween(Window.unboundedPreceding, 0)), x, row())
@@ -198,8 +206,11 @@ def full(x, w: int) -> Expr:
 def sum_(x, w: int, missing: float | None = 0.0) -> Expr:
     """A window that is not full gives `missing`."""
     x = _expr(x)
-    head, tail = _scan("sum", lambda a, n: F.sum(a), x, w)
-    total = both(full(x, w), head + or_zero(tail))
+    if w <= SHORT:
+        total = _frame(f"sum {w}", lambda a: F.sum(a), x, w)
+    else:
+        head, tail = _scan("sum", lambda a, n: F.sum(a), x, w)
+        total = both(full(x, w), head + or_zero(tail))
     return total if missing is None else _cell(f"or {missing}", lambda a: F.coalesce(a, F.lit(float(missing))), total)
 
 
@@ -210,6 +221,8 @@ def mean(x, w: int) -> Expr:
 def std(x, w: int) -> Expr:
     """Deviations of the two parts from their own means, and of these from each other."""
     x = _expr(x)
+    if w <= SHORT:
+        return _frame(f"std {w}", lambda a: F.stddev_samp(a), x, w)
     (m1, m2), (v1, v2) = _scan("avg", lambda a, n: F.avg(a), x, w), _scan("var", lambda a, n: F.var_pop(a), x, w)
 
     def joined(ok, m1, m2, v1, v2, n):
