@@ -394,6 +394,27 @@ class _Steps:
     def own(self, e: Expr) -> Column:
         return e.make(*map(self.column, e.parts))
 
+    def settled(self, outputs: list[Expr], stage: int) -> dict[str, Column]:
+        """Columns for the cells that later stages and the outputs read and that can be made by
+        now, so that these go through the next exchange and not all that they are made of."""
+        found: dict[tuple, Expr] = {}
+
+        def walk(e: Expr) -> None:
+            if e.key in self.names or not e.parts:
+                return
+            if e.kind == CELL and self.place(e)[0] <= stage:
+                found[e.key] = e
+            else:
+                for p in e.parts:
+                    walk(p)
+
+        for e in (*(n for at, nodes in self.made.items() if at[0] > stage for n in nodes), *outputs):
+            walk(e) if e.kind == CELL else [walk(p) for p in e.parts]
+        made = {f"_c{len(self.names) + i}": e for i, e in enumerate(found.values())}
+        columns = {name: self.own(e) for name, e in made.items()}
+        self.names.update({e.key: name for name, e in made.items()})
+        return columns
+
     def needed(self, outputs: list[Expr], at: tuple[int, int]) -> set[str]:
         """Columns, of the panel and made, that this step, later ones and the outputs read."""
         whole = Expr(CELL, (CELL, "all"), tuple(outputs))
@@ -411,6 +432,8 @@ def computed(df: DataFrame, outputs: dict[str, Expr], keep: tuple[str, ...] = ()
     stage = 0
     for at in sorted(x for x, nodes in steps.made.items() if nodes):
         if at[0] != stage:
+            df = df.withColumns(steps.settled(list(outputs.values()), stage))
+            df = df.select("ts", "stock", *[F.col(f"`{x}`") for x in df.columns if x in steps.needed(list(outputs.values()), at) or x in keep])
             stage = at[0]
             if stage % 2:  # windows by date and group then need no exchange of their own
                 df = df.repartition("ts")
