@@ -394,22 +394,27 @@ class _Steps:
     def own(self, e: Expr) -> Column:
         return e.make(*map(self.column, e.parts))
 
-    def settled(self, outputs: list[Expr], stage: int) -> dict[str, Column]:
-        """Columns for the cells that later stages and the outputs read and that can be made by
-        now, so that these go through the next exchange and not all that they are made of."""
+    def settled(self, outputs: list[Expr], have: set[str]) -> dict[str, Column]:
+        """Columns for the cells that what isn't made yet and the outputs read and that can be
+        made of the columns that are there, so that these go through the next
+        exchange and not all that they are made of."""
         found: dict[tuple, Expr] = {}
 
+        def ready(e: Expr) -> bool:
+            return self.names[e.key] in have if e.key in self.names else all(map(ready, e.parts))
+
         def walk(e: Expr) -> None:
             if e.key in self.names or not e.parts:
                 return
-            if e.kind == CELL and self.place(e)[0] <= stage:
+            if e.kind == CELL and ready(e):
                 found[e.key] = e
             else:
                 for p in e.parts:
                     walk(p)
 
-        for e in (*(n for at, nodes in self.made.items() if at[0] > stage for n in nodes), *outputs):
-            walk(e) if e.kind == CELL else [walk(p) for p in e.parts]
+        open_ = [n for nodes in self.made.values() for n in nodes if self.names[n.key] not in have]
+        for e in (*(p for n in open_ for p in n.parts), *outputs):
+            walk(e)
         made = {f"_c{len(self.names) + i}": e for i, e in enumerate(found.values())}
         columns = {name: self.own(e) for name, e in made.items()}
         self.names.update({e.key: name for name, e in made.items()})
@@ -429,16 +434,16 @@ def computed(df: DataFrame, outputs: dict[str, Expr], keep: tuple[str, ...] = ()
     for e in outputs.values():
         steps.place(e)
     steps.late()
-    stage = 0
+    stage, results = 0, list(outputs.values())
     for at in sorted(x for x, nodes in steps.made.items() if nodes):
+        if at[0] != stage or any(e.kind == ORDER for e in steps.made[at]):
+            df = df.withColumns(steps.settled(results, set(df.columns)))
+        names = steps.needed(results, at)
+        df = df.select("ts", "stock", *[F.col(f"`{x}`") for x in df.columns if x not in ("ts", "stock") and (x in names or x in keep)])
         if at[0] != stage:
-            df = df.withColumns(steps.settled(list(outputs.values()), stage))
-            df = df.select("ts", "stock", *[F.col(f"`{x}`") for x in df.columns if x in steps.needed(list(outputs.values()), at) or x in keep])
             stage = at[0]
             if stage % 2:  # windows by date and group then need no exchange of their own
                 df = df.repartition("ts")
-        names = steps.needed(list(outputs.values()), at)
-        df = df.select("ts", "stock", *[F.col(f"`{x}`") for x in df.columns if x not in ("ts", "stock") and (x in names or x in keep)])
         windows = {steps.names[e.key]: steps.own(e) for e in steps.made[at] if e.kind != ORDER}
         df = df.withColumns(windows) if windows else df
         orders = [e for e in steps.made[at] if e.kind == ORDER]
