@@ -16,6 +16,8 @@ execution); counts are added up before they move.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     made = cut(df.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = sorted(made.groupBy(part.alias("p")).count().collect())
-    before = df.sparkSession.createDataFrame([(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)], "_p long, _n long")
+    ends = [0, *accumulate(n for _, n in sizes)]
+    before = df.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(sizes, ends, strict=False)], "_p long, _n long")
     place = F.col("_n") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return made.join(F.broadcast(before), part == F.col("_p")).select(*df.columns, place.alias(name))
 
