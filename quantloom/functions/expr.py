@@ -394,10 +394,10 @@ class _Steps:
     def own(self, e: Expr) -> Column:
         return e.make(*map(self.column, e.parts))
 
-    def settled(self, outputs: list[Expr], have: set[str]) -> dict[str, Column]:
-        """Columns for the cells that what isn't made yet and the outputs read and that can be
-        made of the columns that are there, so that these go through the next
-        exchange and not all that they are made of."""
+    def settled(self, outputs: list[Expr], open_: list[Expr], have: set[str]) -> dict[str, Column]:
+        """Columns for the cells that the nodes which aren't made yet and the outputs read and
+        that can be made of the columns that are there, so that these go through
+        the next exchange and not all that they are made of."""
         found: dict[tuple, Expr] = {}
 
         def ready(e: Expr) -> bool:
@@ -412,7 +412,6 @@ class _Steps:
                 for p in e.parts:
                     walk(p)
 
-        open_ = [n for nodes in self.made.values() for n in nodes if self.names[n.key] not in have]
         for e in (*(p for n in open_ for p in n.parts), *outputs):
             walk(e)
         made = {f"_c{len(self.names) + i}": e for i, e in enumerate(found.values())}
@@ -437,7 +436,7 @@ def computed(df: DataFrame, outputs: dict[str, Expr], keep: tuple[str, ...] = ()
     stage, results = 0, list(outputs.values())
     for at in sorted(x for x, nodes in steps.made.items() if nodes):
         if at[0] != stage or any(e.kind == ORDER for e in steps.made[at]):
-            df = df.withColumns(steps.settled(results, set(df.columns)))
+            df = df.withColumns(steps.settled(results, [e for x, nodes in steps.made.items() if x >= at for e in nodes], set(df.columns)))
         names = steps.needed(results, at)
         df = df.select("ts", "stock", *[F.col(f"`{x}`") for x in df.columns if x not in ("ts", "stock") and (x in names or x in keep)])
         if at[0] != stage:
