@@ -158,14 +158,10 @@ def _may(least: float) -> Column:
     return (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need) & (_apart() <= both - need * 2)
 
 
-def _paired(df: DataFrame, *more: Column | str) -> DataFrame:
-    return df.select(F.col("x.s").alias("xs"), F.col("x.fp").alias("xf"), F.col("y.s").alias("ys"), F.col("y.fp").alias("yf"), *more).distinct()
-
-
-def _holders(fps: DataFrame, one: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, y (set, fp, n, pos: place of the key in the set's order, outline) for the keys that several sets hold."""
-    sets = fps.where("n > 0").groupBy("s").agg(F.first("keys").alias("keys"))
-    keyed = sets.select("s", F.posexplode("keys").alias("pos", "key")).repartition("key")
+def _holders(keyed: DataFrame, one: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, y (set, fp, n, pos: place of the key in the set's order, outline) for the keys
+    that several sets hold. keyed: s, keys. Keys meet with no more than their set's number."""
+    keyed = keyed.select("s", F.posexplode("keys").alias("pos", "key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     lines = [f"o{i}" for i in range(OUTLINE)]
     return scratch.cut(keyed.join(shared, "key").join(one.select("s", "fp", "n", *lines), "s").select("key", F.struct("s", "fp", "n", "pos", *lines).alias("y")))
@@ -175,7 +171,8 @@ def _stars(held: DataFrame, least: float) -> DataFrame:
     """Pairs of the sets of a key with one of them: one that has few shingles rarer
     than the key, as the original of a family of copies."""
     centre = F.min(F.struct("y.pos", F.xxhash64("y.s").alias("h"), "y"))
-    return _paired(held.join(held.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.y").alias("x")), "key").where("x.fp != y.fp").where(_may(least)))
+    met = held.join(held.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.y").alias("x")), "key").where("x.fp != y.fp").where(_may(least))
+    return met.select(F.col("x.s").alias("xs"), F.col("x.fp").alias("xf"), F.col("y.s").alias("ys"), F.col("y.fp").alias("yf")).distinct()
 
 
 def _rooted(df: DataFrame, edges: DataFrame, **cols: str) -> DataFrame:
@@ -189,15 +186,32 @@ def _rooted(df: DataFrame, edges: DataFrame, **cols: str) -> DataFrame:
 
 def _across(held: DataFrame, edges: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """All pairs of sets that have a key in common, may be alike and aren't connected
-    by edges, with the roots xr and yr and apart. Keys that many hold are paired in
-    blocks, so no task gets all pairs of a key."""
-    held = scratch.cut(_rooted(held, edges, r="y.fp"))
-    open_ = held.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("a < b").select("key", "blocks")
-    live = scratch.cut(held.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("y.s"), F.col("blocks")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = live.select("key", F.col("y").alias("x"), F.col("r").alias("xr"), F.col("own").alias("i"), other.alias("j"))
-    right = live.select("key", "y", F.col("r").alias("yr"), F.col("own").alias("j"), other.alias("i"))
-    return _paired(left.join(right, ["key", "i", "j"]).where("xr < yr").where(_may(least)), "xr", "yr", _apart().alias("apart"))
+    by edges, with the roots xr and yr and apart.
+
+    Of a key's holders most are often connected already: those of its largest
+    component meet the others, and the others each other, each side in blocks,
+    so no task gets all pairs of a key and the largest component's sets are sent
+    as often as there are blocks of others.
+    """
+    own = _rooted(held, edges, r="y.fp")
+    by_root = own.groupBy("key", "r").agg(F.count("*").alias("k"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    open_ = by_root.groupBy("key").agg(F.max_by("r", F.struct("k", "r")).alias("most"), F.max("k").alias("g"), F.sum("k").alias("k"), F.count("*").alias("roots")).where("roots > 1")
+    open_ = open_.select("key", "most", blocks(F.col("g")).alias("gs"), blocks(F.col("k") - F.col("g")).alias("os"))
+    live = scratch.cut(own.join(open_, "key").select("key", "y", "r", (F.col("r") == F.col("most")).alias("in_most"), "gs", "os"))
+    place = lambda n: F.pmod(F.xxhash64("y.s"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    largest, others = live.where("in_most"), live.where("not in_most")
+    x = largest.select("key", F.col("y").alias("x"), F.col("r").alias("xr"), place("gs").alias("i"), every("os").alias("j"))
+    y = others.select("key", "y", F.col("r").alias("yr"), place("os").alias("j"), every("gs").alias("i"))
+    left = others.select("key", F.col("y").alias("x"), F.col("r").alias("xr"), place("os").alias("i"), every("os").alias("j"))
+    right = others.select("key", "y", F.col("r").alias("yr"), place("os").alias("j"), every("os").alias("i"))
+    pairs = None
+    for a, b, ok in ((x, y, F.lit(True)), (left, right, F.col("xr") < F.col("yr"))):
+        ends = [F.struct(F.col(f"{v}r").alias("r"), F.col(f"{v}.s").alias("s"), F.col(f"{v}.fp").alias("f")) for v in "xy"]
+        met = a.join(b, ["key", "i", "j"]).where(ok & _may(least)).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"), _apart().alias("apart"))
+        pairs = met if pairs is None else pairs.union(met)
+    return pairs.select(F.col("a.s").alias("xs"), F.col("a.f").alias("xf"), F.col("b.s").alias("ys"), F.col("b.f").alias("yf"), F.col("a.r").alias("xr"), F.col("b.r").alias("yr"), "apart").distinct()
 
 
 def _alike(docs: DataFrame, met: DataFrame, one: DataFrame, width: int, least: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -228,9 +242,14 @@ def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, width: int, least
     connect isn't compared again: stars come first, then the nearest pair of each
     two components, then every pair that is left."""
     spark = docs.sparkSession
-    one = cut(fps.where("n > 0").groupBy("s").agg(F.min(F.struct("fp", "_id", "_tag", "n", *[f"o{i}" for i in range(OUTLINE)])).alias("r")).select("s", "r.*").withColumnsRenamed({"_id": "_i", "_tag": "_t"}))
+    keys = Scratch(spark)
+    # each set once, under a number
+    row = F.min(F.struct("fp", "_id", "_tag", "n", *[f"o{i}" for i in range(OUTLINE)])).alias("r")
+    sets = fps.where("n > 0").groupBy("s").agg(row, F.first("keys").alias("keys")).withColumnRenamed("s", "digest")
+    keyed = keys.cut(sets.select(F.monotonically_increasing_id().alias("s"), "digest", "r.*", "keys").withColumnsRenamed({"_id": "_i", "_tag": "_t"}))
+    one = cut(keyed.drop("keys", "digest"))
     # words that repeat count in a fingerprint and not in a set
-    same = fps.select("s", F.col("fp").alias("b")).join(one.select("s", F.col("fp").alias("a")), "s").where("a != b").select("a", "b").distinct()
+    same = fps.select(F.col("s").alias("digest"), F.col("fp").alias("b")).join(keyed.select("digest", F.col("fp").alias("a")), "digest").where("a != b").select("a", "b").distinct()
     edges = cut(edges.union(same))
 
     size = F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))
@@ -247,8 +266,7 @@ def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, width: int, least
             step.clear()
         return edges
 
-    keys = Scratch(spark)
-    held = _holders(fps, one, keys)
+    held = _holders(keyed, one, keys)
     edges = alike(edges, _rooted(_stars(held, least), edges, xr="xf", yr="yf").where("xr <> yr").select(*PAIR))
     left = cut(_across(held, edges, least, keys))
     del held
