@@ -36,6 +36,8 @@ PARAGRAPH = r"\n[\x20\t\r]*\n"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "account", "secret", "endpoint")
 REACH = 400
+#: Code points of a block when a text is put together anew: an array of single ones takes some 60 bytes for each.
+BLOCK = 256
 
 
 def _found(kind: str, matches: str, pieces: str, good: Column | None = None) -> Column:
@@ -118,19 +120,25 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _between(blocks: str, start: Column, n: Column) -> Column:
+    """n code points from start (counted from 0) of a text in blocks of BLOCK: only the blocks that hold them are opened."""
+    whole = lambda c: F.floor(c / BLOCK).cast("int")
+    some = F.slice(blocks, whole(start) + 1, whole(start + n + BLOCK - 1) - whole(start))
+    return F.substring(F.array_join(some, ""), (start % BLOCK + 1).cast("int"), n.cast("int"))
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, reach: int = REACH) -> DataFrame:
     """docs (columns of any names) with each stretch of secrets replaced by its first
     kind in brackets; size_col, if given, becomes the new length in code points.
     Null and empty texts stay as they are, and repeated rows are changed alike."""
     found = secret_spans(docs, id_col, text_col, reach).where(F.size("spans") > 0).select(F.col(id_col).alias("found_id"), F.col("_tag").alias("found_tag"), "spans").dropDuplicates(["found_id", "found_tag"])
-    tagged = boxed(docs, F.col(id_col).alias("id"), row_tag(text_col).alias("tag"), F.col(text_col).alias("text"))
+    tagged = boxed(docs, F.col(id_col).alias("id"), row_tag(text_col).alias("tag"))  # the text goes along once, in row
     both = tagged.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left")
-    chars = F.split(F.col("text"), "")
-    both = both.withColumn("_chars", F.when(F.col("spans").isNotNull(), chars))
+    both = both.withColumn("text", F.col(f"row.`{text_col}`"))
+    both = both.withColumn("_blocks", F.when(F.col("spans").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
     firsts = F.filter("spans", lambda s: s["start"] >= s["covered"])
-    between = lambda a, n: F.array_join(F.slice("_chars", (a + 1).cast("int"), n.cast("int")), "")
-    head = F.array_join(F.transform(firsts, lambda s: F.concat(between(s["covered"], s["start"] - s["covered"]), F.lit("["), s["kind"], F.lit("]"))), "")
+    head = F.array_join(F.transform(firsts, lambda s: F.concat(_between("_blocks", s["covered"], s["start"] - s["covered"]), F.lit("["), s["kind"], F.lit("]"))), "")
     last = F.array_max(F.transform("spans", lambda s: s["end"]))
-    both = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(head, between(last, F.size("_chars") - last))))
+    both = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(head, _between("_blocks", last, F.char_length("text") - last))))
     new = {text_col: F.col("text")} | ({size_col: F.char_length("text").cast(docs.schema[size_col].dataType)} if size_col else {})
     return both.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -147,3 +147,34 @@ def test_repeated_rows_nulls_and_redaction(spark):
     assert (3, "clean é text") in by and (2, None) in by
     assert sum("[access]" in (r.text or "") and "AKIA" not in r.text and len(r.text) == r.n_chars for r in out) == 2
     assert secrets.secret_spans(df.limit(0).drop("_id")).count() == 0
+
+
+def test_redaction_against_slices(spark):
+    """Stretches that begin, end and meet at the edges of blocks, among code points of every width."""
+    rnd = random.Random(7)
+    fill = lambda n: "".join(rnd.choice("gé𝒳 \n") for _ in range(n))
+    secret = "AKIA" + "B" * 14
+    sizes = [0, 1, *(secrets.BLOCK * k + d for k in (1, 2, 3) for d in (-19, -18, -17, -1, 0, 1))]
+    texts = [fill(a) + secret + fill(b) for a in sizes for b in (0, 1, secrets.BLOCK, 600)] + [".".join(secret + fill(rnd.randrange(600)) for _ in range(9)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in secrets.redacted(df, size_col="n_chars").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = t.replace(secret, "[access]")
+        assert got[i].text == want and got[i].n_chars == len(want)
+
+
+def test_redaction_sends_a_text_once(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz \n", k=100_000)) + " password: abcdefghijklmnop" for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def sent():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size())))
+
+    before = sent()
+    assert sum("[assign]" in r.text and "abcdefghijklmnop" not in r.text for r in secrets.redacted(df).collect()) == len(texts)
+    assert sent() - before < 1.5 * sum(map(len, texts))
