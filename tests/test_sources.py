@@ -93,6 +93,27 @@ def test_two_writers(spark, tmp_path):
     assert not store.publish("_manifests/000000000005.json", {}) and store.names("_drafts") == []
 
 
+def test_one_writer_gets_a_number(spark, tmp_path):
+    """Writers want the same name: one gets it, what is read is theirs, and no second file (of sums) comes after it."""
+    store = snapshot._Store(spark, str(tmp_path / "t"))
+    for k in range(10):
+        got, gate = {}, threading.Barrier(6)
+
+        def one(i, name=f"_manifests/{k:012}.json", got=got, gate=gate):
+            gate.wait()
+            got[i] = store.publish(name, {"writer": i})
+
+        work = [threading.Thread(target=one, args=(i,)) for i in range(6)]
+        for w in work:
+            w.start()
+        for w in work:
+            w.join()
+        assert sorted(got.values()) == [False] * 5 + [True]
+        assert got[store.read(f"_manifests/{k:012}.json")["writer"]]
+    assert store.names("_drafts") == []
+    assert sorted(p.name for p in (tmp_path / "t/_manifests").iterdir()) == [f"{k:012}.json" for k in range(10)]
+
+
 def test_rows_are_merged(spark, tmp_path):
     t = str(tmp_path / "t")
     snapshot.upsert(panel(spark, [("2024-01-01", "a", 1.0), ("2024-01-02", "a", 2.0), ("2024-01-02", "b", 5.0)]), t)
