@@ -18,7 +18,7 @@ def test_same_rows(spark, sf, duck, larger_duck, name):
     assert len(got) and rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["covariance_matrix"])
+@pytest.mark.parametrize("name", ["covariance_matrix", "covariance_matrix_as_of"])
 def test_drawn_matrices(spark, tmp_path, name):
     """400 stocks whose matrices are badly conditioned: both sides draw them to their diagonals."""
     import duckdb
