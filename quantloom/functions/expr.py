@@ -425,6 +425,43 @@ class _Steps:
         return self.inputs(whole).union(*(self.inputs(e) for x, nodes in self.made.items() if x >= at for e in nodes))
 
 
+def _spec(e: Expr) -> tuple:
+    """Window nodes of one step that sort the rows alike have the same."""
+    name = e.key[1].split()
+    if e.kind == TIME:
+        return tuple(name[:2]) if name[0] in ("head", "tail") else ()
+    return e.key if name[0] == "rank" else e.parts[1].key if name[:2] == ["neutral", "by"] else ()
+
+
+def _widened(df: DataFrame, nodes: list[Expr], steps: _Steps) -> DataFrame:
+    """df with a column for each window node. A window copies its rows column by column, which costs more than
+    its functions where there are many columns; so those that the others read or made go by in arrays."""
+    groups: dict[tuple, list[Expr]] = {}
+    for e in nodes:
+        groups.setdefault(_spec(e), []).append(e)
+    if len(groups) < 2:
+        return df.withColumns({steps.names[e.key]: steps.own(e) for e in nodes})
+    order, place = df.columns, {}  # where a packed column lies: array, position
+
+    def packed(df: DataFrame, drop: set[str]) -> DataFrame:
+        new = [x for x, t in df.dtypes if t == "double" and x not in drop]
+        name = f"_pack{len(place)}"
+        place.update({x: (name, i) for i, x in enumerate(new)})
+        rest = [F.col(f"`{x}`") for x in df.columns if x not in drop and x not in new]
+        return df.select(*rest, F.array(*[F.col(f"`{x}`") for x in new]).alias(name)) if new else df.select(*rest)
+
+    def unpacked(x: str) -> Column:
+        return F.get(F.col(place[x][0]), F.lit(place[x][1]))
+
+    df = packed(df, set())
+    for group in groups.values():
+        read = {x for e in group for x in steps.inputs(e)} & place.keys()
+        df = df.withColumns({x: unpacked(x) for x in read}).withColumns({steps.names[e.key]: steps.own(e) for e in group})
+        df = packed(df, read)
+    made = [steps.names[e.key] for g in groups.values() for e in g]
+    return df.select(*[unpacked(x).alias(x) if x in place else F.col(f"`{x}`") for x in (*order, *made)])
+
+
 def computed(df: DataFrame, outputs: dict[str, Expr], keep: tuple[str, ...] = ()) -> DataFrame:
     """ts, stock, the columns `keep`, and a column for each expression. df: a panel with a
     row for each date and stock. Whatever their number, the expressions share their
@@ -443,8 +480,8 @@ def computed(df: DataFrame, outputs: dict[str, Expr], keep: tuple[str, ...] = ()
             stage = at[0]
             if stage % 2:  # windows by date and group then need no exchange of their own
                 df = df.repartition("ts")
-        windows = {steps.names[e.key]: steps.own(e) for e in steps.made[at] if e.kind != ORDER}
-        df = df.withColumns(windows) if windows else df
+        windows = [e for e in steps.made[at] if e.kind != ORDER]
+        df = _widened(df, windows, steps) if windows else df
         orders = [e for e in steps.made[at] if e.kind == ORDER]
         if orders:
             inputs = {f"{steps.names[e.key]}x": steps.column(e.parts[0]).cast("double") for e in orders}

@@ -128,3 +128,20 @@ def test_cells(spark):
     }
     assert e.computed(df.limit(0), made).count() == 0
     assert e.computed(df.withColumn("y", F.lit(1)), {"z": e.rank("x")}, ("y",)).columns == ["ts", "stock", "y", "z"]
+
+
+def test_windows_copy_few_columns(spark, sf):
+    """Columns of all windows of the library together: 3076 where each copies all that the others made."""
+    from quantloom.queries import SCALES, filled
+
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "Window":
+            found.append(node.output().size())
+        below = node.children()
+        for i in range(below.size()):
+            walk(below.apply(i))
+
+    walk(factors.evaluated(filled(spark, sf), None, SCALES)._jdf.queryExecution().optimizedPlan())
+    assert sum(found) < 1600
