@@ -201,7 +201,7 @@ def pivots(z: np.ndarray, d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     variances) at each of the points: how many d lie below it, and the sum of z' z / (d - point)."""
     gap = d[None, :] - at[:, None]
     gap = np.where(gap == 0, 1e-300, gap)
-    return (gap < 0).sum(1), np.einsum("pn,ni,nj->pij", 1 / gap, z, z, optimize=True)
+    return (gap < 0).sum(1), np.array([(z / g[:, None]).T @ z for g in gap])
 
 
 def counted(below: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -245,7 +245,11 @@ def _settled(low, high, worst: float) -> bool:
 
 def ends(x: np.ndarray, fm: np.ndarray, d: np.ndarray, done: Callable[..., bool] | None = None) -> tuple[tuple[float, float], tuple[float, float]]:
     """Intervals of the least and largest eigenvalue of x fm x' + diag(d). No matrix of stocks by stocks is made."""
-    z = x @ root(fm)
+    return spread(x @ root(fm), d, done)
+
+
+def spread(z: np.ndarray, d: np.ndarray, done: Callable[..., bool] | None = None) -> tuple[tuple[float, float], tuple[float, float]]:
+    """The same of z z' + diag(d)."""
     own = d + (z * z).sum(1)
     done = done or (lambda low, high: low[1] - low[0] <= 1e-10 * low[1] and high[1] - high[0] <= 1e-10 * high[1])
     return bracketed(lambda at: counted(*pivots(z, d, at)), len(d), *_bounds(d.min(), d.max(), own.min(), own.max(), z.T @ z), done)

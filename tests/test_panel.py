@@ -212,6 +212,20 @@ def test_weights_meet_the_optimality_conditions():
     assert left > portfolio.TOLERANCE
 
 
+@pytest.mark.parametrize("cap, short", [(0.02, False), (None, False), (0.02, True)])
+def test_weights_of_uneven_variances_take_few_rounds(cap, short):
+    """Variances that differ a millionfold: a gradient's steps are as short as the largest demands, Newton's aren't."""
+    rng = np.random.default_rng(11)
+    z, d, mu = rng.normal(size=(1000, 13)) * 30, rng.lognormal(0, 3, 1000) * 100, rng.normal(size=1000) * 0.01
+    w, left = portfolio.solve(mu, z, d, 2.5, cap, short, rounds=100)
+    g = mu - 2.5 * (z @ (z.T @ w) + d * w)
+    low, high = -math.inf if short else 0.0, math.inf if cap is None else cap
+    free = (w > low) & (w < high)
+    assert left < 1e-14 and math.isclose(w.sum(), 1) and w.min() >= low and w.max() <= high
+    price = g[free].mean()
+    assert np.allclose(g[free], price, rtol=1e-8) and (g[w <= low] <= price + 1e-8).all() and (g[w >= high] >= price - 1e-8).all()
+
+
 def test_many_stocks_take_no_square_matrix():
     import tracemalloc
 
